@@ -121,29 +121,32 @@ class Scorer:
 
     def __init__(self, w: dict, classes: np.ndarray, share: np.ndarray) -> None:
         x, pos = w["emb"], w["pos"]
-        qkv = np.concatenate([w["wq"] / math.sqrt(DIM), w["wk"], w["wv"], w["wo"]], 1)
-        # Projections are linear, so those of every id and place are kept and added.
-        self.table, self.place = (x @ qkv).astype(np.float32), (pos @ qkv).astype(np.float32)
-        self.place[:, 3 * DIM :] += w["bo"]
+        # Projections are linear, so those of every id and place are kept and added: query, key, value, a one, class logits.
+        one = np.zeros((DIM, 1), np.float32)
+        proj = np.concatenate([w["wq"] / math.sqrt(DIM), w["wk"], w["wv"], one, w["wo"]], 1)
+        self.table, self.place = (x @ proj).astype(np.float32), (pos @ proj).astype(np.float32)
+        self.place[:, 3 * DIM] = 1
+        self.place[:, 3 * DIM + 1 :] += w["bo"]
         self.wo, self.classes, self.share = w["wo"], classes, share
+        self.ones = np.ones((CLASSES, 1), np.float32)
 
     def windows(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target class, (n, SPAN)."""
         r = self.table[ids]
         r += self.place
-        q, k, v, z = r[..., :DIM], r[..., DIM : 2 * DIM], r[..., 2 * DIM : 3 * DIM], r[..., 3 * DIM :]
-        a = q @ k.transpose(0, 2, 1)
+        a = r[..., :DIM] @ r[..., DIM : 2 * DIM].transpose(0, 2, 1)
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a *= CAUSAL
-        h = a @ v
-        h /= a.sum(-1, keepdims=True)
-        z = (h.reshape(-1, DIM) @ self.wo).reshape(z.shape) + z
-        z -= z.max(-1, keepdims=True)
-        picked = np.take_along_axis(z, target[..., None], -1)[..., 0]
-        return picked - np.log(np.exp(z, out=z).sum(-1))
-
-    def texts(self, texts: list[np.ndarray], chunk: int = 512) -> np.ndarray:
+        h = a @ r[..., 2 * DIM : 3 * DIM + 1]  # the ones add up the weights
+        h = h[..., :DIM] / h[..., DIM:]
+        z = (h.reshape(-1, DIM) @ self.wo).reshape(*ids.shape, CLASSES)
+        z += r[..., 3 * DIM + 1 :]
+        np.clip(z, -60, 60, out=z)
+        picked = z.reshape(-1, CLASSES)[np.arange(ids.size), target.ravel()]
+        return (picked - np.log(np.exp(z, out=z).reshape(-1, CLASSES) @ self.ones)[:, 0]).reshape(ids.shape)
+
+    def texts(self, texts: list[np.ndarray], chunk: int = 96) -> np.ndarray:
         """Score of each text; a text is its ids with the end id."""
         if not texts:
             return np.zeros(0)

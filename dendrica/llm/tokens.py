@@ -16,10 +16,11 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-#: Cached words of a worker; when full the cache starts anew, so memory stays bounded.
-CACHE = 700_000
-#: Texts whose words are held at once, and characters after which fewer are.
-TEXTS, CHARS = 128, 2_000_000
+#: Cached words of a worker: when half as many are new, the older half goes, so memory stays bounded and frequent words stay.
+CACHE = 1_200_000
+#: Characters of texts whose words are held at once.
+CHARS = 500_000
+MARKS = b".,;:!?#$%&*()[]{}-+=/_\"|<>~^@"
 
 
 def default_path() -> str:
@@ -38,12 +39,14 @@ class WordIds:
         self.tok.no_truncation()
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.marked = None
-        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        spec, self.marked = json.loads(self.tok.to_str()), None
+        self.bare, suffix = self.tok, spec["model"].get("end_of_word_suffix")
         if suffix:
             self.marked = np.zeros(self.size, bool)
             self.marked[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = cache
 
     def _words(self, text: str | None) -> list[bytes]:
@@ -51,53 +54,71 @@ class WordIds:
         raw = (text or "").encode()
         return (raw if b"<|" in raw else raw.lower()).split()  # the vocabulary is lower case, but for names of special tokens
 
-    def learn(self, words: set[bytes]) -> None:
-        if not words:
-            return
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        cache, ends = self.cache, []
-        # A full stop or comma after a letter or digit is a pre-token of its own: such words are put together from their stem.
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word, by the library; at least those of words."""
+        # Marks after a letter or digit are a pre-token of their own: such words are put together from their stem.
+        ends, rest, plain, other, odd, out = [], set(), [], [], [], {}
         for w in words:
-            if w[-1:] in (b".", b",") and w[-2:-1].isalnum():
-                ends.append(w)
-        rest = {w[:-1] for w in ends}.difference(cache)
-        rest |= words.difference(ends)
-        rest |= {w[-1:] for w in ends}.difference(cache)
-        texts = [w.decode() for w in rest]
-        # A word of letters that lower case and NFC leave alone is one pre-token, whose last id alone ends a word: all go in one text.
-        plain = [w for w in texts if w.isalpha() and (w.isascii() or w.lower() == w and is_normalized("NFC", w))]
-        if self.marked is not None and plain:
-            ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, self.kind)
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and b"<|" not in w and (stem[-1:].isalnum() or stem[-1:] > b"\x7f" and stem.decode()[-1].isalpha()):
+                ends.append((w, stem, w[len(stem) :]))
+                rest.add(stem)
+                rest.add(w[len(stem) :])
+            else:
+                rest.add(w)
+        for w in rest:
+            # A word of letters that lower case and NFC leave alone is one pre-token.
+            if w.isalpha() and w.islower():
+                plain.append(w)
+            elif (t := w.decode()).isalpha() and t.lower() == t and is_normalized("NFC", t):
+                other.append(w)
+            else:
+                odd.append(w)
+        # Its last id alone ends a word, so many go in one text and are told apart; those in ASCII past all that would cut and lower it.
+        for tok, some in ((self.bare, plain), (self.tok, other)):
+            if not some or self.marked is None:
+                odd += some
+                continue
+            ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(self.marked[ids]) + 1
-            if len(cut) == len(plain):
-                raw, wide = ids.tobytes(), self.kind.itemsize
-                at = 0
-                for w, to in zip(plain, (cut * wide).tolist(), strict=True):
-                    cache[w.encode()] = raw[at:to]
-                    at = to
-                done = set(plain)
-                texts = [w for w in texts if w not in done]
-        for w, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            cache[w.encode()] = np.array(e.ids, self.kind).tobytes()
-        for w in ends:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+            if len(cut) != len(some):
+                odd += some
+                continue
+            raw, stops = ids.tobytes(), (cut * self.kind.itemsize).tolist()
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        for w, e in zip(odd, self.tok.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, self.kind).tobytes()
+        for w, stem, marks in ends:
+            out[w] = out[stem] + out[marks]
+        return out
+
+    def lookup(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, from the cache and else by the library."""
+        missing = words.difference(self.cache)
+        out = dict(zip(known := words.difference(missing), map(self.cache.__getitem__, known), strict=True))
+        if missing:
+            again = missing.intersection(self.older)
+            fresh = dict(zip(again, map(self.older.__getitem__, again), strict=True))
+            fresh.update(self._encoded(missing.difference(again)))
+            out.update(fresh)
+            if len(self.cache) + len(fresh) > self.most // 2:
+                self.cache, self.older = {}, self.cache
+            self.cache.update(fresh)
+        return out
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], bytes]]:
         """Words and ids (as bytes of kind) of each text."""
         at = 0
         while at < len(texts):
             held, chars = [], 0
-            while at < len(texts) and len(held) < TEXTS and chars < CHARS:
+            while at < len(texts) and chars < CHARS:
                 chars += len(texts[at] or "")
                 held.append(self._words(texts[at]))
                 at += 1
-            seen = set(chain.from_iterable(held))
-            self.learn(seen.difference(self.cache))
-            if missing := seen.difference(self.cache):  # a full cache was just emptied
-                self.learn(missing)
+            # The words of these texts in a dictionary of their own: a small one stays in the processor's cache.
+            get = self.lookup(set(chain.from_iterable(held))).__getitem__
             for words in held:
-                yield words, b"".join(map(self.cache.__getitem__, words))
+                yield words, b"".join(map(get, words))
 
 
 @lru_cache(maxsize=2)

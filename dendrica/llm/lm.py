@@ -21,18 +21,17 @@ are zero, all ids are equally likely in their class and classes in any context.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .tokens import WordIds, default_path, word_ids
+from .tokens import WordIds, default_path, slices, split_words, word_ids
 
 END = 1
 CLASSES, BUCKETS, DIM, SPAN, STRIDE = 32, 4096, 8, 32, 28
@@ -40,8 +39,8 @@ CLASSES, BUCKETS, DIM, SPAN, STRIDE = 32, 4096, 8, 32, 28
 CHARS, ROUNDS = 220, 2
 #: Words that every worker holds at most.
 BROADCAST = 1 << 18
-#: Distinct words a task counts before it passes the counts on.
-HELD = 400_000
+#: Bytes of texts whose words are counted together.
+COUNTED = 24 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -197,24 +196,12 @@ class Model:
     share: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-def _counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
-            c.clear()
-            return got
-
-        for b in batches:
-            for t in b.column(0):
-                c.update(t.as_buffer().to_pybytes().lower().split() if t.is_valid else ())
-                if len(c) > HELD:
-                    yield out()
-        if c:
-            yield out()
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts, and how often each stands in a part of the texts."""
+    for whole in batches:
+        for b in slices(whole, 0, COUNTED):
+            words, codes, _ = split_words(b.column(0))
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()).cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c"])
 
 
 def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
@@ -224,9 +211,8 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
         model = word_ids(path)
         total = np.zeros(model.size)
         for b in batches:
-            ids = [np.frombuffer(x, model.kind) for _, x in model.texts([w.decode() for w in b.column(0).to_pylist()])]
-            if ids:
-                total += np.bincount(np.concatenate(ids), np.repeat(b.column(1).to_numpy(), [len(x) for x in ids]), model.size)
+            ids, cut = model.encoded(b.column(0).cast(pa.string()))
+            total += np.bincount(ids, np.repeat(b.column(1).to_numpy(), np.diff(cut)), model.size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some].astype(np.int64))], ["id", "n"])
 
@@ -245,13 +231,10 @@ def _windows(train_docs: DataFrame, key: str, text: str, path: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_ids(path)
         for b in batches:
-            out = []
-            for _, x in model.texts(b.column(0).to_pylist()):
-                ids = np.full(SPAN + 1, END, "<u4")
-                got = np.frombuffer(x, model.kind)[:SPAN]
-                ids[1 : 1 + len(got)] = got
-                out.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["w"])
+            out = np.full((b.num_rows, SPAN + 1), END, "<u4")
+            for row, ids in zip(out, model.texts(b.column(0)), strict=True):
+                row[1 : 1 + len(ids)] = ids[:SPAN]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out], pa.binary())], ["w"])
 
     return table(train_docs.select(piece.alias("t")).mapInArrow(run, "w binary"))
 
@@ -292,7 +275,7 @@ def fit(train_docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     """Learn from all rows of train_docs."""
     spark, path = train_docs.sparkSession, path or default_path()
     docs = train_docs.select(key, text)
-    words = table(docs.select(text).mapInArrow(_counted(path), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
+    words = table(docs.select(text).mapInArrow(_counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
     level = F.floor(F.log2("c") * 8).cast("int")
     levels = sorted(words.groupBy(level.alias("l")).agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect(), reverse=True)  # 8 rows a power of two
     ends = docs.count()
@@ -303,7 +286,7 @@ def fit(train_docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
             break
         least = r["l"]
     top = words.where(level >= least).select("word", F.log10(F.col("c") + 1).alias("c")).toArrow() if least is not None else pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.float64())})
-    model.top = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_pylist()))
+    model.top = spark.sparkContext.broadcast((top["word"].combine_chunks().cast(pa.string()).cast(pa.large_string()), top["c"].to_numpy()))
     counts = _subword_counts(words, path)
     counts[END] += ends
     local: WordIds = word_ids(path)
@@ -313,11 +296,6 @@ def fit(train_docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     return model
 
 
-@lru_cache(maxsize=1)
-def _top(broadcast) -> dict[bytes, float]:
-    return dict(zip(*broadcast.value, strict=True))
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of keep, n_tokens, n_known, base_score, score of every row of docs."""
     top, path, weights, classes, share = model.top, model.path, model.weights, model.classes, model.share
@@ -325,23 +303,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, scorer = _top(top).get, word_ids(path), Scorer(shaped(weights), classes, share)
+        (often, value), ids, scorer = top.value, word_ids(path), Scorer(shaped(weights), classes, share)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                n, hits, base, rest, texts = [], [], [], [], []
-                said = b.column(len(kept) + 1).to_pylist()
-                for t, (words, raw) in zip(said, ids.texts(said), strict=True):
-                    # Words of texts that may name special tokens keep their case for them; the word model lowers all.
-                    low = [w.lower() for w in words] if t and "<|" in t else words
-                    got = list(map(known, low))
-                    others = [w for w, x in zip(low, got, strict=True) if x is None]
-                    n.append(len(low) + 1)
-                    hits.append(len(low) - len(others))
-                    base.append(math.fsum(filter(None, got)))
-                    rest.append(others)
-                    texts.append(np.append(np.frombuffer(raw, ids.kind), END))
-                cols = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(scorer.texts(texts), pa.float64())]
+            for b in slices(whole, len(kept) + 1):
+                w = ids.batch(b.column(len(kept) + 1))
+                n = np.diff(w.word_at)
+                of = np.repeat(np.arange(len(n)), n)
+                # Texts that may name special tokens keep their case for them; the word model lowers all.
+                words = pc.ascii_lower(w.words)
+                place = pc.fill_null(pc.index_in(words, often), -1).to_numpy()
+                known = (place >= 0)[w.codes]
+                logs = np.append(value, 0.0)[place][w.codes]
+                rest_at = np.concatenate([[0], np.cumsum(np.bincount(of[~known], minlength=len(n)))]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(rest_at), words.cast(pa.string()).cast(pa.binary()).take(pa.array(w.codes[~known])))
+                texts = [np.append(w.ids[i:j], END) for i, j in zip(w.id_at[:-1], w.id_at[1:], strict=True)]
+                cols = [pa.array(n + 1, pa.int64()), pa.array(np.bincount(of[known], minlength=len(n)), pa.int64()), pa.array(np.bincount(of, logs, len(n))), rest, pa.array(scorer.texts(texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept) + 1], *cols], ["__row", *kept, "n_tokens", "__hits", "__base", "__rest", "score"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *kept, F.col(text)).mapInArrow(run, f"`__row` bigint, {types}, n_tokens bigint, `__hits` bigint, `__base` double, `__rest` array<binary>, score double")

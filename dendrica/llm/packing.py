@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import default_path, word_ids
+from .tokens import default_path, slices, word_ids
 
 LENGTH, END = 2048, 1
 WIDTH, DIMS, BITS, SEED = 1024, 3, 16, 7
@@ -72,13 +72,11 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, codec = word_ids(path), pa.Codec("zstd", compression_level=1)
-        last = np.array([end], model.kind).tobytes()
+        last = model.kind.type(end)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                raw = [x + last for _, x in model.texts(b.column(2).to_pylist())]
-                ids = [np.frombuffer(x, model.kind) for x in raw]
-                packed = [codec.compress(x, asbytes=True) for x in raw]
+            for b in slices(whole, 2):
+                ids = [np.append(x, last) for x in model.texts(b.column(2))]
+                packed = [codec.compress(x.tobytes(), asbytes=True) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids)), pa.array(packed, pa.binary())], ["__row", key, "__n", "__curve", "__ids"])
 
     return table(docs.select(F.monotonically_increasing_id().alias("__row"), key, F.col(text)).mapInArrow(run, schema))

@@ -1,8 +1,10 @@
-"""Token ids of whole texts, by the public `tokenizers` library, a word at a time.
+"""Token ids of whole texts, by the public `tokenizers` library, a distinct word of a batch at a time.
 
 No pre-token of the word vocabulary holds white space, so a text's ids are those
-of its space-separated words one after another. Words already seen in a worker
-are looked up; the others of a batch go to the library together.
+of its space-separated words one after another. A batch of texts is cut into
+words and numbered column-wise; the library sees each distinct word once, and
+ids are laid out by index. Nothing is kept between batches, so memory is bounded
+by a batch.
 """
 
 from __future__ import annotations
@@ -10,17 +12,22 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Cached words of a worker: when half as many are new, the older half goes, so memory stays bounded and frequent words stay.
-CACHE = 1_200_000
-#: Characters of texts whose words are held at once.
-CHARS = 500_000
-MARKS = b".,;:!?#$%&*()[]{}-+=/_\"|<>~^@"
+from .bpe import byte_letters
+
+#: Bytes of texts that are handled at once, and texts.
+BYTES, TEXTS = 8 << 20, 8192
+#: Marks that, in a run after a letter or digit, make a pre-token.
+MARKS = ".,;:!?#$%&*()[]{}-+=/_\\\"|<>~^@"
+#: Words that go to the library as one text.
+JOINED = 1000
 
 
 def default_path() -> str:
@@ -29,8 +36,57 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = BYTES, rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded text; a longer text is a piece of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def gathered(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat (cut at offsets) by their numbers, end to end, and their offsets."""
+    sizes = np.diff(offsets)[codes]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(offsets[:-1][codes] - out[:-1], sizes) + np.arange(out[-1])], out
+
+
+@dataclass
+class Words:
+    """A batch's distinct words, the number of each word of each text, and the texts' ids."""
+
+    words: pa.Array
+    codes: np.ndarray
+    word_at: np.ndarray
+    ids: np.ndarray
+    id_at: np.ndarray
+
+
+def split_words(texts: pa.Array, keep_case: str | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts in lower case (A-Z), the number of each word, and where each text's begin.
+
+    Texts that hold keep_case stay as they are.
+    """
+    # Copied first: casts of slices keep offsets that kernels of pyarrow 23 read wrongly.
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    low = pc.ascii_lower(texts)
+    if keep_case and pc.any(held := pc.match_substring(texts, keep_case)).as_py():
+        low = pc.if_else(held, texts, low)
+    parts = pc.ascii_split_whitespace(low)
+    flat, at = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    some = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(some).as_py():  # white space at either end
+        at = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[at]
+        flat = flat.filter(some)
+    numbered = flat.dictionary_encode()
+    return numbered.dictionary, numbered.indices.to_numpy(), at
+
+
 class WordIds:
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -44,81 +100,73 @@ class WordIds:
         if suffix:
             self.marked = np.zeros(self.size, bool)
             self.marked[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
+            self.letters = {b: c for b, c in byte_letters().items() if b != 32}
             self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.most = cache
-
-    def _words(self, text: str | None) -> list[bytes]:
-        """bytes.split cuts at the same six characters as the queries' word patterns."""
-        raw = (text or "").encode()
-        return (raw if b"<|" in raw else raw.lower()).split()  # the vocabulary is lower case, but for names of special tokens
-
-    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word, by the library; at least those of words."""
-        # Marks after a letter or digit are a pre-token of their own: such words are put together from their stem.
-        ends, rest, plain, other, odd, out = [], set(), [], [], [], {}
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and b"<|" not in w and (stem[-1:].isalnum() or stem[-1:] > b"\x7f" and stem.decode()[-1].isalpha()):
-                ends.append((w, stem, w[len(stem) :]))
-                rest.add(stem)
-                rest.add(w[len(stem) :])
-            else:
-                rest.add(w)
-        for w in rest:
-            # A word of letters that lower case and NFC leave alone is one pre-token.
-            if w.isalpha() and w.islower():
-                plain.append(w)
-            elif (t := w.decode()).isalpha() and t.lower() == t and is_normalized("NFC", t):
-                other.append(w)
-            else:
-                odd.append(w)
-        # Its last id alone ends a word, so many go in one text and are told apart; those in ASCII past all that would cut and lower it.
-        for tok, some in ((self.bare, plain), (self.tok, other)):
-            if not some or self.marked is None:
-                odd += some
-                continue
-            ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(self.marked[ids]) + 1
-            if len(cut) != len(some):
-                odd += some
-                continue
-            raw, stops = ids.tobytes(), (cut * self.kind.itemsize).tolist()
-            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        for w, e in zip(odd, self.tok.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, self.kind).tobytes()
-        for w, stem, marks in ends:
-            out[w] = out[stem] + out[marks]
-        return out
-
-    def lookup(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, from the cache and else by the library."""
-        missing = words.difference(self.cache)
-        out = dict(zip(known := words.difference(missing), map(self.cache.__getitem__, known), strict=True))
-        if missing:
-            again = missing.intersection(self.older)
-            fresh = dict(zip(again, map(self.older.__getitem__, again), strict=True))
-            fresh.update(self._encoded(missing.difference(again)))
-            out.update(fresh)
-            if len(self.cache) + len(fresh) > self.most // 2:
-                self.cache, self.older = {}, self.cache
-            self.cache.update(fresh)
-        return out
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], bytes]]:
-        """Words and ids (as bytes of kind) of each text."""
-        at = 0
-        while at < len(texts):
-            held, chars = [], 0
-            while at < len(texts) and chars < CHARS:
-                chars += len(texts[at] or "")
-                held.append(self._words(texts[at]))
-                at += 1
-            # The words of these texts in a dictionary of their own: a small one stays in the processor's cache.
-            get = self.lookup(set(chain.from_iterable(held))).__getitem__
-            for words in held:
-                yield words, b"".join(map(get, words))
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and offsets of words of one pre-token each, past all that would cut and lower them.
+
+        The model's alphabet stands for bytes, so words go in as their bytes'
+        letters, many as one text; the last id alone of each ends a word.
+        """
+        texts = [" ".join(words[i : i + JOINED]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(words), JOINED)]
+        found = [np.array(e.ids, self.kind) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, self.kind)
+        cut = np.flatnonzero(self.marked[ids]) + 1
+        return (ids, np.concatenate([[0], cut])) if len(cut) == len(words) else None
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of distinct words."""
+        n = len(units)
+        plain = pc.and_(pc.ascii_is_alpha(units), pc.ascii_is_lower(units)).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        # Words of letters that lower case and NFC leave alone are one pre-token, too.
+        plain[rest] = [t.isalpha() and t.lower() == t and is_normalized("NFC", t) for t in units.take(pa.array(rest)).to_pylist()]
+        some, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        got = self._joined(units.take(pa.array(some)).to_pylist()) if self.marked is not None else None
+        if got is None:
+            some, odd, got = some[:0], np.arange(n), (np.zeros(0, self.kind), np.zeros(1, np.int64))
+        each = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(units.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        flat, sizes = np.concatenate([got[0], *each]), np.concatenate([np.diff(got[1]), np.array([len(x) for x in each], np.int64)])
+        place = np.empty(n, np.int64)
+        place[np.concatenate([some, odd])] = np.arange(n)
+        return gathered(flat, np.concatenate([[0], np.cumsum(sizes)]), place)
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of distinct words; runs of marks after a letter or digit are encoded apart."""
+        n = len(words)
+        words = words.take(pa.array(np.arange(n))).cast(pa.large_string())
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        size, whole = pc.binary_length(stems).to_numpy(), pc.binary_length(words).to_numpy()
+        offsets, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        ends = (size > 0) & (size < whole)
+        last = np.zeros(n, np.uint8)
+        last[ends] = data[offsets[:-1][ends] + size[ends] - 1]
+        ends &= (last >= 48) & (last <= 57) | (last >= 97) & (last <= 122) | (last >= 65) & (last <= 90)
+        ends &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(ends)
+        marks = [w[k:] for w, k in zip(words.take(pa.array(at)).cast(pa.large_binary()).to_pylist(), size[at].tolist(), strict=True)]
+        base = pc.if_else(pa.array(ends), stems, words)
+        units = pa.concat_arrays([base, pa.array(marks, pa.large_binary()).cast(pa.large_string())]).dictionary_encode()
+        codes = units.indices.to_numpy()
+        flat, cut = self._units(units.dictionary)
+        start = np.arange(n) + np.cumsum(ends) - ends
+        sequence = np.empty(n + len(at), np.int64)
+        sequence[start] = codes[:n]
+        sequence[start[at] + 1] = codes[n:]
+        ids, each = gathered(flat, cut, sequence)
+        return ids, each[np.append(start, n + len(at))]
+
+    def batch(self, texts: pa.Array) -> Words:
+        words, codes, at = split_words(texts, "<|")  # the vocabulary is lower case, but for names of special tokens
+        flat, cut = self.encoded(words)
+        ids, each = gathered(flat, cut, codes)
+        return Words(words, codes, at, ids, each[at])
+
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        w = self.batch(texts)
+        return [w.ids[a:b] for a, b in zip(w.id_at[:-1], w.id_at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)

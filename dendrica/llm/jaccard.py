@@ -28,61 +28,50 @@ have a null component.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import slices, split_words
 
 #: Shingles whose order is by frequency, at most; they go to every worker.
 COMMON = 1 << 17
 #: Shingles a task holds while it counts.
 HELD = 4_000_000
-WORDS = 400_000
 #: Followers of a leader that meet it in one task.
 FOLLOWERS = 512
 
 
-class Hasher:
-    """Shingle sets of texts as sorted arrays of 64-bit hashes."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
-
-    def of(self, text: str | None, size: int) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(h) - size + 1)
-        out = np.full(n, min(len(h), size), np.uint64)
-        for i in range(min(size, len(h))):
-            out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+def shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The shingle set of each text, as a sorted array of 64-bit hashes."""
+    words, codes, at = split_words(texts)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+    h = hashes[codes]
+
+    def mixed(width: int, start: int, stop: int) -> np.ndarray:
+        out = np.full(stop - start - width + 1, width, np.uint64)
+        for i in range(width):
+            out ^= h[start + i : start + i + len(out)]
+            out *= np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
             out *= np.uint64(0xBF58476D1CE4E5B9)
             out ^= out >> np.uint64(32)
-        return np.unique(out)
-
-
-@lru_cache(maxsize=1)
-def hasher() -> Hasher:
-    return Hasher()
+        return out
 
-
-def overlap_needed(a: int, b: int, percent: int) -> int:
-    """Least shared shingles with which sets of these sizes link."""
-    return -(-percent * (a + b) // (100 + percent))
+    whole = mixed(size, 0, len(h)) if len(h) >= size else None
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(whole[a : b - size + 1]))
+        else:
+            out.append(mixed(b - a, a, b) if b > a else np.zeros(0, np.uint64))
+    return out
 
 
 def least_overlap(n, percent: int):
@@ -94,17 +83,18 @@ def _common(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarr
     """Shingles that repeat in some task, the most frequent COMMON of them, sorted, and their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, h = [], 0, hasher()
+        held, count = [], 0
 
         def out() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
             some = n > 1
             return pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["s", "n"])
 
-        for b in batches:
-            for t in b.column(0):
-                held.append(h.of(t.as_py(), size))
-                count += len(held[-1])
+        for whole in batches:
+            for b in slices(whole, 0):
+                some = shingles(b.column(0), size)
+                held += some
+                count += sum(map(len, some))
                 if count > HELD:
                     yield out()
                     held, count = [], 0
@@ -131,11 +121,10 @@ def _prefixed(docs: DataFrame, text: str, size: int, percent: int, common) -> Da
     """docs(__id) with n, two hashes of the whole set, and its prefix in the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, (often, freq) = hasher(), common.value
-        for b in batches:
+        often, freq = common.value
+        for b in (x for whole in batches for x in slices(whole, 1)):
             n, one, two, prefix = [], [], [], []
-            for t in b.column(1):
-                s = h.of(t.as_py(), size)
+            for s in shingles(b.column(1), size):
                 n.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
                 two.append(int((s * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7)).sum().view(np.int64)) if len(s) else 0)
@@ -153,17 +142,16 @@ def _prefixed(docs: DataFrame, text: str, size: int, percent: int, common) -> Da
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link. Each leader's text meets those of its followers; large followings are dealt out with a copy of the leader each."""
     parts = F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")
-    leaders = pairs.groupBy("a").agg(parts)
+    leaders = table(pairs.groupBy("a").agg(parts))
     first = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("__id").alias("a"), "__t"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "__t")
     others = pairs.join(leaders, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b").join(texts.select(F.col("__id").alias("b"), "__t"), "b").select("a", "part", "b", "__t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, of, leads = hasher(), None, []
-        for batch in batches:
+        of, leads = None, []
+        for batch in (x for whole in batches for x in slices(whole, 3)):
             left, right = [], []
-            for a, part, b, t in zip(*(batch.column(c) for c in ("a", "part", "b", "__t")), strict=True):
-                a, part, b = a.as_py(), part.as_py(), b.as_py()
-                s = h.of(t.as_py(), size)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), shingles(batch.column(3), size), strict=True)
+            for a, part, b, s in rows:
                 if b is None:  # nulls sort first; an id given to several texts has as many
                     leads = [*leads, s] if of == (a, part) else [s]
                     of = a, part
@@ -212,22 +200,26 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     # Equal sets: one stands for all.
     alike = table(sets.where("n > 0 AND __id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("__id").alias("rep"), F.min_by("prefix", "__id").alias("prefix")))
     entries = alike.select(F.col("rep").alias("__id"), "n", F.posexplode("prefix").alias("pos", "s"))
-    block = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     lists = entries.withColumn("size", F.expr("count(*) OVER (PARTITION BY s)")).where("size > 1").select("s", "__id", F.col("n").cast("int").alias("n"), "pos")
-    lists = lists.withColumn("block", block).withColumn("lead", F.expr("min(struct(__id, n, pos)) OVER (PARTITION BY s, block)"))
-    lists = table(lists.select("s", "__id", "n", "pos", F.col("lead.__id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp")))
-    fits = lambda n, p, m, q: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({n} - {p}, {m} - {q}) + least({p}, {q}) >= ({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent}")
-    led = lists.where("lead <> __id").where(fits("n", "pos", "ln", "lp")).select(F.col("lead").alias("a"), F.col("__id").alias("b")).distinct()
-    texts = own.where("__id IS NOT NULL")
-    found = components(_verified(table(led), texts, size, percent))
+    # Shingles of a prefix in no list match nothing: `before` counts those before an entry that may, `alone` those in no list.
+    lists = lists.withColumns({"before": F.expr("CAST(row_number() OVER (PARTITION BY __id ORDER BY pos) - 1 AS INT)"), "alone": F.expr(f"CAST(n - (n * {percent} + 99) DIV 100 + 1 - count(*) OVER (PARTITION BY __id) AS INT)")})
+    block = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    # The leader of a block is the set that is likest to others.
+    lists = lists.withColumn("block", block).withColumn("lead", F.expr("min(struct(alone, __id, n, pos, before)) OVER (PARTITION BY s, block)"))
+    lists = table(lists.select("s", "__id", "n", "pos", "before", F.col("lead.__id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp"), F.col("lead.before").alias("lb")))
+    fits = lambda n, p, x, m, q, y: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({n} - {p}, {m} - {q}) + least({x}, {y}) >= ({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent}")
+    led = table(lists.where("lead <> __id").where(fits("n", "pos", "before", "ln", "lp", "lb")).select(F.col("lead").alias("a"), F.col("__id").alias("b")).distinct())
+    # Texts of sets in lists alone; both sides grow with the corpus, so neither is broadcast at any size.
+    some = lists.select("__id").distinct().hint("merge")
+    texts = table(own.where("__id IS NOT NULL").hint("merge").join(some, "__id", "left_semi"))
+    found = components(_verified(led, texts, size, percent))
     # Answers known so far: lists within one class are skipped.
-    label = lists.select("s", "__id", "n", "pos").join(found.withColumnRenamed("id", "__id"), "__id", "left").withColumn("c", F.coalesce("c", "__id"))
+    label = lists.select("s", "__id", "n", "pos", "before").join(found.withColumnRenamed("id", "__id"), "__id", "left").withColumn("c", F.coalesce("c", "__id"))
     label = label.withColumn("low", F.expr("min(c) OVER (PARTITION BY s)")).withColumn("high", F.expr("max(c) OVER (PARTITION BY s)")).where("low < high").drop("low", "high")
     label = table(label)
-    left = label.select("s", F.col("__id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
-    right = label.select("s", F.col("__id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
-    cross = left.join(right, "s").where("ac < bc").where(fits("an", "ap", "bn", "bp")).select("a", "b").distinct()
-    cross = table(cross.join(led, (cross["a"] == led["a"]) & (cross["b"] == led["b"]), "left_anti"))
+    left, right = (label.select("s", *(F.col(c).alias(x + c) for c in ("__id", "n", "pos", "before", "c"))) for x in "ab")
+    cross = left.join(right, "s").where("ac < bc").where(fits("an", "apos", "abefore", "bn", "bpos", "bbefore")).select(F.col("a__id").alias("a"), F.col("b__id").alias("b")).distinct()
+    cross = table(cross.join(led, ["a", "b"], "left_anti"))
     found = components(_verified(cross, texts, size, percent), found)
     of = alike.drop("prefix").join(found, F.col("rep") == F.col("id"), "left").select("one", "two", "n", F.coalesce("c", "rep").alias("c"))
     out = sets.join(of, ["one", "two", "n"], "left")

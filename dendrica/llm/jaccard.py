@@ -204,21 +204,24 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     # Shingles of a prefix in no list match nothing: `before` counts those before an entry that may, `alone` those in no list.
     lists = lists.withColumns({"before": F.expr("CAST(row_number() OVER (PARTITION BY __id ORDER BY pos) - 1 AS INT)"), "alone": F.expr(f"CAST(n - (n * {percent} + 99) DIV 100 + 1 - count(*) OVER (PARTITION BY __id) AS INT)")})
     block = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    # What may still match from an entry on. At the first shingle that two sets share it bounds all that they share, so
+    # a pair that links is met there at the latest, and later lists need not bring it up again.
+    lists = lists.withColumn("rest", F.expr("n - alone - before")).withColumn("block", block)
     # The leader of a block is the set that is likest to others.
-    lists = lists.withColumn("block", block).withColumn("lead", F.expr("min(struct(alone, __id, n, pos, before)) OVER (PARTITION BY s, block)"))
-    lists = table(lists.select("s", "__id", "n", "pos", "before", F.col("lead.__id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp"), F.col("lead.before").alias("lb")))
-    fits = lambda n, p, x, m, q, y: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({n} - {p}, {m} - {q}) + least({x}, {y}) >= ({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent}")
-    led = table(lists.where("lead <> __id").where(fits("n", "pos", "before", "ln", "lp", "lb")).select(F.col("lead").alias("a"), F.col("__id").alias("b")).distinct())
+    lists = lists.withColumn("lead", F.expr("min(struct(alone, __id, n, rest)) OVER (PARTITION BY s, block)"))
+    lists = table(lists.select("s", "__id", "n", "rest", F.col("lead.__id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.rest").alias("lr")))
+    fits = lambda n, x, m, y: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({x}, {y}) >= ({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent}")
+    led = table(lists.where("lead <> __id").where(fits("n", "rest", "ln", "lr")).select(F.col("lead").alias("a"), F.col("__id").alias("b")).distinct())
     # Texts of sets in lists alone; both sides grow with the corpus, so neither is broadcast at any size.
     some = lists.select("__id").distinct().hint("merge")
     texts = table(own.where("__id IS NOT NULL").hint("merge").join(some, "__id", "left_semi"))
     found = components(_verified(led, texts, size, percent))
     # Answers known so far: lists within one class are skipped.
-    label = lists.select("s", "__id", "n", "pos", "before").join(found.withColumnRenamed("id", "__id"), "__id", "left").withColumn("c", F.coalesce("c", "__id"))
+    label = lists.select("s", "__id", "n", "rest").join(found.withColumnRenamed("id", "__id"), "__id", "left").withColumn("c", F.coalesce("c", "__id"))
     label = label.withColumn("low", F.expr("min(c) OVER (PARTITION BY s)")).withColumn("high", F.expr("max(c) OVER (PARTITION BY s)")).where("low < high").drop("low", "high")
     label = table(label)
-    left, right = (label.select("s", *(F.col(c).alias(x + c) for c in ("__id", "n", "pos", "before", "c"))) for x in "ab")
-    cross = left.join(right, "s").where("ac < bc").where(fits("an", "apos", "abefore", "bn", "bpos", "bbefore")).select(F.col("a__id").alias("a"), F.col("b__id").alias("b")).distinct()
+    left, right = (label.select("s", *(F.col(c).alias(x + c) for c in ("__id", "n", "rest", "c"))) for x in "ab")
+    cross = left.join(right, "s").where("ac < bc").where(fits("an", "arest", "bn", "brest")).select(F.col("a__id").alias("a"), F.col("b__id").alias("b")).distinct()
     cross = table(cross.join(led, ["a", "b"], "left_anti"))
     found = components(_verified(cross, texts, size, percent), found)
     of = alike.drop("prefix").join(found, F.col("rep") == F.col("id"), "left").select("one", "two", "n", F.coalesce("c", "rep").alias("c"))

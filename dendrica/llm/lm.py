@@ -40,7 +40,7 @@ CHARS, ROUNDS = 220, 2
 #: Words that every worker holds at most.
 BROADCAST = 1 << 18
 #: Bytes of texts whose words are counted together.
-COUNTED = 24 << 20
+COUNTED = 10 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -44,6 +44,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = BYTES, rows: int = TE
         base = ends[at - 1] if at else 0
         to = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + rows)
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

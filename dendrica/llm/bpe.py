@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space within a run of white space, where a run may go on as one pre-token.
@@ -152,7 +154,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
             ids = [[int(x) for x in m.encode_text(t.as_py() or "").split(b",") if x] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return lean(docs).select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -183,4 +185,4 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
                 of_text.append(sha(m.decode_text(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return lean(docs).select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -39,6 +39,13 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame, records: int = 2000) -> DataFrame:
+    """df, with its session's Arrow batches at most `records` long: whole texts of 10,000 rows, Spark's default, are too much for small workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(name, str(min(records, int(conf.get(name)) or records)))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import slices, split_words
 
 #: Shingles whose order is by frequency, at most; they go to every worker.
 COMMON = 1 << 17
 #: Shingles a task holds while it counts.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Followers of a leader that meet it in one task.
 FOLLOWERS = 512
 
@@ -194,7 +194,7 @@ def components(links: DataFrame, previous: DataFrame | None = None) -> DataFrame
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row: documents link from `percent` hundredths of Jaccard similarity on."""
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t"))
+    own = lean(docs).select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t"))
     common = spark.sparkContext.broadcast(_common(own, "__t", size))
     sets = table(_prefixed(own, "__t", size, percent, common))
     # Equal sets: one stands for all.

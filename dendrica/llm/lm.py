@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import lean, table, text_of
 from .tokens import WordIds, default_path, slices, split_words, word_ids
 
 END = 1
@@ -40,7 +40,7 @@ CHARS, ROUNDS = 220, 2
 #: Words that every worker holds at most.
 BROADCAST = 1 << 18
 #: Bytes of texts whose words are counted together.
-COUNTED = 10 << 20
+COUNTED = 8 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -274,7 +274,7 @@ def _trained(windows: DataFrame, classes: np.ndarray, rounds: int) -> bytes:
 def fit(train_docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, rounds: int = ROUNDS) -> Model:
     """Learn from all rows of train_docs."""
     spark, path = train_docs.sparkSession, path or default_path()
-    docs = train_docs.select(key, text)
+    docs = lean(train_docs).select(key, text)
     words = table(docs.select(text).mapInArrow(_counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
     level = F.floor(F.log2("c") * 8).cast("int")
     levels = sorted(words.groupBy(level.alias("l")).agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect(), reverse=True)  # 8 rows a power of two
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 cols = [pa.array(n + 1, pa.int64()), pa.array(np.bincount(of[known], minlength=len(n)), pa.int64()), pa.array(np.bincount(of, logs, len(n))), rest, pa.array(scorer.texts(texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept) + 1], *cols], ["__row", *kept, "n_tokens", "__hits", "__base", "__rest", "score"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *kept, F.col(text)).mapInArrow(run, f"`__row` bigint, {types}, n_tokens bigint, `__hits` bigint, `__base` double, `__rest` array<binary>, score double")
+    rows = lean(docs).select(F.monotonically_increasing_id().alias("__row"), *kept, F.col(text)).mapInArrow(run, f"`__row` bigint, {types}, n_tokens bigint, `__hits` bigint, `__base` double, `__rest` array<binary>, score double")
     rows = table(rows)
     rare = rows.select("__row", F.explode("__rest").alias("word")).join(model.words, "word").groupBy("__row").agg(F.count("*").alias("__n"), F.sum(F.log10(F.col("c") + 1)).alias("__s"))
     out = rows.drop("__rest").join(rare, "__row", "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import default_path, slices, word_ids
 
 LENGTH, END = 2048, 1
@@ -79,7 +79,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 packed = [codec.compress(x.tobytes(), asbytes=True) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids)), pa.array(packed, pa.binary())], ["__row", key, "__n", "__curve", "__ids"])
 
-    return table(docs.select(F.monotonically_increasing_id().alias("__row"), key, F.col(text)).mapInArrow(run, schema))
+    return table(lean(docs).select(F.monotonically_increasing_id().alias("__row"), key, F.col(text)).mapInArrow(run, schema))
 
 
 def laid_out(rows: DataFrame) -> DataFrame:

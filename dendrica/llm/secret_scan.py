@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE = KINDS[:3]
 
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, span)], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {kind}")
+    return lean(docs).select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {kind}")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,7 +162,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = [t if t is None else redact(t, s) if (s := spans_of(t)) else t for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(b.columns)], schema=pa.schema([pa.field(f.name, pa.string()) if i == at else f for i, f in enumerate(b.schema)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

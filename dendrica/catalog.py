@@ -1,19 +1,138 @@
-"""Every registered query of the morphology engine, with its SQL."""
+"""Every registered query of the morphology engine, with its SQL.
+
+The driver's tables hold no neurons; plans.forest derives them from events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .operators import metrics, nodes, raster, tree
+from .plans.forest import GOLD, PRED, forest
+from .sources import swc
+
+K = "neuron_id"
+LOW, HIGH = (10, 50, 20), (200, 400, 250)
+SHAPE = (300, 500, 600)
+
+
+def _round(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes))
+
+
+_Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
+    "a1_summary": lambda n, p: nodes.summary(n),
+    "f1_roots": lambda n, p: nodes.roots(n),
+    "f4_roi": lambda n, p: nodes.in_roi(n, LOW, HIGH),
+    "f5_cube": lambda n, p: nodes.in_cube(n, LOW, HIGH),
+    "f8_branches": lambda n, p: nodes.branches(n),
+    "f9_leaves": lambda n, p: nodes.leaves(n),
+    "f9_leaves_isolated_roots": lambda n, p: nodes.leaves(n, True),
+    "p1_rescale": lambda n, p: nodes.rescale(n, (1.0, 2.0, 0.5)),
+    "p2_add_offset": lambda n, p: nodes.add_offset(n, (1.5, -2.0, 3.0)),
+    "p3_rotate_z": lambda n, p: nodes.rotate_z(n, (10.0, 20.0), 30.0),
+    "j1_edges": lambda n, p: nodes.edges(n),
+    "j2_children": lambda n, p: nodes.children(n).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ",")),
+    "j8_close_pairs": lambda n, p: nodes.close_pairs(n, 25.0),
+    "k1_swc_lines": lambda n, p: swc.lines(n, 2),
+    "s1_parse": lambda n, p: swc.parse(swc.lines(n, 2).withColumn("ord", F.col("id"))).drop("ord"),
+    "k5_crop": lambda n, p: nodes.crop(n, LOW, HIGH),
+    "w5_reindex": lambda n, p: nodes.reindex(n.where("id % 3 <> 2")),
+    "w9_father_path": lambda n, p: nodes.father_path(n).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ",")),
+    "u1_merge": lambda n, p: nodes.merge([n, p()]),
+    "u2_remove_duplicates": lambda n, p: nodes.remove_duplicates(n.withColumns({c: F.floor(F.col(c) / 50).cast("double") for c in "xyz"})),
+    "t1_rooted": lambda n, p: tree.rooted(n),
+    "t4_fibers": lambda n, p: tree.fibers(n),
+    "t8_components": lambda n, p: tree.components(n),
+    "t9_subtrees": lambda n, p: tree.subtrees(n),
+    "t16_lca": lambda n, p: tree.lca(n, n.where("id > 1").select(K, (F.col("id") - 1).alias("u"), F.col("id").alias("v"))),
+    "t21_remove_nodes": lambda n, p: nodes.remove_nodes(n, n.where("id % 5 = 3").select(K, "id")),
+    "t18_resample": lambda n, p: tree.resample(n, 20.0),
+    "g9_turn_angles": lambda n, p: tree.turn_angles(n),
+    "g7_segment_distance": lambda n, p: nodes.edges(n).select(K, "id", G.distance_to_segment((F.lit(100.0), F.lit(200.0), F.lit(150.0)), G.point(), G.point("p")).alias("d")),
+    "m4_ssd": lambda n, p: metrics.ssd(n, p()),
+    "m5_point": lambda n, p: metrics.point(n, p()),
+    "j6_distances": lambda n, p: metrics.distances(n, p()),
+    "m6_keypoint": lambda n, p: metrics.keypoint(n, p()),
+    "m11_fiber": lambda n, p: metrics.fiber(n, p()),
+    "m13_batch": lambda n, p: metrics.batch(n, p()),
+    "r1_line_voxels": lambda n, p: raster.line_voxels(n, SHAPE),
+    "r2_sphere_voxels": lambda n, p: raster.sphere_voxels(n, SHAPE, 2.0),
+    "r8_adjacency": lambda n, p: raster.adjacency(raster.sphere_voxels(n, SHAPE, 2.0)),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: lambda spark, sf_dir, f=f: _round(f(forest(spark, sf_dir), lambda: forest(spark, sf_dir, PRED))) for name, f in _Q.items()}
+
+
+_E = "e AS (SELECT n.*, p.x AS px, p.y AS py, p.z AS pz, sqrt((n.x - p.x) ** 2 + (n.y - p.y) ** 2 + (n.z - p.z) ** 2) AS length FROM n JOIN n p ON n.neuron_id = p.neuron_id AND n.parent = p.id)"
+_KIDS = "kids AS (SELECT neuron_id, parent AS id, count(*) AS n_children FROM n WHERE parent <> -1 GROUP BY ALL)"
+_ALL = "neuron_id, id, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, radius, parent"
+_R = f"{_E}, r AS (SELECT neuron_id, id, id AS root_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS DOUBLE) AS root_length FROM n WHERE parent = -1 UNION ALL SELECT e.neuron_id, e.id, r.root_id, r.depth + 1, r.root_length + e.length FROM r JOIN e ON r.neuron_id = e.neuron_id AND r.id = e.parent)"
+_C = f"{_E}, c AS (SELECT neuron_id, id, id AS anc, CAST(0 AS BIGINT) AS dist FROM n UNION ALL SELECT c.neuron_id, c.id, e.parent, c.dist + 1 FROM c JOIN e ON c.neuron_id = e.neuron_id AND c.anc = e.id)"
+_D = """d AS (SELECT g.neuron_id, 'gold' AS side, g.id, min(sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2)) AS d FROM n g LEFT JOIN q p ON g.neuron_id = p.neuron_id GROUP BY ALL
+  UNION ALL SELECT p.neuron_id, 'pred', p.id, min(sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2)) FROM q p LEFT JOIN n g ON g.neuron_id = p.neuron_id GROUP BY ALL)"""
+_BOX = {op: " AND ".join(f"{c} >= {a} AND {c} {op} {b}" for c, a, b in zip("xyz", LOW, HIGH, strict=True)) for op in ("<=", "<")}
+_LINE = "printf('%d %d %.2f %.2f %.2f %.2f %d', id, type, x, y, z, radius, parent)"
+_NUMBERED = "SELECT m.neuron_id, m.new_id AS id, m.type, {x}, m.radius, coalesce(u.new_id, -1) AS parent FROM m LEFT JOIN m u ON m.neuron_id = u.neuron_id AND m.parent = u.id"
+_XYZ = "round(m.x, 4) AS x, round(m.y, 4) AS y, round(m.z, 4) AS z"
+_SPHERE = f"""s AS (SELECT neuron_id, x, y, z, 2 * radius AS r FROM n), v AS (SELECT DISTINCT neuron_id, CAST(z.g AS INT) AS z, CAST(y.g AS INT) AS y, CAST(x.g AS INT) AS x
+  FROM s, LATERAL (SELECT unnest(range(CAST(ceil(s.z - r) AS BIGINT), CAST(floor(s.z + r) AS BIGINT) + 1)) AS g) z, LATERAL (SELECT unnest(range(CAST(ceil(s.y - r) AS BIGINT), CAST(floor(s.y + r) AS BIGINT) + 1)) AS g) y,
+  LATERAL (SELECT unnest(range(CAST(ceil(s.x - r) AS BIGINT), CAST(floor(s.x + r) AS BIGINT) + 1)) AS g) x
+  WHERE (z.g - s.z) ** 2 + (y.g - s.y) ** 2 + (x.g - s.x) ** 2 <= r * r AND z.g >= 0 AND z.g < {SHAPE[0]} AND y.g >= 0 AND y.g < {SHAPE[1]} AND x.g >= 0 AND x.g < {SHAPE[2]})"""
+_SQL = {
+    "a1_summary": f"{_E} SELECT s.*, round(coalesce(l.length, 0), 4) AS length FROM (SELECT neuron_id, count(*) AS n_nodes, count(*) FILTER (parent <> -1) AS n_edges, max(id) + 1 AS next_id, count(*) FILTER (parent = -1) AS n_roots, "
+    + ", ".join(f"round({a}({c}), 4) AS {a}_{c}" for a in ("min", "max") for c in "xyz")
+    + " FROM n GROUP BY neuron_id) s LEFT JOIN (SELECT neuron_id, sum(length) AS length FROM e GROUP BY neuron_id) l ON s.neuron_id = l.neuron_id",
+    "f1_roots": f"SELECT {_ALL} FROM n WHERE parent = -1",
+    "f4_roi": f"SELECT {_ALL} FROM n WHERE {_BOX['<=']}",
+    "f5_cube": f"SELECT {_ALL} FROM n WHERE {_BOX['<']}",
+    "f8_branches": f"{_KIDS} SELECT {_ALL} FROM n WHERE parent <> -1 AND (neuron_id, id) IN (SELECT (neuron_id, id) FROM kids WHERE n_children > 1)",
+    "f9_leaves": f"{_KIDS} SELECT {_ALL} FROM n WHERE (neuron_id, id) NOT IN (SELECT (neuron_id, id) FROM kids)",
+    "f9_leaves_isolated_roots": f"{_KIDS} SELECT {_ALL} FROM n WHERE (neuron_id, id) NOT IN (SELECT (neuron_id, id) FROM kids) OR parent = -1 AND (neuron_id, id) IN (SELECT (neuron_id, id) FROM kids WHERE n_children = 1)",
+    "p1_rescale": "SELECT neuron_id, id, type, round(x * 1.0, 4) AS x, round(y * 2.0, 4) AS y, round(z * 0.5, 4) AS z, radius, parent FROM n",
+    "p2_add_offset": "SELECT neuron_id, id, type, round(x + 1.5, 4) AS x, round(y - 2.0, 4) AS y, round(z + 3.0, 4) AS z, radius, parent FROM n",
+    "p3_rotate_z": "SELECT neuron_id, id, type, round(10 + (x - 10) * cos(radians(30)) - (y - 20) * sin(radians(30)), 4) AS x, round(20 + (x - 10) * sin(radians(30)) + (y - 20) * cos(radians(30)), 4) AS y, round(z, 4) AS z, radius, parent FROM n",
+    "j1_edges": f"{_E} SELECT neuron_id, id, parent, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(px, 4) AS px, round(py, 4) AS py, round(pz, 4) AS pz, round(length, 4) AS length FROM e",
+    "j2_children": "SELECT neuron_id, parent AS id, string_agg(id, ',' ORDER BY id) AS children FROM n WHERE parent <> -1 GROUP BY neuron_id, parent",
+    "j8_close_pairs": "SELECT a.neuron_id, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 4) AS dist FROM n a JOIN n b ON a.neuron_id = b.neuron_id AND a.id < b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 25",
+    "k1_swc_lines": f"SELECT neuron_id, id, {_LINE} AS line FROM n",
+    "s1_parse": "SELECT neuron_id, id, type, CAST(printf('%.2f', x) AS DOUBLE) AS x, CAST(printf('%.2f', y) AS DOUBLE) AS y, CAST(printf('%.2f', z) AS DOUBLE) AS z, CAST(printf('%.2f', radius) AS DOUBLE) AS radius, parent FROM n",
+    "k5_crop": f"m AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY id) AS new_id FROM n WHERE {_BOX['<']}) " + _NUMBERED.format(x=f"round(m.x - {LOW[0]}, 4) AS x, round(m.y - {LOW[1]}, 4) AS y, round(m.z - {LOW[2]}, 4) AS z"),
+    "w5_reindex": "m AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY id) AS new_id FROM n WHERE id % 3 <> 2) " + _NUMBERED.format(x=_XYZ),
+    "w9_father_path": f"{_C} SELECT neuron_id, id, string_agg(anc, ',' ORDER BY dist) AS path FROM c WHERE dist < 5 GROUP BY neuron_id, id",
+    "u1_merge": "b AS (SELECT *, 0 AS src FROM n UNION ALL SELECT *, 1 FROM q), m AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY src, id) AS new_id FROM b) " + _NUMBERED.format(x=_XYZ) + " AND m.src = u.src",
+    "u2_remove_duplicates": "f AS (SELECT neuron_id, id, type, floor(x / 50) AS x, floor(y / 50) AS y, floor(z / 50) AS z, radius, parent FROM n), k AS (SELECT *, min(id) OVER (PARTITION BY neuron_id, x, y, z) AS kept FROM f) "
+    "SELECT k.neuron_id, k.id, k.type, k.x, k.y, k.z, k.radius, CASE WHEN u.kept IS NULL OR u.kept = k.id THEN -1 ELSE u.kept END AS parent FROM k LEFT JOIN k u ON k.neuron_id = u.neuron_id AND k.parent = u.id WHERE k.id = k.kept",
+    "t1_rooted": f"{_R} SELECT neuron_id, id, root_id, depth, round(root_length, 4) AS root_length FROM r",
+    "t4_fibers": f"{_R}, {_KIDS} SELECT r.neuron_id, r.id AS leaf_id, r.root_id, o.type AS root_type, n.type AS leaf_type, r.depth + 1 AS n_nodes, round(r.root_length, 4) AS length FROM r JOIN n ON r.neuron_id = n.neuron_id AND r.id = n.id JOIN n o ON r.neuron_id = o.neuron_id AND r.root_id = o.id WHERE r.depth > 0 AND (r.neuron_id, r.id) NOT IN (SELECT (neuron_id, id) FROM kids)",
+    "t8_components": f"{_R} SELECT neuron_id, root_id, count(*) AS n_nodes, max(depth) AS depth FROM r GROUP BY neuron_id, root_id",
+    "t9_subtrees": f"{_C} SELECT c.neuron_id, c.anc AS id, count(*) AS n_nodes, round(coalesce(sum(e.length), 0), 4) AS length FROM c LEFT JOIN e ON c.neuron_id = e.neuron_id AND c.id = e.id GROUP BY c.neuron_id, c.anc",
+    "t16_lca": f"{_C} SELECT n.neuron_id, n.id - 1 AS u, n.id AS v, coalesce(min_by(a.anc, a.dist) FILTER (b.anc IS NOT NULL), -1) AS lca FROM n JOIN c a ON a.neuron_id = n.neuron_id AND a.id = n.id - 1 LEFT JOIN c b ON b.neuron_id = n.neuron_id AND b.id = n.id AND b.anc = a.anc WHERE n.id > 1 GROUP BY n.neuron_id, n.id",
+    "t21_remove_nodes": "SELECT neuron_id, id, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, radius, CASE WHEN parent % 5 = 3 THEN -1 ELSE parent END AS parent FROM n WHERE id % 5 <> 3",
+    "m4_ssd": f"{_D} SELECT neuron_id, round(a, 4) AS sd_gt2pred, round(b, 4) AS sd_pred2gt, round(s, 4) AS ssd_gt2pred, round(t, 4) AS ssd_pred2gt, round(w, 4) AS ssd_percent, round((a + b) / 2, 4) AS sd, round((s + t) / 2, 4) AS ssd FROM (SELECT neuron_id, avg(d) FILTER (side = 'gold') AS a, avg(d) FILTER (side = 'pred') AS b, coalesce(avg(d) FILTER (side = 'gold' AND d > 2), 0) AS s, coalesce(avg(d) FILTER (side = 'pred' AND d > 2), 0) AS t, avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END) AS w FROM d GROUP BY neuron_id)",
+    "m5_point": f"""{_D}, c AS (SELECT neuron_id, count(*) FILTER (side = 'gold') AS num_gt, count(*) FILTER (side = 'pred') AS num_pred, count(*) FILTER (side = 'pred' AND d < 4) AS TP, count(*) FILTER (side = 'pred' AND NOT coalesce(d < 4, false)) AS FP, count(*) FILTER (side = 'gold' AND NOT coalesce(d < 4, false)) AS FN FROM d GROUP BY neuron_id),
+      s AS (SELECT *, coalesce(TP / nullif(num_pred, 0), 0) AS p, coalesce((num_gt - FN) / nullif(num_gt, 0), 0) AS r, coalesce((num_gt - FN) / nullif(num_gt + FP, 0), 0) AS m FROM c)
+      SELECT neuron_id, num_gt, num_pred, TP, FP, FN, round(p, 4) AS precision, round(r, 4) AS recall, round(m, 4) AS MES, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM s""",
+    "j6_distances": f"{_D} SELECT neuron_id, side, id, round(d, 4) AS d FROM d",
+    "r2_sphere_voxels": f"{_SPHERE} SELECT * FROM v",
+    "r8_adjacency": f"{_SPHERE} SELECT a.neuron_id, b.z, b.y, b.x, a.z AS az, a.y AS ay, a.x AS ax FROM v a JOIN v b ON a.neuron_id = b.neuron_id AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (b.z, b.y, b.x) > (a.z, a.y, a.x)",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {}
+    for name, sql in _SQL.items():
+        head = f"WITH RECURSIVE n AS ({GOLD}), q AS ({PRED})"
+        out[name] = f"{head} {sql}" if sql.startswith("SELECT") else f"{head}, {sql}"
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scores of all pairs by metric."""
+    return queries()["m13_batch"](spark, sf_dir)

@@ -37,6 +37,8 @@ END = 1
 CLASSES, BUCKETS, DIM, SPAN, STRIDE = 32, 4096, 8, 32, 28
 #: Characters from which a training window is cut, and rounds of averaging.
 CHARS, ROUNDS = 220, 2
+#: Times that a batch of windows is gone over.
+PASSES = 4
 #: Words that every worker holds at most.
 BROADCAST = 1 << 18
 #: Bytes of texts whose words are counted together.
@@ -255,7 +257,9 @@ def _trained(windows: DataFrame, classes: np.ndarray, rounds: int) -> bytes:
             got, n, w = [], 0, shaped(raw)
             for b in batches:
                 ids = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, SPAN + 1).astype(np.int64)
-                w, n = train(w, ids, classes, 0.05 / (1 + nth)), n + len(ids)
+                # Batches are gone over some times, short ones more often: averages of barely trained weights say little.
+                ids = np.concatenate([ids[np.random.default_rng(i).permutation(len(ids))] for i in range(min(40, max(PASSES, PASSES * 2000 // max(1, len(ids)))))]) if len(ids) else ids
+                w, n = train(w, ids, classes, 0.05 / (1 + nth)), n + b.num_rows
             if n:
                 from pyspark import TaskContext
 

@@ -18,6 +18,8 @@ from .sources import swc
 K = "neuron_id"
 LOW, HIGH = (10, 50, 20), (200, 400, 250)
 SHAPE = (300, 500, 600)
+#: Edges of these forests are hundreds of units long, so fibers are compared at wider steps.
+FIBER = {"every": 40.0, "threshold": 20.0}
 
 
 def _round(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -58,8 +60,8 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "m5_point": lambda n, p: metrics.point(n, p()),
     "j6_distances": lambda n, p: metrics.distances(n, p()),
     "m6_keypoint": lambda n, p: metrics.keypoint(n, p()),
-    "m11_fiber": lambda n, p: metrics.fiber(n, p()),
-    "m13_batch": lambda n, p: metrics.batch(n, p()),
+    "m11_fiber": lambda n, p: metrics.fiber(n, p(), **FIBER),
+    "m13_batch": lambda n, p: metrics.batch(n, p(), params={"fiber": FIBER}),
     "r1_line_voxels": lambda n, p: raster.line_voxels(n, SHAPE),
     "r2_sphere_voxels": lambda n, p: raster.sphere_voxels(n, SHAPE, 2.0),
     "r8_adjacency": lambda n, p: raster.adjacency(raster.sphere_voxels(n, SHAPE, 2.0)),
@@ -121,7 +123,8 @@ _SQL = {
       SELECT neuron_id, num_gt, num_pred, TP, FP, FN, round(p, 4) AS precision, round(r, 4) AS recall, round(m, 4) AS MES, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM s""",
     "j6_distances": f"{_D} SELECT neuron_id, side, id, round(d, 4) AS d FROM d",
     "r2_sphere_voxels": f"{_SPHERE} SELECT * FROM v",
-    "r8_adjacency": f"{_SPHERE} SELECT a.neuron_id, b.z, b.y, b.x, a.z AS az, a.y AS ay, a.x AS ax FROM v a JOIN v b ON a.neuron_id = b.neuron_id AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (b.z, b.y, b.x) > (a.z, a.y, a.x)",
+    "r8_adjacency": f"{_SPHERE}, o AS (SELECT i.g AS i, j.g AS j, k.g AS k FROM (SELECT unnest([-1, 0, 1]) AS g) i, (SELECT unnest([-1, 0, 1]) AS g) j, (SELECT unnest([-1, 0, 1]) AS g) k WHERE (i.g, j.g, k.g) > (0, 0, 0)) "
+    "SELECT a.neuron_id, b.z, b.y, b.x, a.z AS az, a.y AS ay, a.x AS ax FROM (SELECT * FROM v, o) a JOIN v b ON a.neuron_id = b.neuron_id AND a.z + i = b.z AND a.y + j = b.y AND a.x + k = b.x",
 }
 
 

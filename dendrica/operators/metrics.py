@@ -190,11 +190,11 @@ def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float =
 METRICS = {"ssd": ssd, "point": point, "keypoint": keypoint, "fiber": fiber}
 
 
-def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("point", "keypoint", "fiber"), collect: str = "micro") -> DataFrame:
+def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("point", "keypoint", "fiber"), collect: str = "micro", params: dict[str, dict] | None = None) -> DataFrame:
     """One row a metric over all pairs: counts added up (micro), or means of the pairs' scores (macro)."""
     out = None
     for name in names:
-        rows = METRICS[name](gold, pred).select(F.lit(name).alias("metric"), K, "TP", "FP", "FN", "precision", "recall", "f1")
+        rows = METRICS[name](gold, pred, **(params or {}).get(name, {})).select(F.lit(name).alias("metric"), K, "TP", "FP", "FN", "precision", "recall", "f1")
         out = rows if out is None else out.unionByName(rows)
     grouped = out.groupBy("metric")
     if collect == "macro":

@@ -201,12 +201,12 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_i
     alike = table(sets.where("n > 0 AND __id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("__id").alias("rep"), F.min_by("prefix", "__id").alias("prefix")))
     entries = alike.select(F.col("rep").alias("__id"), "n", F.posexplode("prefix").alias("pos", "s"))
     lists = entries.withColumn("size", F.expr("count(*) OVER (PARTITION BY s)")).where("size > 1").select("s", "__id", F.col("n").cast("int").alias("n"), "pos")
-    # Shingles of a prefix in no list match nothing: `before` counts those before an entry that may, `alone` those in no list.
-    lists = lists.withColumns({"before": F.expr("CAST(row_number() OVER (PARTITION BY __id ORDER BY pos) - 1 AS INT)"), "alone": F.expr(f"CAST(n - (n * {percent} + 99) DIV 100 + 1 - count(*) OVER (PARTITION BY __id) AS INT)")})
+    # Shingles of a prefix in no list: a set with few of them is like others. (Other sets may hold them beyond their prefixes, so they bound nothing.)
+    lists = lists.withColumn("alone", F.expr(f"CAST(n - (n * {percent} + 99) DIV 100 + 1 - count(*) OVER (PARTITION BY __id) AS INT)"))
     block = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     # What may still match from an entry on. At the first shingle that two sets share it bounds all that they share, so
     # a pair that links is met there at the latest, and later lists need not bring it up again.
-    lists = lists.withColumn("rest", F.expr("n - alone - before")).withColumn("block", block)
+    lists = lists.withColumn("rest", F.expr("n - pos")).withColumn("block", block)
     # The leader of a block is the set that is likest to others.
     lists = lists.withColumn("lead", F.expr("min(struct(alone, __id, n, rest)) OVER (PARTITION BY s, block)"))
     lists = table(lists.select("s", "__id", "n", "rest", F.col("lead.__id").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.rest").alias("lr")))

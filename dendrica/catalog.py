@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .operators import metrics, nodes, raster, tree
+from .operators import metrics, nodes, raster, shape, tree
 from .plans.forest import GOLD, PRED, forest
 from .sources import swc
 
@@ -52,6 +52,11 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "t8_components": lambda n, p: tree.components(n),
     "t9_subtrees": lambda n, p: tree.subtrees(n),
     "t16_lca": lambda n, p: tree.lca(n, n.where("id > 1").select(K, (F.col("id") - 1).alias("u"), F.col("id").alias("v"))),
+    "t5_roi_fibers": lambda n, p: shape.roi_fibers(n, LOW, HIGH),
+    "t13_rerooted": lambda n, p: shape.rerooted(n, n.groupBy(K).agg(F.max("id").alias("id"))),
+    "t15_align_roots": lambda n, p: shape.align_roots(n, p().where("id % 9 = 4").select(K, "x", "y", "z"), 20.0),
+    "t19_non_adjacent": lambda n, p: shape.non_adjacent_pairs(n, 40.0),
+    "a8_density": lambda n, p: shape.density(n, 40.0),
     "t21_remove_nodes": lambda n, p: nodes.remove_nodes(n, n.where("id % 5 = 3").select(K, "id")),
     "t18_resample": lambda n, p: tree.resample(n, 20.0),
     "g9_turn_angles": lambda n, p: tree.turn_angles(n),
@@ -77,6 +82,8 @@ _KIDS = "kids AS (SELECT neuron_id, parent AS id, count(*) AS n_children FROM n
 _ALL = "neuron_id, id, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, radius, parent"
 _R = f"{_E}, r AS (SELECT neuron_id, id, id AS root_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS DOUBLE) AS root_length FROM n WHERE parent = -1 UNION ALL SELECT e.neuron_id, e.id, r.root_id, r.depth + 1, r.root_length + e.length FROM r JOIN e ON r.neuron_id = e.neuron_id AND r.id = e.parent)"
 _C = f"{_E}, c AS (SELECT neuron_id, id, id AS anc, CAST(0 AS BIGINT) AS dist FROM n UNION ALL SELECT c.neuron_id, c.id, e.parent, c.dist + 1 FROM c JOIN e ON c.neuron_id = e.neuron_id AND c.anc = e.id)"
+_TURNED = """, up AS (SELECT c.neuron_id, c.anc AS id, c.dist, coalesce(lag(c.anc) OVER (PARTITION BY c.neuron_id, c.id ORDER BY c.dist), -1) AS parent FROM c JOIN a ON a.neuron_id = c.neuron_id AND a.id = c.id),
+  t AS (SELECT n.neuron_id, n.id, n.type, n.x, n.y, n.z, n.radius, coalesce(up.parent, n.parent) AS parent, CASE WHEN up.dist > 0 THEN 0 ELSE n.id END AS place FROM n LEFT JOIN up ON n.neuron_id = up.neuron_id AND n.id = up.id)"""
 _D = """d AS (SELECT g.neuron_id, 'gold' AS side, g.id, min(sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2)) AS d FROM n g LEFT JOIN q p ON g.neuron_id = p.neuron_id GROUP BY ALL
   UNION ALL SELECT p.neuron_id, 'pred', p.id, min(sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2)) FROM q p LEFT JOIN n g ON g.neuron_id = p.neuron_id GROUP BY ALL)"""
 _BOX = {op: " AND ".join(f"{c} >= {a} AND {c} {op} {b}" for c, a, b in zip("xyz", LOW, HIGH, strict=True)) for op in ("<=", "<")}
@@ -116,6 +123,28 @@ _SQL = {
     "t8_components": f"{_R} SELECT neuron_id, root_id, count(*) AS n_nodes, max(depth) AS depth FROM r GROUP BY neuron_id, root_id",
     "t9_subtrees": f"{_C} SELECT c.neuron_id, c.anc AS id, count(*) AS n_nodes, round(coalesce(sum(e.length), 0), 4) AS length FROM c LEFT JOIN e ON c.neuron_id = e.neuron_id AND c.id = e.id GROUP BY c.neuron_id, c.anc",
     "t16_lca": f"{_C} SELECT n.neuron_id, n.id - 1 AS u, n.id AS v, coalesce(min_by(a.anc, a.dist) FILTER (b.anc IS NOT NULL), -1) AS lca FROM n JOIN c a ON a.neuron_id = n.neuron_id AND a.id = n.id - 1 LEFT JOIN c b ON b.neuron_id = n.neuron_id AND b.id = n.id AND b.anc = a.anc WHERE n.id > 1 GROUP BY n.neuron_id, n.id",
+    "t18_resample": f"""{_R}, {_KIDS}, w0 AS (SELECT n.*, r.root_length AS s, n.parent = -1 OR coalesce(kids.n_children, 0) <> 1 AS is_key FROM n JOIN r ON n.neuron_id = r.neuron_id AND n.id = r.id LEFT JOIN kids ON n.neuron_id = kids.neuron_id AND n.id = kids.id),
+      w AS (SELECT neuron_id, id AS tail, id, parent FROM w0 WHERE is_key AND parent <> -1 UNION ALL SELECT w.neuron_id, w.tail, w0.id, w0.parent FROM w JOIN w0 ON w.neuron_id = w0.neuron_id AND w.parent = w0.id AND NOT w0.is_key),
+      seg AS (SELECT w.neuron_id, w.tail, w.id, w.parent, b.type, b.x, b.y, b.z, b.radius, a.x AS px, a.y AS py, a.z AS pz, a.radius AS pradius, a.s - min(a.s) OVER (PARTITION BY w.neuron_id, w.tail) AS s0, b.s - min(a.s) OVER (PARTITION BY w.neuron_id, w.tail) AS s1
+        FROM w JOIN w0 b ON w.neuron_id = b.neuron_id AND w.id = b.id JOIN w0 a ON w.neuron_id = a.neuron_id AND w.parent = a.id),
+      pos AS (SELECT seg.*, unnest(range(CAST(greatest(ceil(s0 / 20), 1) AS BIGINT), CAST(ceil((s1 - CASE WHEN id = tail THEN 1e-6 ELSE 0 END) / 20) AS BIGINT))) AS k FROM seg UNION ALL SELECT seg.*, NULL FROM seg WHERE id = tail),
+      pt AS (SELECT *, CASE WHEN k IS NULL THEN 1 ELSE (k * 20 - s0) / (s1 - s0) END AS t, row_number() OVER (PARTITION BY neuron_id, k IS NULL ORDER BY tail, k) AS num FROM pos),
+      nu AS (SELECT pt.*, CASE WHEN k IS NULL THEN tail ELSE num + (SELECT max(id) FROM n WHERE n.neuron_id = pt.neuron_id) END AS new_id FROM pt),
+      st AS (SELECT neuron_id, tail, min_by(parent, s0) AS start FROM seg GROUP BY ALL)
+      SELECT nu.neuron_id, new_id AS id, type, round(px + (x - px) * t, 4) AS x, round(py + (y - py) * t, 4) AS y, round(pz + (z - pz) * t, 4) AS z, round(pradius + (radius - pradius) * t, 4) AS radius, coalesce(lag(new_id) OVER (PARTITION BY nu.neuron_id, nu.tail ORDER BY k NULLS LAST), start) AS parent
+      FROM nu JOIN st ON nu.neuron_id = st.neuron_id AND nu.tail = st.tail UNION ALL SELECT {_ALL} FROM n WHERE parent = -1""",
+    "t5_roi_fibers": f"""{_C}, {_KIDS}, f AS (SELECT c.neuron_id, c.id AS leaf_id, max(c.dist) OVER (PARTITION BY c.neuron_id, c.id) AS last, last - c.dist AS pos, n.id, n.x, n.y, n.z FROM c JOIN n ON n.neuron_id = c.neuron_id AND n.id = c.anc WHERE (c.neuron_id, c.id) NOT IN (SELECT (neuron_id, id) FROM kids)),
+      g AS (SELECT *, pos - row_number() OVER (PARTITION BY neuron_id, leaf_id ORDER BY pos) AS run FROM f WHERE last > 0 AND {_BOX["<="]})
+      SELECT neuron_id, leaf_id, min(pos) AS pos, count(*) AS n_nodes, min_by(id, pos) AS first_id, max_by(id, pos) AS last_id FROM g GROUP BY neuron_id, leaf_id, run HAVING count(*) > 1 OR max(pos) < max(last)""",
+    "t13_rerooted": f"{_C}, a AS (SELECT neuron_id, max(id) AS id FROM n GROUP BY neuron_id){_TURNED} SELECT neuron_id, id, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, radius, parent FROM t",
+    "t15_align_roots": f"""{_C}, near AS (SELECT q.neuron_id, n.id, sqrt((n.x - q.x) ** 2 + (n.y - q.y) ** 2 + (n.z - q.z) ** 2) AS d, row_number() OVER (PARTITION BY q.neuron_id, q.id ORDER BY d, n.id) AS place FROM q JOIN n ON q.neuron_id = n.neuron_id WHERE q.id % 9 = 4),
+      best AS (SELECT neuron_id, id, min(d) AS d FROM near WHERE place = 1 AND d <= 20 GROUP BY ALL),
+      tops AS (SELECT best.neuron_id, best.id, best.d, arg_max(c.anc, c.dist) AS root FROM best JOIN c ON best.neuron_id = c.neuron_id AND best.id = c.id GROUP BY best.neuron_id, best.id, best.d),
+      a AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY neuron_id, root ORDER BY d, id) = 1){_TURNED},
+      o AS (SELECT t.*, CAST(0 AS BIGINT) AS depth, [CAST(0 AS BIGINT)] AS path, coalesce(a.d, 'inf'::DOUBLE) AS d, t.id AS root FROM t LEFT JOIN a ON t.neuron_id = a.neuron_id AND t.id = a.id WHERE t.parent = -1
+        UNION ALL SELECT t.*, o.depth + 1, list_append(o.path, t.place), o.d, o.root FROM o JOIN t ON t.neuron_id = o.neuron_id AND t.parent = o.id),
+      m AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY d, root, depth, path) AS new_id FROM o) {_NUMBERED.format(x=_XYZ)}""",
+    "t19_non_adjacent": f"{_C}, w AS (SELECT neuron_id, id, list(anc) AS path FROM c WHERE dist < 10 GROUP BY ALL) SELECT * FROM (SELECT a.neuron_id, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 4) AS dist FROM n a JOIN n b ON a.neuron_id = b.neuron_id AND a.id < b.id JOIN w u ON u.neuron_id = a.neuron_id AND u.id = a.id JOIN w v ON v.neuron_id = b.neuron_id AND v.id = b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 40 AND NOT list_has_any(u.path, v.path)) WHERE neuron_id IN (SELECT neuron_id FROM n GROUP BY 1 HAVING count(*) > 2)",
     "t21_remove_nodes": "SELECT neuron_id, id, type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, radius, CASE WHEN parent % 5 = 3 THEN -1 ELSE parent END AS parent FROM n WHERE id % 5 <> 3",
     "m4_ssd": f"{_D} SELECT neuron_id, round(a, 4) AS sd_gt2pred, round(b, 4) AS sd_pred2gt, round(s, 4) AS ssd_gt2pred, round(t, 4) AS ssd_pred2gt, round(w, 4) AS ssd_percent, round((a + b) / 2, 4) AS sd, round((s + t) / 2, 4) AS ssd FROM (SELECT neuron_id, avg(d) FILTER (side = 'gold') AS a, avg(d) FILTER (side = 'pred') AS b, coalesce(avg(d) FILTER (side = 'gold' AND d > 2), 0) AS s, coalesce(avg(d) FILTER (side = 'pred' AND d > 2), 0) AS t, avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END) AS w FROM d GROUP BY neuron_id)",
     "m5_point": f"""{_D}, c AS (SELECT neuron_id, count(*) FILTER (side = 'gold') AS num_gt, count(*) FILTER (side = 'pred') AS num_pred, count(*) FILTER (side = 'pred' AND d < 4) AS TP, count(*) FILTER (side = 'pred' AND NOT coalesce(d < 4, false)) AS FP, count(*) FILTER (side = 'gold' AND NOT coalesce(d < 4, false)) AS FN FROM d GROUP BY neuron_id),

@@ -22,10 +22,11 @@ def rooted(nodes: DataFrame) -> DataFrame:
     return state.select(K, "id", F.col("anc").alias("root_id"), F.col("hops").alias("depth"), F.col("len").alias("root_length"))
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """neuron_id, id, anc, dist: every node with itself and each ancestor."""
+def closure(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """neuron_id, id, anc, dist: every node, or those of(neuron_id, id), with itself and each ancestor."""
+    start = nodes if of is None else nodes.join(of, [K, "id"], "left_semi")
     jump = written(edges(nodes).select(K, "id", F.col("parent").alias("anc")))
-    pairs, step = written(nodes.select(K, "id", F.col("id").alias("anc"), F.lit(0).cast("long").alias("dist"))), 1
+    pairs, step = written(start.select(K, "id", F.col("id").alias("anc"), F.lit(0).cast("long").alias("dist"))), 1
     while not jump.isEmpty():
         far = jump.select(K, F.col("id").alias("anc"), F.col("anc").alias("anc2"))
         pairs = written(pairs.unionByName(pairs.join(far, [K, "anc"]).select(K, "id", F.col("anc2").alias("anc"), (F.col("dist") + step).alias("dist"))))
@@ -73,10 +74,12 @@ def lca(nodes: DataFrame, pairs: DataFrame, ids_from: int = 1) -> DataFrame:
 
 
 def resample(nodes: DataFrame, step: float = 2.0) -> DataFrame:
-    """Points every step along each chain between key nodes (roots, leaves, branches): neuron_id, end_id, k, x, y, z, radius.
+    """The forest with a node every step along each chain between key nodes (roots, leaves, branches).
 
-    k counts from the chain's upper end (0, not repeated) on; its end is kept.
-    Chains are independent, so no chain waits for another.
+    Key nodes keep ids and types; nodes between them are gone. New ones are numbered
+    past the neuron's largest id by chain (its end's id) and position, with the type
+    of the next old node down. A chain's end always stays; a step that would fall
+    within 1e-6 of it is left out. Chains are independent, so none waits for another.
     """
     counts = child_counts(nodes)
     n = nodes.join(counts, [K, "id"], "left").withColumn("key", (F.col("parent") == -1) | (F.coalesce("n_children", F.lit(0)) != 1))
@@ -89,16 +92,25 @@ def resample(nodes: DataFrame, step: float = 2.0) -> DataFrame:
         before = now
         hop = written(hop.join(hop.select(K, F.col("id").alias("end"), F.col("end").alias("end2")), [K, "end"]).select(K, "id", F.col("end2").alias("end")))
     r = rooted(nodes).select(K, "id", "root_length")
-    full = nodes.join(r, [K, "id"]).join(hop, [K, "id"])
-    p = nodes.join(r, [K, "id"]).select(K, F.col("id").alias("parent"), *(F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "radius", "root_length")))
-    seg = full.join(p, [K, "parent"])
-    seg = seg.withColumn("base", F.expr(f"min(proot_length) OVER (PARTITION BY {K}, end)")).withColumn("total", F.expr(f"max(root_length) OVER (PARTITION BY {K}, end)") - F.col("base"))
-    s0, s1 = F.col("proot_length") - F.col("base"), F.col("root_length") - F.col("base")
-    first, last = F.floor(s0 / step) + 1, F.when(F.col("id") == F.col("end"), F.ceil((s1 - 1e-6) / step) - 1).otherwise(F.floor(s1 / step))
+    placed = written(nodes.join(r, [K, "id"]))
+    p = placed.select(K, F.col("id").alias("parent"), *(F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "radius", "root_length")))
+    seg = placed.join(hop, [K, "id"]).join(p, [K, "parent"])
+    seg = seg.withColumns({"base": F.expr(f"min(proot_length) OVER (PARTITION BY {K}, end)"), "start": F.expr(f"min_by(parent, (proot_length, root_length)) OVER (PARTITION BY {K}, end)")})
+    s0, s1, ends = F.col("proot_length") - F.col("base"), F.col("root_length") - F.col("base"), F.col("id") == F.col("end")
+    first, last = F.greatest(F.ceil(s0 / step), F.lit(1)), F.ceil((s1 - F.when(ends, 1e-6).otherwise(0.0)) / step) - 1
     inner = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    at = seg.select(K, "end", "id", F.explode(F.concat(inner, F.when((F.col("id") == F.col("end")) & (F.col("total") > 1e-12), F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")))).alias("k"), s0.alias("s0"), s1.alias("s1"), "x", "y", "z", "radius", "px", "py", "pz", "pradius")
-    t = F.when(F.col("k") < 0, 1.0).otherwise((F.col("k") * step - F.col("s0")) / F.nullif(F.col("s1") - F.col("s0"), F.lit(0.0)))
-    return at.select(K, F.col("end").alias("end_id"), "k", *((F.col(f"p{c}") + (F.col(c) - F.col(f"p{c}")) * t).alias(c) for c in ("x", "y", "z", "radius")))
+    own = F.when(ends, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    at = seg.select(K, "end", "start", "type", F.explode(F.concat(inner, own)).alias("k"), s0.alias("s0"), s1.alias("s1"), "x", "y", "z", "radius", "px", "py", "pz", "pradius")
+    t = F.when(F.col("k").isNull(), 1.0).otherwise((F.col("k") * step - F.col("s0")) / F.nullif(F.col("s1") - F.col("s0"), F.lit(0.0)))
+    at = at.select(K, "end", "start", "type", "k", *((F.col(f"p{c}") + (F.col(c) - F.col(f"p{c}")) * t).alias(c) for c in ("x", "y", "z", "radius")))
+    # Chains count their new nodes; a neuron adds up counts of chains, not nodes.
+    chains = at.groupBy(K, "end").agg(F.count("k").alias("n")).join(nodes.groupBy(K).agg(F.max("id").alias("top")), K)
+    chains = chains.select(K, "end", (F.col("top") + F.expr(f"sum(n) OVER (PARTITION BY {K} ORDER BY end)") - F.col("n")).alias("above"))
+    along = f"OVER (PARTITION BY {K}, end ORDER BY k ASC NULLS LAST)"
+    at = at.join(chains, [K, "end"]).withColumn("id", F.when(F.col("k").isNull(), F.col("end")).otherwise(F.col("above") + F.expr(f"row_number() {along}")))
+    at = at.withColumn("parent", F.expr(f"coalesce(lag(id) {along}, start)"))
+    cols = [K, "id", "type", "x", "y", "z", "radius", "parent"]
+    return at.select(*cols).unionByName(nodes.where("parent = -1").select(*cols))
 
 
 def turn_angles(nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .operators import metrics, nodes, raster, shape, tree
+from .operators import length, metrics, nodes, raster, shape, tree
 from .plans.forest import GOLD, PRED, forest
 from .sources import swc
 
@@ -65,6 +65,7 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "m5_point": lambda n, p: metrics.point(n, p()),
     "j6_distances": lambda n, p: metrics.distances(n, p()),
     "m6_keypoint": lambda n, p: metrics.keypoint(n, p()),
+    "m7_length": lambda n, p: length.length(n, p(), 8.0, 0.2),
     "m11_fiber": lambda n, p: metrics.fiber(n, p(), **FIBER),
     "m13_batch": lambda n, p: metrics.batch(n, p(), params={"fiber": FIBER}),
     "r1_line_voxels": lambda n, p: raster.line_voxels(n, SHAPE),

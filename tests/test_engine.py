@@ -5,13 +5,15 @@ import numpy as np
 import pytest
 
 import dendrica.catalog as catalog
+from dendrica.operators import shape
+from dendrica.operators.length import Tree, matched
 from dendrica.operators.metrics import assign, fiber_iou
 from dendrica.sources import swc
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "f8_branches", "j8_close_pairs", "k5_crop", "t1_rooted", "t4_fibers", "t16_lca", "m4_ssd", "m5_point", "u2_remove_duplicates"])
+@pytest.mark.parametrize("name", ["a1_summary", "f8_branches", "j8_close_pairs", "k5_crop", "t1_rooted", "t4_fibers", "t16_lca", "m4_ssd", "m5_point", "u2_remove_duplicates", "t18_resample", "t5_roi_fibers", "t13_rerooted", "t15_align_roots", "t19_non_adjacent"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
@@ -44,3 +46,37 @@ def test_swc_rules(spark):
     assert {(r.id, r.type, r.ord) for r in swc.parse(lines).collect()} == {(1, 1, 1), (2, 3, 2)}
     with pytest.raises(Exception, match="repeated id"):
         swc.parse(lines, "strict").collect()
+
+
+def test_nearest_unrelated_equals_brute_force():
+    rng = np.random.default_rng(1)
+    p, parent = rng.random((40, 3)), np.array([-1, *(rng.integers(0, i) for i in range(1, 40))])
+    hop = np.eye(40, dtype=bool)
+    hop[np.arange(1, 40), parent[1:]] = hop[parent[1:], np.arange(1, 40)] = True
+    for hops in (1, 2):
+        d = np.where(np.linalg.matrix_power(hop.astype(int), hops) > 0, np.inf, np.linalg.norm(p[:, None] - p, axis=2))
+        assert np.allclose(shape.nearest_unrelated(p, parent, hops), d.min(1))
+
+
+def test_density_of_parallel_lines_and_of_a_single_node(spark):
+    rows = [(1, 10 * line + i, 2, 10.0 * i, 5.0 * line, 0.0, 1.0, -1 if i == 1 else 10 * line + i - 1) for line in (0, 1) for i in range(1, 9)] + [(2, 1, 1, 0.0, 0.0, 0.0, 1.0, -1)]
+    n = spark.createDataFrame(rows, "neuron_id long, id long, type int, x double, y double, z double, radius double, parent long")
+    got = {r.neuron_id: r.density for r in shape.density(n, 10.0).collect()}
+    assert abs(got[1] - 0.75) < 1e-9 and got[2] == 0
+
+
+def _line(points, first=1):
+    return Tree(np.arange(first, first + len(points)), np.array([-1, *range(first, first + len(points) - 1)]), np.array(points, float))
+
+
+def test_length_metric_of_equal_moved_and_doubled_forests():
+    a = _line([(0, 0, 0), (10, 0, 0), (20, 0, 0), (30, 0, 0)])
+    assert np.allclose(matched(a, a, 2, 0.2), (30, 30))
+    fine = _line([(2 * i, 1, 0) for i in range(16)])
+    own, found = matched(a, fine, 2, 0.2)
+    assert own == 30 and abs(found - 30) < 1e-6
+    assert matched(a, _line([(0, 5, 0), (30, 5, 0)]), 2, 0.2) == (0, 0)
+    # Two gold edges in one place cannot both have the only edge there.
+    two = Tree(np.array([1, 2, 3, 4]), np.array([-1, 1, -1, 3]), np.array([(0, 0, 0), (10, 0, 0), (0, 1, 0), (10, 1, 0)], float))
+    assert np.allclose(matched(two, _line([(0, 0, 0), (10, 0, 0)]), 2, 0.2), (10, 10))
+    assert matched(_line([(0, 0, 0)]), a, 2, 0.2) == (0, 0)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
+from .functions import matrices
 from .operators import length, metrics, nodes, raster, shape, tree
 from .plans.forest import GOLD, PRED, forest
 from .sources import swc
@@ -37,6 +38,7 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "p1_rescale": lambda n, p: nodes.rescale(n, (1.0, 2.0, 0.5)),
     "p2_add_offset": lambda n, p: nodes.add_offset(n, (1.5, -2.0, 3.0)),
     "p3_rotate_z": lambda n, p: nodes.rotate_z(n, (10.0, 20.0), 30.0),
+    "p14_transform": lambda n, p: nodes.transform(n, matrices.rotation_matrix(0.5235987755982988, (0, 0, 1), (10, 20, 0))),
     "j1_edges": lambda n, p: nodes.edges(n),
     "j2_children": lambda n, p: nodes.children(n).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ",")),
     "j8_close_pairs": lambda n, p: nodes.close_pairs(n, 25.0),
@@ -158,6 +160,9 @@ _SQL = {
 }
 
 
+_SQL["p14_transform"] = _SQL["p3_rotate_z"]
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in _SQL.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.matrices import applied
 
 K = "neuron_id"
 
@@ -22,6 +23,11 @@ def rotate_z(nodes: DataFrame, center: tuple[float, float], angle: float, degree
     return nodes.withColumns(dict(zip("xyz", G.rotate_z(G.point(), center, angle, degrees), strict=True)))
 
 
+def transform(nodes: DataFrame, matrix) -> DataFrame:
+    """Coordinates under a 4x4 matrix; radii stay."""
+    return nodes.withColumns(dict(zip("xyz", applied(G.point(), matrix), strict=True)))
+
+
 def in_roi(nodes: DataFrame, low, high) -> DataFrame:
     """Closed box."""
     return nodes.where(" AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip("xyz", low, high, strict=True)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import matrices
-from .operators import length, metrics, nodes, raster, shape, tree
+from .operators import length, metrics, nodes, raster, shape, soma, tree
 from .plans.forest import GOLD, PRED, forest
 from .sources import swc
 
@@ -72,6 +72,10 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "m13_batch": lambda n, p: metrics.batch(n, p(), params={"fiber": FIBER}),
     "r1_line_voxels": lambda n, p: raster.line_voxels(n, SHAPE),
     "r2_sphere_voxels": lambda n, p: raster.sphere_voxels(n, SHAPE, 2.0),
+    "r3_cone_voxels": lambda n, p: raster.cone_voxels(nodes.rescale(n, (0.1, 0.1, 0.1)), (30, 50, 60)),
+    "r4_sphere_cone_voxels": lambda n, p: raster.sphere_cone_voxels(nodes.rescale(n, (0.1, 0.1, 0.1)), (30, 50, 60)),
+    "t24_somas": lambda n, p: soma.somas(n),
+    "t25_refine_somas": lambda n, p: soma.refine_somas(n, 20.0),
     "r8_adjacency": lambda n, p: raster.adjacency(raster.sphere_voxels(n, SHAPE, 2.0)),
 }
 
@@ -97,7 +101,19 @@ _SPHERE = f"""s AS (SELECT neuron_id, x, y, z, 2 * radius AS r FROM n), v AS (SE
   FROM s, LATERAL (SELECT unnest(range(CAST(ceil(s.z - r) AS BIGINT), CAST(floor(s.z + r) AS BIGINT) + 1)) AS g) z, LATERAL (SELECT unnest(range(CAST(ceil(s.y - r) AS BIGINT), CAST(floor(s.y + r) AS BIGINT) + 1)) AS g) y,
   LATERAL (SELECT unnest(range(CAST(ceil(s.x - r) AS BIGINT), CAST(floor(s.x + r) AS BIGINT) + 1)) AS g) x
   WHERE (z.g - s.z) ** 2 + (y.g - s.y) ** 2 + (x.g - s.x) ** 2 <= r * r AND z.g >= 0 AND z.g < {SHAPE[0]} AND y.g >= 0 AND y.g < {SHAPE[1]} AND x.g >= 0 AND x.g < {SHAPE[2]})"""
+_AXES = [(c, f"least(o{c} - big, o{c} + u{c} * len - big)", f"greatest(o{c} + big, o{c} + u{c} * len + big)") for c in "zyx"]
+_CONE = f"""s1 AS (SELECT neuron_id, id, parent, x * 0.1 AS x, y * 0.1 AS y, z * 0.1 AS z, radius AS r FROM n),
+  s2 AS (SELECT a.*, p.x AS px, p.y AS py, p.z AS pz, p.r AS pr, sqrt((a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2) AS len FROM s1 a JOIN s1 p ON a.neuron_id = p.neuron_id AND a.parent = p.id),
+  s3 AS (SELECT neuron_id, len, greatest(r, pr) AS big, least(r, pr) AS small, {", ".join(f"CASE WHEN r >= pr THEN {c} ELSE p{c} END AS o{c}, CASE WHEN r >= pr THEN p{c} - {c} ELSE {c} - p{c} END / len AS u{c}" for c in "xyz")} FROM s2 WHERE len > 0),
+  s4 AS (SELECT s3.*, {", ".join(f"{c}.g AS {c}" for c in "zyx")} FROM s3, {", ".join(f"LATERAL (SELECT unnest(range(CAST(floor({a}) AS BIGINT), CAST(ceil({b}) AS BIGINT) + 1)) AS g) {c}" for c, a, b in _AXES)}),
+  s5 AS (SELECT *, (x - ox) * ux + (y - oy) * uy + (z - oz) * uz AS h FROM s4),
+  s6 AS (SELECT *, sqrt((x - ox - h * ux) ** 2 + (y - oy - h * uy) ** 2 + (z - oz - h * uz) ** 2) AS rho FROM s5 WHERE h >= 0 AND h <= len),
+  k AS (SELECT DISTINCT neuron_id, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM s6 WHERE rho <= big AND (rho <= small OR (big - rho) * len >= h * (big - small)) AND z >= 0 AND z < 30 AND y >= 0 AND y < 50 AND x >= 0 AND x < 60)"""
+_BALL = f"""b AS (SELECT DISTINCT neuron_id, CAST(vz.g AS INT) AS z, CAST(vy.g AS INT) AS y, CAST(vx.g AS INT) AS x FROM s1, {", ".join(f"LATERAL (SELECT unnest(range(CAST(ceil({c} - r) AS BIGINT), CAST(floor({c} + r) AS BIGINT) + 1)) AS g) v{c}" for c in "zyx")}
+  WHERE (vz.g - s1.z) ** 2 + (vy.g - s1.y) ** 2 + (vx.g - s1.x) ** 2 <= r * r AND vz.g >= 0 AND vz.g < 30 AND vy.g >= 0 AND vy.g < 50 AND vx.g >= 0 AND vx.g < 60)"""
 _SQL = {
+    "r3_cone_voxels": f"{_CONE} SELECT * FROM k",
+    "r4_sphere_cone_voxels": f"{_CONE}, {_BALL} SELECT * FROM k UNION SELECT * FROM b",
     "a1_summary": f"{_E} SELECT s.*, round(coalesce(l.length, 0), 4) AS length FROM (SELECT neuron_id, count(*) AS n_nodes, count(*) FILTER (parent <> -1) AS n_edges, max(id) + 1 AS next_id, count(*) FILTER (parent = -1) AS n_roots, "
     + ", ".join(f"round({a}({c}), 4) AS {a}_{c}" for a in ("min", "max") for c in "xyz")
     + " FROM n GROUP BY neuron_id) s LEFT JOIN (SELECT neuron_id, sum(length) AS length FROM e GROUP BY neuron_id) l ON s.neuron_id = l.neuron_id",

@@ -40,6 +40,32 @@ def sphere_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: float =
     return _inside(hit.select(K, *(F.col(f"v{c}").alias(c) for c in "zyx")), shape).distinct()
 
 
+def cone_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: float = 1.0) -> DataFrame:
+    """Voxels in the truncated cones between the spheres of each edge's ends; edges without length have none.
+
+    Tried are boxes about points a unit apart along the edge, not the box of the whole edge.
+    """
+    r = nodes.select(K, "id", (F.col("radius") * scale).alias("r"))
+    e = edges(nodes).where("length > 0").join(r, [K, "id"]).join(r.select(K, F.col("id").alias("parent"), F.col("r").alias("pr")), [K, "parent"])
+    wide = F.col("r") >= F.col("pr")
+    ends = {f"b{c}": F.when(wide, F.col(c)).otherwise(F.col(f"p{c}")) for c in "xyz"} | {f"u{c}": F.when(wide, F.col(f"p{c}") - F.col(c)).otherwise(F.col(c) - F.col(f"p{c}")) / F.col("length") for c in "xyz"}
+    e = e.select(K, "length", F.greatest("r", "pr").alias("big"), F.least("r", "pr").alias("small"), *(v.alias(c) for c, v in ends.items()))
+    e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil("length").cast("int"))))
+    for c in "zyx":
+        at = F.col(f"b{c}") + F.col(f"u{c}") * F.least("k", "length")
+        e = e.withColumn(f"v{c}", F.explode(F.sequence(F.ceil(at - F.col("big") - 1).cast("int"), F.floor(at + F.col("big") + 1).cast("int"))))
+    h = "((vx - bx) * ux + (vy - by) * uy + (vz - bz) * uz)"
+    e = e.withColumn("h", F.expr(h)).where("h >= 0 AND h <= length")
+    e = e.withColumn("rho", F.sqrt(F.expr("pow(vx - bx - h * ux, 2) + pow(vy - by - h * uy, 2) + pow(vz - bz - h * uz, 2)")))
+    hit = e.where("rho <= big AND (rho <= small OR (big - rho) * length >= h * (big - small))")
+    return _inside(hit.select(K, *(F.col(f"v{c}").alias(c) for c in "zyx")), shape).distinct()
+
+
+def sphere_cone_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: float = 1.0) -> DataFrame:
+    """Spheres of nodes and cones of edges."""
+    return sphere_voxels(nodes, shape, scale).unionByName(cone_voxels(nodes, shape, scale)).distinct()
+
+
 def adjacency(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
     """Neighbouring pairs of voxels, each once: an equi-join on half of the offsets."""
     half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0) and (connectivity == 26 or abs(i) + abs(j) + abs(k) == 1)]

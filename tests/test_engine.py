@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import dendrica.catalog as catalog
-from dendrica.operators import shape
+from dendrica.operators import shape, soma
 from dendrica.operators.length import Tree, matched
 from dendrica.operators.metrics import assign, fiber_iou
 from dendrica.sources import swc
@@ -13,7 +13,7 @@ from dendrica.sources import swc
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "f8_branches", "j8_close_pairs", "k5_crop", "t1_rooted", "t4_fibers", "t16_lca", "m4_ssd", "m5_point", "u2_remove_duplicates", "t18_resample", "t5_roi_fibers", "t13_rerooted", "t15_align_roots", "t19_non_adjacent"])
+@pytest.mark.parametrize("name", ["a1_summary", "f8_branches", "j8_close_pairs", "k5_crop", "t1_rooted", "t4_fibers", "t16_lca", "m4_ssd", "m5_point", "u2_remove_duplicates", "t18_resample", "t5_roi_fibers", "t13_rerooted", "t15_align_roots", "t19_non_adjacent", "r3_cone_voxels"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
@@ -80,3 +80,33 @@ def test_length_metric_of_equal_moved_and_doubled_forests():
     two = Tree(np.array([1, 2, 3, 4]), np.array([-1, 1, -1, 3]), np.array([(0, 0, 0), (10, 0, 0), (0, 1, 0), (10, 1, 0)], float))
     assert np.allclose(matched(two, _line([(0, 0, 0), (10, 0, 0)]), 2, 0.2), (10, 10))
     assert matched(_line([(0, 0, 0)]), a, 2, 0.2) == (0, 0)
+
+
+def test_least_ball_holds_all_points_and_is_least():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 12):
+        p = rng.normal(size=(n, 3))
+        c, sq = soma.least_ball(p)
+        sets = (x for k in range(1, min(n, 4) + 1) for x in itertools.combinations(p, k))
+        want = min(s for m, s in map(soma._through, map(list, sets)) if all(((q - m) ** 2).sum() <= s + 1e-9 for q in p))
+        assert all(((q - c) ** 2).sum() <= sq + 1e-9 for q in p) and abs(sq - want) < 1e-9
+
+
+def test_somas(spark):
+    #  Spokes: 2-3 straight and a turn to 4; 5 branches to 6 and 7; 8 is a leaf.
+    at = {1: (0, 0, 0, -1), 2: (2, 0, 0, 1), 3: (10, 0, 0, 2), 4: (10, 5, 0, 3), 5: (-5, 0, 0, 1), 6: (-10, 1, 0, 5), 7: (-10, -1, 0, 5), 8: (0, 7, 0, 1), 9: (10, 9, 0, 4)}
+    rows = [(1, i, 1 if i == 1 else 3, float(x), float(y), float(z), 1.0, p) for i, (x, y, z, p) in at.items()] + [(2, 1, 1, 0.0, 0.0, 0.0, 1.0, -1)]
+    n = spark.createDataFrame(rows, "neuron_id long, id long, type int, x double, y double, z double, radius double, parent long")
+    got = {r.end_id: sorted(r.inner) for r in soma.spokes(n).collect()}
+    assert got == {4: [2, 3], 6: [5], 7: [5], 8: []}
+    (ball,) = soma.somas(n).collect()
+    c, sq = soma.least_ball(np.array([at[i][:3] for i in got], float))
+    assert np.allclose((ball.x, ball.y, ball.z, ball.radius**2), (*c, sq)) and ball.n_spokes == 4
+    out = {r.id: r for r in soma.refine_somas(n, 3.0).where("neuron_id = 1").collect()}
+    assert {1, 4, 6, 7, 8, 9} <= set(out) and not {2, 3, 5} & set(out) and np.allclose((out[1].x, out[1].y, out[1].z), c)
+    for end in got:
+        way, i = 0, end
+        while (i := out[i].parent) != 1:
+            way += 1
+        assert way == max(0, int(np.linalg.norm(np.array(at[end][:3]) - c) // 3) - 1)
+    assert out[9].parent == 4

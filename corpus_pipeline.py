@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrica.llm import jaccard, lines, packing, quality, secret_scan
-from dendrica.llm.common import load, scratch
+from dendrica.llm.common import load, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that recur outside of copies stay where they stand first; a document that loses all its lines goes."""
-    out = lines.dedup_boilerplate(docs)
+    """Each line stays where it, or one within an edit, stands first; a document that loses all its lines goes.
+
+    Near duplicates share nearly all lines with one that stays, so they are known, and
+    gone, before lines are counted: no line is spared for their sake, and none is lost
+    because it stands first in a document that goes.
+    """
+    copies = table(_copies(docs))
+    gone = lines.repeated_lines(docs, aside=copies)
+    out = lines.without(docs.join(copies, "doc_id", "left_anti").select(docs.columns), gone).drop("__gone")
     return _counted(out.where("text IS NULL OR text <> ''"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    kind = jaccard.classes(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = kind.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """The document of least id of each group of near duplicates, of the texts that line dedup leaves."""
+    return docs.join(_copies(docs), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +51,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packed", packed)]
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id of near duplicates but the least of each group: five-word shingles, similarity 0.8 or more."""
+    kind = jaccard.classes(docs.select("doc_id", "text"), size=5, percent=80)
+    return kind.where("component_id <> doc_id").select("doc_id").distinct()
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs

@@ -159,12 +159,16 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
     return reduce(DataFrame.unionByName, [later, *settled]).distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__k, __d, no, h, near: every line that goes, of every document; near: no equal line stands before it."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text", aside: DataFrame | None = None) -> DataFrame:
+    """__k, __d, no, h, near: every line that goes, of every document; near: no equal line stands before it.
+
+    Documents whose key is in aside (key) take no part.
+    """
     order = F.struct(F.col("__d").isNull().alias("z"), F.col("__d").alias("d"), F.col("__k").alias("k"), F.col("no").alias("no"))
     length = F.length("v")
     keys = F.when(length >= max(least, edits + 1), F.array(*segment_keys(F.col("v"), length, edits)))
-    lines = table(_lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys")))
+    each = _lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys"))
+    lines = table(each if aside is None else each.join(aside.select(F.col(key).alias("__d")), "__d", "left_anti"))
     firsts = table(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("times")))
     entries = lines.where("keys IS NOT NULL").select("h", "len", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
     entries = entries.groupBy("key", "h", "len").agg(F.min("at").cast("int").alias("at"))

@@ -5,9 +5,9 @@ reported as they match. Candidates of further kinds are reported only when their
 structure holds once decoded:
 
 - `jwt`: the first of three base64url parts decodes to a JSON object with `alg`;
-- `der`: a base64 or hex run decodes to an ASN.1 SEQUENCE whose nested lengths
-  fill it exactly (private and public keys, inside PEM frames or bare);
-- `ssh`: a base64 run decodes to length-prefixed fields that fill it exactly,
+- `der`: a hex run, or lines of base64, decode to an ASN.1 SEQUENCE whose nested
+  lengths fill them exactly (private and public keys, inside PEM frames or bare);
+- `ssh`: lines of base64 decode to length-prefixed fields that fill them exactly,
   the first one a key type's name, or to the header of a private key file.
 
 Each text is scanned whole, one at a time. Null and empty texts have no spans;
@@ -43,7 +43,7 @@ ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Base64 of more than 40 characters in lines, as PEM has it, or in one run.
+#: Base64 in lines, as PEM has it, or in one run, the first line of 40 characters or more.
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
 HEXES = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 SSH_TYPES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
@@ -74,16 +74,38 @@ def der_ends(raw: bytes, depth: int = 0) -> bool:
     return items > 0 and (depth > 0 or items == 1)
 
 
-def ssh_fields(raw: bytes) -> bool:
-    if raw.startswith(OPENSSH):
-        return True
-    at, fields = 0, 0
+def der_size(raw: bytes) -> int:
+    """Bytes of the item that raw begins with, by its length; 0 if it has none."""
+    if len(raw) < 2:
+        return 0
+    k = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if raw[1] & 0x80 and (not 1 <= k <= 4 or len(raw) < 2 + k):
+        return 0
+    return 2 + k + (int.from_bytes(raw[2 : 2 + k], "big") if k else raw[1])
+
+
+def ssh_ends(raw: bytes) -> list[int]:
+    """Places in raw where the second and each later field of a public key may end it."""
+    at, out = 0, []
     while at + 4 <= len(raw):
         n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw) or fields == 0 and not raw[at + 4 : at + 4 + n].startswith(SSH_TYPES):
-            return False
-        at, fields = at + 4 + n, fields + 1
-    return at == len(raw) and fields >= 2
+        if at + 4 + n > len(raw) or at == 0 and not raw[4 : 4 + n].startswith(SSH_TYPES):
+            break
+        if at:
+            out.append(at + 4 + n)
+        at += 4 + n
+    return out
+
+
+def openssh_size(raw: bytes) -> int:
+    """Bytes of a private key file, by its lengths; 0 if raw ends before it."""
+    at, fields = len(OPENSSH), 3  # cipher, kdf, its options
+    while fields and at + 4 <= len(raw):
+        at, fields = at + 4 + int.from_bytes(raw[at : at + 4], "big"), fields - 1
+    fields, at = int.from_bytes(raw[at : at + 4], "big") + 1, at + 4  # public keys, the private part
+    while fields and at + 4 <= len(raw):
+        at, fields = at + 4 + int.from_bytes(raw[at : at + 4], "big"), fields - 1
+    return at if not fields and at <= len(raw) else 0
 
 
 def signed_token(token: str) -> bool:
@@ -95,14 +117,49 @@ def signed_token(token: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
-def _decoded(run: str) -> bytes:
-    run = re.sub(r"\s+", "", run)
+def _decoded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (ValueError, binascii.Error):
         return b""
 
 
+def _key(body: str, at: int, ends: dict[int, int]) -> tuple[str, int] | None:
+    """Kind and end of the key that begins at a place of body and ends at one of ends."""
+    head = _decoded(body[at : at + 64])
+    if head[:1] == b"\x30":
+        end = at + -(-4 * der_size(head) // 3)
+        return ("der", end) if end in ends and der_ends(_decoded(body[at:end])) else None
+    if head.startswith(OPENSSH):
+        end = at + -(-4 * openssh_size(_decoded(body[at:])) // 3)
+        return "ssh", end if end in ends else len(body)
+    if not head[4:].startswith(SSH_TYPES):
+        return None
+    # The last of them: a wrapped key may have a field that ends with a line.
+    found = [end for n in ssh_ends(_decoded(body[at:])) if (end := at + -(-4 * n // 3)) in ends]
+    return ("ssh", found[-1]) if found else None
+
+
+def keys_of(run: str, start: int = 0) -> list[tuple[int, int, str]]:
+    """Keys in lines of base64. Lines of other text may stand before and after one, as they are base64 by their letters: a key begins with a line of 40 characters or more, and ends where its lengths say, at the end of a line."""
+    parts, size, at = [], 0, start
+    for line in run.rstrip("=").split("\n"):
+        n = len(line.rstrip("\r"))
+        parts.append((size, at, at + n))
+        size, at = size + n, at + len(line) + 1
+    if not any(e - s >= 40 and run[s - start] in "MAb" for _, s, e in parts):
+        return []
+    ends = {b + e - s: e for b, s, e in parts} | {size: start + len(run)}
+    body, out, done = re.sub(r"\s+", "", run.rstrip("=")), [], 0
+    for b, s, e in parts:
+        # Hex runs and words are base64 by their letters; what does not begin a SEQUENCE or a length is not decoded.
+        if b >= done and e - s >= 40 and body[b] in "MAb" and (found := _key(body, b, ends)):
+            kind, done = found
+            out.append((s, ends[done], kind))
+    return out
+
+
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind."""
     if not text:
@@ -114,12 +171,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[0])]
     for m in BASE64.finditer(text):
-        # Hex runs and words are base64 by their letters; what does not begin a SEQUENCE or a length is not decoded.
-        if m[0][0] in "MAb" and (raw := _decoded(m[0])):
-            if raw[0] == 0x30 and der_ends(raw):
-                out.append((m.start(), m.end(), "der"))
-            elif ssh_fields(raw):
-                out.append((m.start(), m.end(), "ssh"))
+        out += keys_of(m[0], m.start())
     for m in HEXES.finditer(text):
         if m[0].startswith("30") and der_ends(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))

@@ -2,9 +2,10 @@
 
 The attention model predicts the class of the next subword id (classes: word-final
 or not, then by frequency) from the ids before it; an id's share of its class
-comes from counts over the whole training corpus. Weights are trained in numpy:
-every training document gives one window, partitions train side by side and
-their weights are averaged, tree-wise, after each round. Texts are scored in
+comes from counts over the whole training corpus. Weights are trained in numpy: the
+training documents are cut into consecutive windows, so that each id and each end
+is predicted once in a pass; partitions train side by side and their weights are
+averaged, tree-wise, after each round. Texts are scored in
 windows that overlap; each token is scored once, by the window in which it has
 most context, many windows at a time under one causal mask.
 
@@ -34,9 +35,11 @@ from .common import lean, table, text_of
 from .tokens import WordIds, default_path, slices, split_words, word_ids
 
 END = 1
+#: What fills a text's last training window; never predicted.
+VOID = (1 << 32) - 1
 CLASSES, BUCKETS, DIM, SPAN, STRIDE = 32, 4096, 8, 32, 28
-#: Characters from which a training window is cut, and rounds of averaging.
-CHARS, ROUNDS = 220, 2
+#: Rounds of averaging.
+ROUNDS = 2
 #: Times that a batch of windows is gone over.
 PASSES = 4
 #: Words that every worker holds at most.
@@ -74,9 +77,10 @@ def shaped(raw: bytes) -> dict[str, np.ndarray]:
 CAUSAL = np.tril(np.ones((SPAN, SPAN), np.float32))
 
 
-def gradients(w: dict, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of windows (n, SPAN) of buckets against target classes, and its gradients."""
-    n, scale = ids.size, 1 / math.sqrt(DIM)
+def gradients(w: dict, ids: np.ndarray, target: np.ndarray, counted: np.ndarray) -> tuple[float, dict]:
+    """Mean loss of windows (n, SPAN) of buckets against those target classes that are counted, and its gradients."""
+    n, scale, held = ids.size, 1 / math.sqrt(DIM), counted.ravel()
+    some = max(1, int(held.sum()))
     x = w["emb"][ids] + w["pos"]
     q, k, v = x @ w["wq"], x @ w["wk"], x @ w["wv"]
     s = np.where(CAUSAL > 0, q @ k.transpose(0, 2, 1) * scale, -np.inf)
@@ -88,10 +92,11 @@ def gradients(w: dict, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict
     p /= p.sum(-1, keepdims=True)
     rows = p.reshape(n, CLASSES)
     at = (np.arange(n), target.ravel())
-    loss = -float(np.log(rows[at] + 1e-9).mean())
+    loss = -float(np.log(rows[at] + 1e-9)[held].sum() / some)
     dz = rows.copy()
     dz[at] -= 1
-    dz = (dz / n).astype(np.float32)
+    dz[~held] = 0
+    dz = (dz / some).astype(np.float32)
     g = {"wo": y.reshape(n, DIM).T @ dz, "bo": dz.sum(0)}
     dy = (dz @ w["wo"].T).reshape(x.shape)
     da = dy @ v.transpose(0, 2, 1)
@@ -110,7 +115,9 @@ def train(w: dict, windows: np.ndarray, classes: np.ndarray, rate: float, batch:
     w, seen = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, 1e-3) for k, v in w.items()}
     for at in range(0, len(windows), batch):
         b = windows[at : at + batch]
-        _, g = gradients(w, b[:, :-1] % BUCKETS, classes[b[:, 1:]])
+        counted = b != VOID
+        b = np.where(counted, b, END)
+        _, g = gradients(w, b[:, :-1] % BUCKETS, classes[b[:, 1:]], counted[:, 1:])
         for k, d in g.items():
             seen[k] += d * d * 100
             w[k] -= rate * d * 10 / np.sqrt(seen[k])
@@ -224,21 +231,33 @@ def _subword_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _windows(train_docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """A window of SPAN + 1 ids from each document, at a place that its id decides."""
-    t = text_of(text)
-    room = F.greatest(F.length(t) - CHARS, F.lit(0)) + 1
-    piece = t.substr((F.pmod(F.xxhash64(F.col(key)), room) + 1).cast("int"), F.lit(CHARS))
+def cut_windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows (n, SPAN + 1) of texts of ids, cut at `at`: each begins with the end id or the last of the window before."""
+    sizes = np.diff(at) + 2
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    stream = np.full(first[-1], END, "<u4")
+    inner = np.ones(len(stream), bool)
+    inner[first[:-1]] = inner[first[1:] - 1] = False
+    stream[inner] = ids[at[0] : at[-1]]
+    count = -(-(sizes - 1) // SPAN)
+    of = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    index = (first[of] + nth * SPAN)[:, None] + np.arange(SPAN + 1)
+    return np.where(index < first[of + 1][:, None], stream[np.minimum(index, len(stream) - 1)], VOID).astype("<u4") if len(of) else np.zeros((0, SPAN + 1), "<u4")
+
+
+def _windows(train_docs: DataFrame, text: str, path: str) -> DataFrame:
+    """All windows of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_ids(path)
-        for b in batches:
-            out = np.full((b.num_rows, SPAN + 1), END, "<u4")
-            for row, ids in zip(out, model.texts(b.column(0)), strict=True):
-                row[1 : 1 + len(ids)] = ids[:SPAN]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out], pa.binary())], ["w"])
+        for whole in batches:
+            for b in slices(whole, 0):
+                w = model.batch(b.column(0))
+                rows = cut_windows(w.ids, w.id_at)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary())], ["w"])
 
-    return table(train_docs.select(piece.alias("t")).mapInArrow(run, "w binary"))
+    return table(train_docs.select(text_of(text).alias("t")).mapInArrow(run, "w binary"))
 
 
 def _trained(windows: DataFrame, classes: np.ndarray, rounds: int) -> bytes:
@@ -296,7 +315,7 @@ def fit(train_docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     local: WordIds = word_ids(path)
     final = local.marked if local.marked is not None else np.zeros(local.size, bool)
     model.classes, model.share = classed(counts, final)
-    model.weights = _trained(_windows(docs, key, text, path), model.classes, rounds)
+    model.weights = _trained(_windows(docs, text, path), model.classes, rounds)
     return model
 
 

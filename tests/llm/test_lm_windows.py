@@ -1,0 +1,29 @@
+import numpy as np
+
+from dendrica.llm import lm, tokens
+
+
+def test_windows_predict_every_id_of_every_text_once(spark):
+    texts = ["", None, "one", "river stone " * 700, "a lamp over the field " * 11, " ".join(["walks"] * lm.SPAN), "river " * (lm.SPAN - 1)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = lm._windows(docs.coalesce(1), "text", tokens.default_path()).collect()
+    windows = np.frombuffer(b"".join(bytes(r.w) for r in rows), "<u4").reshape(-1, lm.SPAN + 1)
+    tok = tokens.word_ids(tokens.default_path()).tok
+    want = [np.array([lm.END, *tok.encode(t or "", add_special_tokens=False).ids, lm.END]) for t in texts]
+    pairs = lambda x: list(zip(x[:-1].tolist(), x[1:].tolist(), strict=True))
+    got = [p for w in windows for p in pairs(w) if p[1] != lm.VOID]
+    assert sorted(got) == sorted(p for w in want for p in pairs(w))
+    assert (windows[:, 0] != lm.VOID).all() and len(windows) == sum(-(-(len(w) - 1) // lm.SPAN) for w in want)
+
+
+def test_what_fills_a_window_teaches_nothing():
+    rng = np.random.default_rng(1)
+    classes, w = rng.integers(0, lm.CLASSES, 50), lm.fresh()
+    window = rng.integers(2, 50, (1, lm.SPAN + 1))
+    short = window.copy()
+    short[0, 9:] = lm.VOID
+    x = window[:, :-1] % lm.BUCKETS
+    first = np.arange(lm.SPAN)[None] < 8
+    _, g = lm.gradients(w, x, classes[window[:, 1:]], first)
+    _, h = lm.gradients(w, np.where(short[:, :-1] == lm.VOID, lm.END, x), classes[np.where(short == lm.VOID, lm.END, short)[:, 1:]], first)
+    assert all(np.allclose(g[k], h[k], atol=1e-6) for k in g) and not g["pos"][8:].any()

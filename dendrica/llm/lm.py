@@ -110,9 +110,8 @@ def gradients(w: dict, ids: np.ndarray, target: np.ndarray, counted: np.ndarray)
     return loss, g
 
 
-def train(w: dict, windows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 64) -> dict:
-    """Adagrad over windows of SPAN + 1 ids, in the order given."""
-    w, seen = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, 1e-3) for k, v in w.items()}
+def train(w: dict, seen: dict, windows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 64) -> None:
+    """Adagrad over windows of SPAN + 1 ids, in the order given; w and seen, its sums of squares, go on from where they are."""
     for at in range(0, len(windows), batch):
         b = windows[at : at + batch]
         counted = b != VOID
@@ -121,7 +120,6 @@ def train(w: dict, windows: np.ndarray, classes: np.ndarray, rate: float, batch:
         for k, d in g.items():
             seen[k] += d * d * 100
             w[k] -= rate * d * 10 / np.sqrt(seen[k])
-    return w
 
 
 class Scorer:
@@ -274,11 +272,12 @@ def _trained(windows: DataFrame, classes: np.ndarray, rounds: int) -> bytes:
 
         def run(batches: Iterator[pa.RecordBatch], raw: bytes = raw, nth: int = nth) -> Iterator[pa.RecordBatch]:
             got, n, w = [], 0, shaped(raw)
+            seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
             for b in batches:
                 ids = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, SPAN + 1).astype(np.int64)
-                # Batches are gone over some times, short ones more often: averages of barely trained weights say little.
-                ids = np.concatenate([ids[np.random.default_rng(i).permutation(len(ids))] for i in range(min(40, max(PASSES, PASSES * 2000 // max(1, len(ids)))))]) if len(ids) else ids
-                w, n = train(w, ids, classes, 0.05 / (1 + nth)), n + b.num_rows
+                for i in range(PASSES):
+                    train(w, seen, ids[np.random.default_rng(i).permutation(len(ids))], classes, 0.05 / (1 + nth))
+                n += b.num_rows
             if n:
                 from pyspark import TaskContext
 

@@ -27,3 +27,25 @@ def test_what_fills_a_window_teaches_nothing():
     _, g = lm.gradients(w, x, classes[window[:, 1:]], first)
     _, h = lm.gradients(w, np.where(short[:, :-1] == lm.VOID, lm.END, x), classes[np.where(short == lm.VOID, lm.END, short)[:, 1:]], first)
     assert all(np.allclose(g[k], h[k], atol=1e-6) for k in g) and not g["pos"][8:].any()
+
+
+def test_passes_do_not_depend_on_the_input_and_state_outlives_batches(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    classes, windows = rng.integers(0, lm.CLASSES, 60), rng.integers(2, 60, (150, lm.SPAN + 1)).astype("<u4")
+    w = lm.shaped(lm.flat(lm.fresh()))
+    seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
+    for part in (windows[:100], windows[100:]):
+        for i in range(lm.PASSES):
+            lm.train(w, seen, part[np.random.default_rng(i).permutation(len(part))].astype(np.int64), classes, 0.05)
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    conf = spark.conf
+    old = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        conf.set("spark.sql.shuffle.partitions", "1")
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(windows)], "i long, w binary").coalesce(1).sortWithinPartitions("i").select("w")
+        got = lm.shaped(lm._trained(df, classes, 1))
+    finally:
+        for k, v in old.items():
+            conf.set(k, v)
+    assert all(np.allclose(got[k], w[k], atol=1e-4) for k in w)

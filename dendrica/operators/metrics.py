@@ -133,6 +133,28 @@ def polyline_length(p: np.ndarray) -> float:
 
 
 def overlap(a: np.ndarray, b: np.ndarray, every: float, threshold: float) -> float:
+def chained(p: np.ndarray, keys: np.ndarray, every: float) -> np.ndarray:
+    """Points every so far along each chain of a fiber, from one key node to the next, and its end; what lies between is gone."""
+    at = np.flatnonzero(keys)
+    return np.vstack([p[:1], *(steps(p[a : b + 1], every, 1e-6)[1:] for a, b in zip(at[:-1], at[1:], strict=True))]) if len(p) > 1 else p
+
+
+def near(p: np.ndarray, q: np.ndarray, reach: float, size: int = 32) -> np.ndarray:
+    """Whether each point of p lies within reach of one of q. Only runs of points whose boxes are that near are compared."""
+    if not len(p) or not len(q):
+        return np.zeros(len(p), bool)
+    a, b = (np.vstack([x, np.repeat(x[-1:], -len(x) % size, 0)]).reshape(-1, size, 3) for x in (p, q))
+    gap = np.maximum(0, np.maximum(a.min(1)[:, None] - b.max(1), b.min(1) - a.max(1)[:, None]))
+    i, j = np.nonzero((gap**2).sum(-1) <= reach * reach * (1 + 1e-9) + 1e-9)
+    hit, step = np.zeros(a.shape[:2], bool), max(1, CHUNK // (8 * size * size))
+    for at in range(0, len(i), step):
+        some = i[at : at + step]
+        d = np.sqrt(((a[some, :, None] - b[j[at : at + step], None]) ** 2).sum(-1).min(-1))
+        first = np.flatnonzero(np.diff(some, prepend=-1))
+        hit[some[first]] |= np.logical_or.reduceat(d <= reach, first)
+    return hit.reshape(-1)[: len(p)]
+
+
     """Mean, over both directions, of the length of steps whose midpoint lies within threshold of a vertex of the other."""
     if len(a) < 2 or len(b) < 2:
         return 0.0
@@ -140,7 +162,7 @@ def overlap(a: np.ndarray, b: np.ndarray, every: float, threshold: float) -> flo
 
     def one(p: np.ndarray, q: np.ndarray) -> float:
         size = np.sqrt((np.diff(p, axis=0) ** 2).sum(1))
-        return float(size[nearest_distance((p[1:] + p[:-1]) / 2, q) <= threshold].sum())
+        return float(size[near((p[1:] + p[:-1]) / 2, q, threshold)].sum())
 
     return (one(a, b) + one(b, a)) / 2
 

@@ -61,8 +61,10 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "t18_resample": lambda n, p: tree.resample(n, 20.0),
     "g9_turn_angles": lambda n, p: tree.turn_angles(n),
     "g7_segment_distance": lambda n, p: nodes.edges(n).select(K, "id", G.distance_to_segment((F.lit(100.0), F.lit(200.0), F.lit(150.0)), G.point(), G.point("p")).alias("d")),
-    "m4_ssd": lambda n, p: metrics.ssd(n, p()),
-    "m5_point": lambda n, p: metrics.point(n, p()),
+    "m4_ssd": lambda n, p: metrics.ssd(n, p(), resampled=False),
+    "m4_ssd_resampled": lambda n, p: metrics.ssd(n, p()),
+    "m5_point": lambda n, p: metrics.point(n, p(), resample_step=None),
+    "m5_point_resampled": lambda n, p: metrics.point(n, p()),
     "j6_distances": lambda n, p: metrics.distances(n, p()),
     "m6_keypoint": lambda n, p: metrics.keypoint(n, p()),
     "m7_length": lambda n, p: length.length(n, p(), 8.0, 0.2),

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .nodes import K, branches, leaves
+from .nodes import K, branches, child_counts, leaves
 from .tree import fiber_nodes, fibers, resample
 
 #: Distances computed at once.
@@ -76,9 +76,14 @@ def distances(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return gold.select(*cols).groupBy(K).cogroup(pred.select(*cols).groupBy(K)).applyInArrow(run, f"{K} bigint, side string, id bigint, d double")
 
 
-def ssd(gold: DataFrame, pred: DataFrame, min_distance: float = 2.0) -> DataFrame:
-    """Mean distances each way, and means of those beyond min_distance (0 if none)."""
-    d = distances(gold, pred)
+def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
+    return nodes if every is None else resample(nodes, every)
+
+
+def ssd(gold: DataFrame, pred: DataFrame, min_distance: float = 2.0, resampled: bool = True) -> DataFrame:
+    """Mean distances each way, and means of those beyond min_distance (0 if none), of forests resampled at that step."""
+    every = min_distance if resampled else None
+    d = distances(_resampled(gold, every), _resampled(pred, every))
     far = lambda w: F.coalesce(F.avg(F.when((F.col("side") == w) & (F.col("d") > min_distance), F.col("d"))), F.lit(0.0))
     mean = lambda w: F.avg(F.when(F.col("side") == w, F.col("d")))
     out = d.groupBy(K).agg(mean("gold").alias("sd_gt2pred"), mean("pred").alias("sd_pred2gt"), far("gold").alias("ssd_gt2pred"), far("pred").alias("ssd_pred2gt"), F.avg(F.when(F.col("d") > min_distance, 1.0).otherwise(0.0)).alias("ssd_percent"))
@@ -93,9 +98,9 @@ def scored(df: DataFrame, tp, fp, fn) -> DataFrame:
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def point(gold: DataFrame, pred: DataFrame, threshold: float = 4.0) -> DataFrame:
-    """Points matched strictly within threshold: TP are pred's, FN gold's; recall is of gold's."""
-    d = distances(gold, pred).withColumn("hit", F.coalesce(F.col("d") < threshold, F.lit(False)))
+def point(gold: DataFrame, pred: DataFrame, threshold: float = 4.0, resample_step: float | None = 2.0) -> DataFrame:
+    """Points of resampled forests matched strictly within threshold: TP are pred's, FN gold's; recall is of gold's."""
+    d = distances(_resampled(gold, resample_step), _resampled(pred, resample_step)).withColumn("hit", F.coalesce(F.col("d") < threshold, F.lit(False)))
     n = lambda w, hit=None: F.count_if((F.col("side") == w) & (F.lit(True) if hit is None else F.col("hit") == hit))
     out = d.groupBy(K).agg(n("gold").alias("num_gt"), n("pred").alias("num_pred"), n("pred", True).alias("TP"), n("pred", False).alias("FP"), n("gold", False).alias("FN"))
     share = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -128,11 +133,6 @@ def steps(p: np.ndarray, every: float, eps: float = 1e-8) -> np.ndarray:
     return out if len(out) and np.linalg.norm(out[-1] - p[-1]) <= eps else np.vstack([out, p[-1:]])
 
 
-def polyline_length(p: np.ndarray) -> float:
-    return float(np.sqrt((np.diff(p, axis=0) ** 2).sum(1)).sum())
-
-
-def overlap(a: np.ndarray, b: np.ndarray, every: float, threshold: float) -> float:
 def chained(p: np.ndarray, keys: np.ndarray, every: float) -> np.ndarray:
     """Points every so far along each chain of a fiber, from one key node to the next, and its end; what lies between is gone."""
     at = np.flatnonzero(keys)
@@ -155,6 +155,11 @@ def near(p: np.ndarray, q: np.ndarray, reach: float, size: int = 32) -> np.ndarr
     return hit.reshape(-1)[: len(p)]
 
 
+def polyline_length(p: np.ndarray) -> float:
+    return float(np.sqrt((np.diff(p, axis=0) ** 2).sum(1)).sum())
+
+
+def overlap(a: np.ndarray, b: np.ndarray, every: float, threshold: float) -> float:
     """Mean, over both directions, of the length of steps whose midpoint lies within threshold of a vertex of the other."""
     if len(a) < 2 or len(b) < 2:
         return 0.0
@@ -175,13 +180,15 @@ def fiber_iou(a: np.ndarray, b: np.ndarray, every: float, threshold: float, leas
     return both / (la + lb - both + 1e-7)
 
 
-def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float = 5.0, every: float = 1.0, skip_center: float = 100.0, min_length: float = 5.0) -> DataFrame:
-    """Root-to-leaf fibers assigned one to one by greatest total IoU; hits reach `iou`. Pairs that cannot are settled by gates."""
+def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float = 5.0, every: float = 1.0, skip_center: float = 100.0, min_length: float = 5.0, resample_step: float | None = 2.0) -> DataFrame:
+    """Root-to-leaf fibers, resampled from key node to key node, assigned one to one by greatest total IoU; hits reach `iou`. Pairs that cannot are settled by gates."""
 
     def polylines(t: pa.Table) -> list[np.ndarray]:
         rows = t.sort_by([("leaf_id", "ascending"), ("pos", "ascending")])
-        leaf, p = rows.column("leaf_id").to_numpy(), _xyz(rows)
-        return [x for x in np.split(p, np.flatnonzero(np.diff(leaf)) + 1) if len(x) > 1 and polyline_length(x) >= min_length]
+        leaf, p, keys = rows.column("leaf_id").to_numpy(), _xyz(rows), rows.column("key").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(leaf)) + 1
+        lines = [x if resample_step is None else chained(x, k, resample_step) for x, k in zip(np.split(p, cuts), np.split(keys, cuts), strict=True)]
+        return [x for x in lines if len(x) > 1 and polyline_length(x) >= min_length]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         g, p = polylines(left), polylines(right)
@@ -205,24 +212,41 @@ def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float =
         real = {"iou_matched": float(got.mean()) if len(got) else 0.0, "iou_all": float(got.sum() / max(len(g), len(p), 1))}
         return pa.table({K: pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([v], pa.int64()) for k, v in whole.items()} | {k: pa.array([v], pa.float64()) for k, v in real.items()})
 
-    out = fiber_nodes(gold).groupBy(K).cogroup(fiber_nodes(pred).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
+    def paths(n: DataFrame) -> DataFrame:
+        kids = child_counts(n).withColumn("key", F.col("n_children") != 1).select(K, "id", "key")
+        return fiber_nodes(n).join(kids, [K, "id"], "left").withColumn("key", F.coalesce("key", F.lit(True)) | (F.col("pos") == 0))
+
+    out = paths(gold).groupBy(K).cogroup(paths(pred).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
     return scored(out, "TP", "FP", "FN")
 
 
-METRICS = {"ssd": ssd, "point": point, "keypoint": keypoint, "fiber": fiber}
+def length(gold: DataFrame, pred: DataFrame, **params) -> DataFrame:
+    from .length import length as run  # it needs this module
+
+    return run(gold, pred, **params)
+
+
+METRICS = {"ssd": ssd, "point": point, "length": length, "keypoint": keypoint, "fiber": fiber}
+#: What ssd gives; the other metrics count.
+DISTANCES = ("sd", "sd_gt2pred", "sd_pred2gt", "ssd", "ssd_gt2pred", "ssd_pred2gt", "ssd_percent")
 
 
-def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("point", "keypoint", "fiber"), collect: str = "micro", params: dict[str, dict] | None = None) -> DataFrame:
-    """One row a metric over all pairs: counts added up (micro), or means of the pairs' scores (macro)."""
+def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("ssd", "length", "keypoint", "fiber"), collect: str = "micro", params: dict[str, dict] | None = None) -> DataFrame:
+    """One row a metric over all pairs: counts added up (micro), or means of the pairs' scores (macro); means of distances either way."""
     out = None
     for name in names:
-        rows = METRICS[name](gold, pred, **(params or {}).get(name, {})).select(F.lit(name).alias("metric"), K, "TP", "FP", "FN", "precision", "recall", "f1")
+        rows = METRICS[name](gold, pred, **(params or {}).get(name, {}))
+        for c in ("TP", "FP", "FN", "precision", "recall", "f1", *DISTANCES):
+            rows = rows.withColumn(c, F.col(c).cast("double") if c in rows.columns and (c in DISTANCES) == (name == "ssd") else F.lit(None).cast("double"))
+        rows = rows.select(F.lit(name).alias("metric"), K, "TP", "FP", "FN", "precision", "recall", "f1", *DISTANCES)
         out = rows if out is None else out.unionByName(rows)
-    grouped = out.groupBy("metric")
+    grouped, means = out.groupBy("metric"), [F.avg(c).alias(c) for c in DISTANCES]
     if collect == "macro":
-        return grouped.agg(F.count("*").alias("n_pairs"), *(F.avg(c).alias(c) for c in ("precision", "recall")), F.avg("f1").alias("f1_score"))
-    total = grouped.agg(F.count("*").alias("n_pairs"), *(F.sum(c).alias(c) for c in ("TP", "FP", "FN")))
-    return scored(total, "TP", "FP", "FN").withColumnRenamed("f1", "f1_score")
+        return grouped.agg(F.count("*").alias("n_pairs"), *(F.avg(c).alias(c) for c in ("precision", "recall")), F.avg("f1").alias("f1_score"), *means)
+    total = grouped.agg(F.count("*").alias("n_pairs"), *(F.sum(c).alias(c) for c in ("TP", "FP", "FN")), *means)
+    total = scored(total, "TP", "FP", "FN").withColumnRenamed("f1", "f1_score")
+    none = F.col("TP").isNull()
+    return total.withColumns({c: F.when(~none, F.col(c)) for c in ("precision", "recall", "f1_score")})
 
 
 __all__ = ["METRICS", "assign", "batch", "distances", "fiber", "fibers", "keypoint", "point", "resample", "ssd"]

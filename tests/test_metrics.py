@@ -24,3 +24,21 @@ def test_registered_fiber_queries_compare_as_the_presets_do(spark):
         for moved, hits in ((0.0, 1), (4.0, 1), (8.0, 0)):
             rows = catalog._Q[query](_lines(spark, 0.0), lambda m=moved: _lines(spark, m)).collect()
             assert [r[column] for r in rows if query == "m11_fiber" or r.metric == "fiber"] == [hits]
+
+
+def test_metrics_compare_points_along_edges(spark):
+    gold, pred = _lines(spark, 0.0), spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 0.0, 1.0, -1), (1, 2, 2, 50.0, 0.0, 0.0, 1.0, 1)], NODES)
+    (r,) = metrics.point(gold, pred).collect()
+    # Of the 51 points of gold, 0, 2 .. 100, those up to 52 are nearer than 4.
+    assert (r.num_gt, r.num_pred, r.TP, r.FN) == (51, 26, 26, 51 - 27)
+    (s,) = metrics.ssd(gold, pred).collect()
+    assert abs(s.sd_gt2pred - sum(range(2, 51, 2)) / 51) < 1e-6 and s.sd_pred2gt == 0
+    p, keys = np.array([(0, 0, 0), (3, 0, 0), (9, 0, 0), (10, 0, 0)], float), np.array([True, False, True, True])
+    assert metrics.chained(p, keys, 2.0)[:, 0].tolist() == [0, 2, 4, 6, 8, 9, 10]
+
+
+def test_batch_has_the_default_metrics(spark):
+    rows = {r.metric: r for r in metrics.batch(_lines(spark, 0.0), _lines(spark, 1.0)).collect()}
+    assert set(rows) == {"ssd", "length", "keypoint", "fiber"}
+    assert rows["ssd"].TP is None and rows["ssd"].f1_score is None and abs(rows["ssd"].sd - 1) < 1e-6
+    assert rows["length"].sd is None and abs(rows["length"].TP - 100) < 1e-3 and rows["fiber"].n_pairs == 1

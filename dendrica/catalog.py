@@ -74,6 +74,8 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "r2_sphere_voxels": lambda n, p: raster.sphere_voxels(n, SHAPE, 2.0),
     "r3_cone_voxels": lambda n, p: raster.cone_voxels(nodes.rescale(n, (0.1, 0.1, 0.1)), (30, 50, 60)),
     "r4_sphere_cone_voxels": lambda n, p: raster.sphere_cone_voxels(nodes.rescale(n, (0.1, 0.1, 0.1)), (30, 50, 60)),
+    "r3_cone_voxels_full": lambda n, p: raster.cone_voxels(n, SHAPE),
+    "r4_sphere_cone_voxels_full": lambda n, p: raster.sphere_cone_voxels(n, SHAPE),
     "t24_somas": lambda n, p: soma.somas(n),
     "t25_refine_somas": lambda n, p: soma.refine_somas(n, 20.0),
     "r8_adjacency": lambda n, p: raster.adjacency(raster.sphere_voxels(n, SHAPE, 2.0)),

@@ -42,3 +42,27 @@ def test_batch_has_the_default_metrics(spark):
     assert set(rows) == {"ssd", "length", "keypoint", "fiber"}
     assert rows["ssd"].TP is None and rows["ssd"].f1_score is None and abs(rows["ssd"].sd - 1) < 1e-6
     assert rows["length"].sd is None and abs(rows["length"].TP - 100) < 1e-3 and rows["fiber"].n_pairs == 1
+
+
+def test_cones_of_the_whole_forest_equal_brute_force(spark):
+    at = [(1, 20.3, 30.7, 12.1, 2.5, -1), (2, 220.2, 60.1, 140.6, 0.5, 1), (3, 230.0, 110.0, 150.0, 1.0, 2)]
+    n = spark.createDataFrame([(1, i, 2, x, y, z, r, p) for i, x, y, z, r, p in at], NODES)
+    by = {i: (np.array([z, y, x]), r) for i, x, y, z, r, _ in at}
+    cones, balls = set(), set()
+    for i, *_, parent in at:
+        (a, ra) = by[i]
+        box = lambda lo, hi: np.stack(np.meshgrid(*(np.arange(int(u), int(v) + 1) for u, v in zip(np.floor(lo), np.ceil(hi), strict=True)), indexing="ij"), -1).reshape(-1, 3)
+        v = box(a - ra, a + ra)
+        balls |= set(map(tuple, v[((v - a) ** 2).sum(1) <= ra * ra].tolist()))
+        if parent == -1:
+            continue
+        (b, rb), size = by[parent], 0
+        a, ra, b, rb = (a, ra, b, rb) if ra >= rb else (b, rb, a, ra)
+        size = np.linalg.norm(b - a)
+        v = box(np.minimum(a, b) - ra, np.maximum(a, b) + ra)
+        h = (v - a) @ ((b - a) / size)
+        rho = np.linalg.norm(v - a - h[:, None] * ((b - a) / size), axis=1)
+        cones |= set(map(tuple, v[(h >= 0) & (h <= size) & (rho <= ra + (rb - ra) * h / size)].tolist()))
+    for query, want in (("r3_cone_voxels_full", cones), ("r4_sphere_cone_voxels_full", cones | balls)):
+        inside = {v for v in want if all(0 <= c < m for c, m in zip(v, catalog.SHAPE, strict=True))}
+        assert {(r.z, r.y, r.x) for r in catalog._Q[query](n, None).collect()} == inside

@@ -6,6 +6,7 @@ take effect: what it rejects is gone for the next.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dendrica.llm import jaccard, lines, packing, quality, secret_scan
 from dendrica.llm.common import load, scratch, table
+from dendrica.llm.tokens import trim
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     because it stands first in a document that goes.
     """
     copies = table(_copies(docs))
+    _released(spark)
     gone = lines.repeated_lines(docs, aside=copies)
     out = lines.without(docs.join(copies, "doc_id", "left_anti").select(docs.columns), gone).drop("__gone")
     return _counted(out.where("text IS NULL OR text <> ''"))
@@ -57,6 +60,19 @@ def _copies(docs: DataFrame) -> DataFrame:
     return kind.where("component_id <> doc_id").select("doc_id").distinct()
 
 
+def _released(spark: SparkSession) -> None:
+    """Memory that idle Python workers hold goes back before the JVM needs it."""
+
+    def run(batches):
+        for b in batches:
+            yield b
+        gc.collect()
+        trim()
+
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(run, "id bigint").write.format("noop").mode("overwrite").save()
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs

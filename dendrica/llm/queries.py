@@ -18,8 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out())
-    model = lm.fit(docs.where(~F.col("held_out")))
-    return lm.score(docs, model, keep=("held_out",))
+    return lm.fit_score(docs, ~F.col("held_out"), keep=("held_out",))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,13 @@ class Words:
     word_at: np.ndarray
     ids: np.ndarray
     id_at: np.ndarray
+    #: Places of the words among those whose ids were known, or -1.
+    place: np.ndarray
+
+
+def placed(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word, or -1."""
+    return pc.fill_null(pc.index_in(words, among), -1).to_numpy()
 
 
 def split_words(texts: pa.Array, keep_case: str | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -167,11 +174,18 @@ class WordIds:
         ids, each = gathered(flat, cut, sequence)
         return ids, each[np.append(start, n + len(at))]
 
-    def batch(self, texts: pa.Array) -> Words:
+    def batch(self, texts: pa.Array, often: pa.Array | None = None, held: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+        """Words and ids of texts; held: ids and offsets of the words of `often`, which are not encoded again."""
         words, codes, at = split_words(texts, "<|")  # the vocabulary is lower case, but for names of special tokens
-        flat, cut = self.encoded(words)
+        place = placed(words, often) if held is not None else np.full(len(words), -1)
+        new = np.flatnonzero(place < 0)
+        flat, cut = self.encoded(words.take(pa.array(new)))
+        if held is not None:
+            number = place.copy()
+            number[new] = len(often) + np.arange(len(new))
+            flat, cut = gathered(np.concatenate([held[0], flat]), np.concatenate([held[1], held[1][-1] + cut[1:]]), number)
         ids, each = gathered(flat, cut, codes)
-        return Words(words, codes, at, ids, each[at])
+        return Words(words, codes, at, ids, each[at], place)
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""

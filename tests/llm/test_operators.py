@@ -1,15 +1,13 @@
 import collections
 import hashlib
-import math
 import random
-import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrica.llm import ann, bpe, jaccard, lines, lm, packing, quality, queries, secret_scan, shards, tokens, urls
+from dendrica.llm import ann, bpe, jaccard, lines, packing, quality, queries, secret_scan, shards, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, __k int"
@@ -102,36 +100,6 @@ def test_line_dedup_edges(spark, docs):
     assert cleaned[1] == cleaned[0] != "" and "All rights" not in cleaned[11]
 
 
-def test_lm(spark, docs):
-    held = docs.withColumn("held", lm.held_out())
-    model = lm.fit(held.where("NOT held"))
-    got = lm.score(held, model, keep=("held",)).collect()
-    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in docs.collect()]
-    is_held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
-    c = collections.Counter(w for i, ws in rows if not is_held(i) for w in ws)
-    total, distinct = sum(c.values()), len(c)
-    want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), total, round(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in ws), 6)) for i, ws in rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert lm.score(empty(spark), model).count() == 0
-    assert lm.score(docs, lm.fit(empty(spark))).count() == docs.count()
-
-
-def test_lm_beats_unigrams_on_held_out_text(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", lm.held_out())
-    model = lm.fit(d.where("NOT held"))
-    score = lm.score(d.where("held"), model).agg(F.sum("score")).first()[0]
-    w = tokens.word_ids(tokens.default_path())
-    size = w.size
-    counts, ids = np.zeros(size), {}
-    for r in d.select("doc_id", "text", "held").collect():
-        x = np.append(w.tok.encode(r.text or "", add_special_tokens=False).ids, 1)
-        ids[r.doc_id] = (r.held, x)
-        counts += 0 if r.held else np.bincount(x, minlength=size)
-    p = np.log10((counts + 0.5) / (counts + 0.5).sum())
-    assert score > sum(p[x].sum() for h, x in ids.values() if h)
-
-
 def test_secrets(spark, docs):
     import base64
 

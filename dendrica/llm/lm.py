@@ -364,7 +364,7 @@ FIXED = (1 << 32, 1 << 20)
 def _mean(sums: DataFrame, fan: int = 32) -> tuple[np.ndarray, np.ndarray] | None:
     """Means of w and seen over rows (g, w, seen, n), added up `fan` rows at a time."""
 
-    def added(key, t: pa.Table) -> pa.Table:
+    def added(key, t):
         total = [sum(np.frombuffer(x.as_py(), np.int64) for x in t.column(c)) for c in ("w", "seen")]
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([total[0].tobytes()], pa.binary()), "seen": pa.array([total[1].tobytes()], pa.binary()), "n": pa.array([pc.sum(t.column("n")).as_py()], pa.int64())})
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrica.llm import ann, bpe, jaccard, lines, packing, quality, queries, secret_scan, shards, tokens, urls
+from dendrica.llm import bpe, jaccard, lines, packing, quality, queries, secret_scan, shards, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, __k int"
@@ -115,25 +115,6 @@ def test_secrets(spark, docs):
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
 
 
-def test_nearest_recall_and_edges(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(8, 32))
-    data = [(i, (centres[i % 8] + 0.4 * rng.normal(size=32)).tolist()) for i in range(1500)] + [(1500 + i, [0.5] * 32) for i in range(40)]
-    bad = [(9000, None), (9100, [0.0] * 32), (9200, [float("nan")] * 32), (9300, [None] * 32), (9400, [1.0])]
-    df = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, block=600).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    x, ids = np.array([v for _, v in data]), np.array([i for i, _ in data])
-    hits = 0
-    for q in range(0, 1540, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        want = [j for j in np.lexsort((ids, d)) if j != q][:10]
-        hits += len({ids[j] for j in want} & {v for _, v in got[q]})
-    assert sorted(got) == list(range(0, 1540, 100)) and hits >= 0.95 * 10 * len(got)
-    assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
-
-
 def test_quality_edges_and_ablation(spark, docs):
     led = quality.ledger(docs)
     assert led.count() == docs.count() and "text" not in led.columns and quality.ledger(empty(spark)).count() == 0

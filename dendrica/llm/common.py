@@ -46,6 +46,14 @@ def lean(df: DataFrame, records: int = 2000) -> DataFrame:
     return df
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,16 +11,23 @@ its characters) and probe the indexes of all lengths that can match at only thos
 places that a match can have. Candidates are verified by a banded bit-parallel
 automaton, a word of 2 * edits + 1 diagonals for each number of edits.
 
+A line may differ from another by one edit for each `least` characters that the
+shorter one has, and by `edits` at most; a line too short for one goes by
+equality only.
+
 Long lists (a segment shared by many lines) are not joined pair by pair: for one
 edit, the part outside the shared segment is halved again and again, each half
 giving a longer shared part, until lists are short; when but one character is
 left out, equality of keys proves the distance and a list is settled by its
 first line alone. With more edits allowed, long lists are joined in pairs that
-skew-splitting deals out.
-
-Everything here is DataFrame expressions. Rows equal in id and text are one
-document and cleaned alike; null texts stay null, empty ones empty; blank lines
-stay.
+skew-splitting deals out. Sizes of lists are counted by key and joined back, so
+that no task holds a list whole.
+
+Lines and documents are told apart by 128 bits of their texts. Everything here
+is DataFrame expressions. Rows equal in id and text are one document and cleaned
+alike; null texts stay null, empty ones empty; blank lines stay; all other
+columns stay as they are, whatever their names, but for one of the name of the
+count that dedup adds, which gives way to it.
 """
 
 from __future__ import annotations
@@ -30,9 +37,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import WS, ascii_lower, free, let, table
 
+#: Edits at most, and characters for each.
 EDITS, LEAST = 1, 32
+BLANK = " \t\n\x0b\x0c\r"
 #: Entries of a list that are still joined pair by pair.
 LIST = 48
 
@@ -45,19 +54,26 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (1 + size * i + extra).cast("int"), (size + F.when(longer >= n - i, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Index keys (the first edits + 1), then keys that only probe; null where no match can have the place."""
-    index, probe = [], []
-    for delta in range(edits + 1):
-        of = length - delta
-        for i in range(edits + 1):
-            at, size = segment(of, i, edits)
-            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            for shift in range(low, high + 1):
-                inside = (at + shift >= 1) & (at + shift + size - 1 <= length)
-                key = F.when(inside, F.xxhash64(of, F.lit(i), line.substr(at + shift, size)))
-                (index if delta == shift == 0 else probe).append(key)
-    return index + probe
+def allowed(length: Column, edits: int, least: int) -> Column:
+    """Edits by which a line of a length may differ from longer ones."""
+    return F.least(F.lit(edits), F.floor(length / max(least, 1)).cast("int"))
+
+
+def segment_keys(line: Column, length: Column, edits: int, least: int) -> Column:
+    """Structs (key, own, nth) of a line: its own segments as index keys, and keys that only probe; at the places that a match can have."""
+    out = []
+    for e in range(1, edits + 1):  # of lines to which e edits are allowed
+        for delta in range(e + 1):
+            of = length - delta
+            fits = (allowed(of, edits, least) == e) & (of > e)
+            for i in range(e + 1):
+                at, size = segment(of, i, e)
+                low, high = max(-i, delta - (e - i)), min(i, delta + (e - i))
+                for shift in range(low, high + 1):
+                    inside = fits & (at + shift >= 1) & (at + shift + size - 1 <= length)
+                    key = F.xxhash64(of, F.lit(i), line.substr(at + shift, size))
+                    out.append(F.when(inside, F.struct(key.alias("key"), F.lit(delta == shift == 0).alias("own"), F.lit(i).alias("nth"))))
+    return F.array_compact(F.array(*out))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -101,12 +117,23 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(near & (F.length(b) > 0), found).when(near, F.length(a))
 
 
+def document(key: str, text: str) -> Column:
+    """128 bits that stand for a document; null for a null text."""
+    said = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(said, F.lit("\0"), F.col(text))))
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__k, __d, no, v: lines with a word, trimmed; __k stands for the document."""
+    """__k, __d, no, v, h: lines with a word, trimmed; __k stands for the document, h for the line."""
     each = F.posexplode(F.split(F.col(text), "\n")).alias("no", "v")
-    x = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("__k"), F.col(key).alias("__d"), each)
-    blank = " \t\n\x0b\x0c\r"
-    return x.withColumn("v", F.trim(F.col("v"), F.lit(blank))).where("v <> ''").withColumn("h", F.xxhash64("v"))
+    x = docs.select(document(key, text).alias("__k"), F.col(key).alias("__d"), each)
+    return x.withColumn("v", F.trim(F.col("v"), F.lit(BLANK))).where("v <> ''").withColumn("h", F.unhex(F.md5("v")))
+
+
+def _sized(entries: DataFrame) -> DataFrame:
+    """Entries of lists of two or more that hold an indexed line, with n, the entries of the list."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("owns")).where("n > 1 AND owns > 0").drop("owns")
+    return entries.join(sizes, "key")
 
 
 def _gap_key(of: str = "l", p: str = "p", s: str = "s") -> Column:
@@ -121,7 +148,7 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a <> b AND (n < m OR n = m AND a < b)").select("a", "b")
 
 
-def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFrame, edits: int) -> DataFrame:
+def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFrame, edits: int, least: int) -> DataFrame:
     """h of lines of which another one, within `edits` edits, stands first. found: key, h, len, own, nth (segment), n (entries of the list)."""
     some = table(found.select("h").distinct())
     # The texts of only those lines that share a segment with another.
@@ -139,73 +166,106 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
             held = long.join(texts, "h")
             keyed = held.withColumn("key", _gap_key())
             # One character left out: lines of the same length with equal keys are one replacement apart.
-            one = keyed.where(f"{gap} = 1 AND own").withColumn("least", F.expr("min(first) OVER (PARTITION BY key)")).where("least < first").select("h")
+            one = keyed.where(f"{gap} = 1 AND own").select("key", "h", "first")
+            one = one.join(one.groupBy("key").agg(F.min("first").alias("least")), "key").where("least < first").select("h")
             # None left out of the shorter: an insertion apart.
             none = held.where(f"{gap} = 1").select("*", F.explode(F.expr("array(named_struct('p2', p + 1, 's2', s), named_struct('p2', p, 's2', s + 1))")).alias("c"))
             none = none.select("h", "first", "own", "l", F.col("c.p2").alias("p"), F.col("c.s2").alias("s"), "v").withColumn("key", F.expr("xxhash64(l, concat(left(v, p), right(v, s)))"))
-            none = none.withColumns({"mine": F.expr("min(CASE WHEN own THEN first END) OVER (PARTITION BY key)"), "other": F.expr("min(CASE WHEN NOT own THEN first END) OVER (PARTITION BY key)")})
+            none = none.select("key", "h", "first", "own")
+            none = none.join(none.groupBy("key").agg(F.expr("min(first) FILTER (WHERE own)").alias("mine"), F.expr("min(first) FILTER (WHERE NOT own)").alias("other")), "key")
             none = none.where("CASE WHEN own THEN other < first ELSE mine < first END").select("h")
             settled += [one, none]
             halves = held.where(f"{gap} > 1").select("h", "len", "own", "l", "v", F.explode(F.expr(f"array(named_struct('p', CAST(p + {gap} DIV 2 AS INT), 's', s), named_struct('p', p, 's', CAST(s + {gap} - {gap} DIV 2 AS INT)))")).alias("c"))
-            halves = halves.select("h", "len", "own", "l", "v", "c.p", "c.s").withColumn("key", _gap_key()).drop("v").withColumn("n", F.expr("count(*) OVER (PARTITION BY key)")).where("n > 1")
-            halves = table(halves)
+            halves = halves.select("h", "len", "own", "l", "v", "c.p", "c.s").withColumn("key", _gap_key()).drop("v")
+            halves = table(_sized(table(halves)))
             pairs.append(_pairs(halves.where(F.col("n") <= LIST)))
             long = halves.where(F.col("n") > LIST).drop("key", "n")
     apart = table(reduce(DataFrame.unionByName, pairs).distinct())
     a = texts.select(F.col("h").alias("a"), F.col("v").alias("av"), F.col("first").alias("af"))
     b = texts.select(F.col("h").alias("b"), F.col("v").alias("bv"), F.col("first").alias("bf"))
-    met = apart.join(a, "a").join(b, "b").where(within(F.col("av"), F.col("bv"), edits).isNotNull())
+    met = apart.join(a, "a").join(b, "b").where(within(F.col("av"), F.col("bv"), edits) <= allowed(F.least(F.length("av"), F.length("bv")), edits, least))
     later = met.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("h"))
     return reduce(DataFrame.unionByName, [later, *settled]).distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text", aside: DataFrame | None = None) -> DataFrame:
-    """__k, __d, no, h, near: every line that goes, of every document; near: no equal line stands before it.
-
-    Documents whose key is in aside (key) take no part.
-    """
-    order = F.struct(F.col("__d").isNull().alias("z"), F.col("__d").alias("d"), F.col("__k").alias("k"), F.col("no").alias("no"))
+def _keyed(docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
+    """__k, __d, no, h, len, keys of all lines, written out."""
     length = F.length("v")
-    keys = F.when(length >= max(least, edits + 1), F.array(*segment_keys(F.col("v"), length, edits)))
-    each = _lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys"))
-    lines = table(each if aside is None else each.join(aside.select(F.col(key).alias("__d")), "__d", "left_anti"))
-    firsts = table(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("times")))
-    entries = lines.where("keys IS NOT NULL").select("h", "len", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
-    entries = entries.groupBy("key", "h", "len").agg(F.min("at").cast("int").alias("at"))
-    entries = entries.withColumns({"own": F.col("at") <= edits, "nth": F.pmod(F.col("at"), F.lit(edits + 1))})
-    lists = entries.withColumns({"n": F.expr("count(*) OVER (PARTITION BY key)"), "owns": F.expr("count_if(own) OVER (PARTITION BY key)")}).where("n > 1 AND owns > 0")
-    lists = table(lists.select("key", "h", "len", "own", "nth", "n"))
-    near = _near(lists, docs, key, text, firsts, edits).withColumn("near", F.lit(True))
+    keys = F.when(length >= least, segment_keys(F.col("v"), length, edits, least))
+    return table(_lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys")))
+
+
+def _order() -> Column:
+    return F.struct(F.col("__d").isNull().alias("z"), F.col("__d").alias("d"), F.col("__k").alias("k"), F.col("no").alias("no"))
+
+
+def _repeated(lines: DataFrame, docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
+    firsts = table(lines.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
+    entries = lines.where("size(keys) > 0").select("h", "len", F.explode("keys").alias("x")).select("h", "len", "x.*")
+    # A key of a line may be an index key, and one that probes.
+    entries = entries.groupBy("key", "h", "len").agg(F.max("own").alias("own"), F.min("nth").alias("nth"))
+    lists = table(_sized(table(entries)))
+    near = _near(lists, docs, key, text, firsts, edits, least).withColumn("near", F.lit(True))
     flagged = table(firsts.join(near, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = lines.select("__k", "__d", "no", "h").join(flagged, "h").withColumn("order", order)
+    gone = lines.select("__k", "__d", "no", "h").join(flagged, "h").withColumn("order", _order())
     return gone.where("order > first OR near").select("__k", "__d", "no", "h", F.expr("near AND order = first").alias("near"))
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines of gone(__k, no) taken out of their texts, and __gone, how many."""
-    places = gone.groupBy("__k").agg(F.collect_set("no").alias("__no"))
-    # Places as a string of marks, looked up by place in constant time.
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(key), F.col(text))).join(places, "__k", "left")
-    held = let(F.split(F.col(text), "\n"), lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__no")), lambda at: F.array_join(F.transform(at, lambda i: F.get(x, i)), "\n")))
-    return keyed.withColumns({text: F.when(F.col("__no").isNull(), F.col(text)).otherwise(held), "__gone": F.coalesce(F.size("__no"), F.lit(0)).cast("long")}).drop("__k", "__no")
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """__k, __d, no, h, near: every line that goes, of every document; near: no equal line stands before it."""
+    return _repeated(_keyed(docs, edits, least, key, text), docs, edits, least, key, text)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text", count: str = "__gone") -> DataFrame:
+    """docs with the lines of gone(__k, no) taken out of their texts, and `count`, how many."""
+    places = gone.groupBy("__k").agg(F.collect_set("no").alias("no"))
+    # All columns of docs in one, so that none can clash with what is joined.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), document(key, text).alias("__k")).join(places, "__k", "left")
+    old = F.col("doc").getField(text)
+    held = let(F.split(old, "\n"), lambda x: let(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("no")), lambda at: F.array_join(F.transform(at, lambda i: F.get(x, i)), "\n")))
+    new = F.when(F.col("no").isNull(), old).otherwise(held)
+    cols = [(new if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns if c != count]
+    return keyed.select(*cols, F.coalesce(F.size("no"), F.lit(0)).cast("long").alias(count))
+
+
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text", count: str = "__gone") -> DataFrame:
+    """docs with each line kept where it, or one within the edits allowed, stands first, and `count`, the lines that went."""
+    return without(docs, repeated_lines(docs, edits, least, key, text), key, text, count)
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """Distinct hashes of runs of `size` words; of all words, if fewer."""
+    words = F.filter(F.split(ascii_lower(text), f"[{WS}]+"), lambda w: w != "")
+    runs = lambda h: F.when(F.size(h) <= size, F.filter(F.array(F.xxhash64(h)), lambda _: F.size(h) > 0)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size)))))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each line kept where it, or one within `edits` edits, stands first, and __gone."""
-    return without(docs, repeated_lines(docs, edits, least, key, text), key, text)
+def near_copies(lines: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """__k of documents that are near copies of one that stands before them and has a line of theirs first: shingle sets of `percent` hundredths of Jaccard similarity or more."""
+    firsts = lines.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", F.col("first.k").alias("a"))
+    pairs = table(lines.select("h", F.col("__k").alias("b")).join(firsts, "h").where("a <> b").select("a", "b").distinct())
+    some = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
+    # Rows equal in id and text are one document.
+    texts = docs.select(document(key, text).alias("__k"), F.col(text).alias("t")).join(some, "__k", "left_semi").dropDuplicates(["__k"])
+    sets = table(texts.select("__k", shingle_set(F.col("t"), size).alias("s")).withColumn("n", F.size("s")))
+    of = lambda x, *cols: sets.select(F.col("__k").alias(x), *(F.col(c).alias(x + c) for c in cols))
+    # Sizes first: sets travel only where they may be alike.
+    fit = table(pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b"))
+    met = fit.join(of("a", "n", "s"), "a").join(of("b", "n", "s"), "b").withColumn("both", F.size(F.array_intersect("as", "bs")))
+    return met.where(f"100 * both >= {percent} * (an + bn - both)").select(F.col("b").alias("__k")).distinct()
 
 
-def dedup_boilerplate(docs: DataFrame, share: float = 0.5, edits: int = EDITS, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As dedup, but for lines only that recur outside of copies; columns as in docs.
+def dedup_originals(docs: DataFrame, edits: int = EDITS, least: int = LEAST, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies, and with each line kept where it, or one within the edits allowed, stands first among those that are left; columns as in docs.
 
-    A document of which more than `share` of the lines would go is a copy of
-    others, and a matter for near-duplicate detection, which needs its text. So
-    a line's repeats go only if one of them stands in a document that is no
-    copy; they then go from copies, too, which stay alike thereby.
+    A near copy of a document before it would lose nearly all its lines to that one
+    and leave a torso that no later step could tell for a copy. So it goes whole
+    (near_copies), before lines are counted: no line is spared for its sake, and
+    none is lost because it stands first in a document that goes.
     """
-    gone = table(repeated_lines(docs, edits, least, key, text))
-    sizes = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("__k"), F.size(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")).alias("m"))
-    counts = gone.groupBy("__k").agg(F.count("*").alias("g")).join(sizes.groupBy("__k").agg(F.first("m").alias("m"), F.count("*").alias("c")), "__k")
-    whole = table(counts.where(F.col("g") <= F.lit(share) * F.col("m") * F.col("c")).select("__k"))
-    stray = table(gone.join(whole, "__k", "left_semi").select("h").distinct())
-    return without(docs, gone.join(stray, "h", "left_semi"), key, text).drop("__gone")
+    lines = _keyed(docs, edits, least, key, text)
+    copies = table(near_copies(lines, docs, size, percent, key, text))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), document(key, text).alias("__k")).join(copies, "__k", "left_anti").select("doc.*")
+    gone = _repeated(lines.join(copies, "__k", "left_anti"), docs, edits, least, key, text)
+    count = free("__gone", docs.columns)
+    return without(left, gone, key, text, count).drop(count)

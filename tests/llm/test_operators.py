@@ -96,8 +96,67 @@ def test_line_dedup_edges(spark, docs):
     out = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
     assert out[3] is None and out[4] == "" and out[1] == "" and "All rights" in out[10] and "All rights" not in out[11] and out[7] == "same row twice"
     assert lines.dedup(empty(spark)).count() == 0
-    cleaned = {r.doc_id: r.text for r in lines.dedup_boilerplate(docs).collect()}
-    assert cleaned[1] == cleaned[0] != "" and "All rights" not in cleaned[11]
+    kept = lines.dedup_originals(docs)
+    cleaned = {r.doc_id: r.text for r in kept.collect()}
+    # 1 is a copy of 0; 10 to 21 have a line in common, and words enough of their own.
+    assert 1 not in cleaned and cleaned[0] != "" and cleaned[3] is None and "All rights" in cleaned[10] and "All rights" not in cleaned[11]
+    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 2 and lines.dedup_originals(empty(spark)).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "the same line\nmine", "a", 1, 2, 3, 4, 5), (2, "the same line\nyours", "b", 6, 7, 8, 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k string, no int, doc int, h int, __d int, __gone int")
+    out = {r.doc_id: r for r in lines.dedup(df).collect()}
+    assert (out[2].text, out[2]["__k"], out[2].no, out[2].doc, out[2].h, out[2]["__d"], out[2]["__gone"]) == ("yours", "b", 6, 7, 8, 9, 1)
+    for f in (lines.dedup_originals, lambda d: lines.dedup(d, count="removed").drop("removed")):
+        got = f(df)
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {rows[0], (2, "yours", *rows[1][2:])}
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(4)
+    text, base = {}, [[prose(rng, 9) for _ in range(24)] for _ in range(5)]
+    for d in range(50):
+        some = list(base[d % 5])
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            some[rng.randrange(24)] = prose(rng, 9)
+        text[d] = "\n".join(some + [prose(rng, 30) for _ in range(rng.choice([0, 0, 1]))])
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    gone = lines.near_copies(lines._keyed(df, 1, 32, "doc_id", "text"), df, 5, 80, "doc_id", "text")
+    got = {r.doc_id for r in df.select("doc_id", lines.document("doc_id", "text").alias("__k")).join(gone, "__k").collect()}
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    s, first = {d: shingles(t) for d, t in text.items()}, {}
+    for d in sorted(text):
+        for x in text[d].split("\n"):
+            first.setdefault(x.strip(), d)
+    want = {d for d in text if any(a < d and len(s[a] & s[d]) >= 0.8 * len(s[a] | s[d]) for a in {first[x.strip()] for x in text[d].split("\n")})}
+    assert got == want and 5 < len(want) < 45
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_edits_in_proportion_to_length(spark, edits):
+    rng = random.Random(6)
+    seeds = [prose(rng, 30)[:n] for n in (20, 33, 62, 66, 90, 130) for _ in range(2)]
+    rows = []
+    for i in range(90):
+        v = list(rng.choice(seeds))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randint(0, 1)] = [rng.choice("qzé")] * rng.randint(0, 1)
+        rows.append((i, "".join(v)))
+    got = {r.doc_id for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), edits).where("__gone > 0").collect()}
+    _, slow = edit_pairs()
+    seen, want = [], set()
+    for i, v in rows:
+        v = v.strip()
+        if any(u == v or abs(len(u) - len(v)) <= edits and slow(u, v) <= min(edits, min(len(u), len(v)) // 32) for u in seen):
+            want.add(i)
+        seen.append(v)
+    assert got == want
 
 
 def test_secrets(spark, docs):

@@ -6,15 +6,13 @@ take effect: what it rejects is gone for the next.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrica.llm import jaccard, lines, packing, quality, secret_scan
-from dendrica.llm.common import load, scratch, table
-from dendrica.llm.tokens import trim
+from dendrica.llm.common import load, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each line stays where it, or one within an edit, stands first; a document that loses all its lines goes.
-
-    Near duplicates share nearly all lines with one that stays, so they are known, and
-    gone, before lines are counted: no line is spared for their sake, and none is lost
-    because it stands first in a document that goes.
-    """
-    copies = table(_copies(docs))
-    _released(spark)
-    gone = lines.repeated_lines(docs, aside=copies)
-    out = lines.without(docs.join(copies, "doc_id", "left_anti").select(docs.columns), gone).drop("__gone")
-    return _counted(out.where("text IS NULL OR text <> ''"))
+    """Each line stays where it, or one within an edit, stands first; near copies that would lose their lines to an earlier document go whole, and so does a document that loses all its lines."""
+    return _counted(lines.dedup_originals(docs).where("text IS NULL OR text <> ''"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,19 +49,6 @@ def _copies(docs: DataFrame) -> DataFrame:
     return kind.where("component_id <> doc_id").select("doc_id").distinct()
 
 
-def _released(spark: SparkSession) -> None:
-    """Memory that idle Python workers hold goes back before the JVM needs it."""
-
-    def run(batches):
-        for b in batches:
-            yield b
-        gc.collect()
-        trim()
-
-    n = 4 * spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).mapInArrow(run, "id bigint").write.format("noop").mode("overwrite").save()
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrica.llm import bpe, jaccard, lines, packing, quality, queries, secret_scan, shards, tokens, urls
+from dendrica.llm import bpe, lines, packing, quality, queries, secret_scan, shards, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, __k int"
@@ -209,38 +209,6 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0 and urls.judge(pages, labels.limit(0)).count() == len(by)
 
 
-def test_jaccard_against_brute_force(spark, docs):
-    rng = random.Random(8)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for g in range(6):
-        words = prose(rng, 90).split()
-        for i in range(25):
-            w = list(words)
-            for _ in range(rng.randint(0, 4)):
-                w[rng.randrange(len(w))] = f"w{rng.randrange(40)}"
-            rows.append((1000 + g * 100 + i, " ".join(w)))
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
-    s = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        s[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
-    ids = [i for i in s if i is not None]
-    of = {i: i for i in ids}
-
-    def top(i):
-        while of[i] != i:
-            i = of[i]
-        return i
-
-    for x in ids:
-        for y in ids:
-            if x < y and s[x] and s[y] and 100 * len(s[x] & s[y]) >= 85 * len(s[x] | s[y]):
-                a, b = sorted((top(x), top(y)))
-                of[b] = a
-    assert got == {(i, len(s[i]), top(i)) for i in ids} | {(None, len(s[None]), None)}
-    assert jaccard.classes(empty(spark)).count() == 0
-
-
 def test_bpe_equals_library(spark, docs):
     from tokenizers import Tokenizer
 

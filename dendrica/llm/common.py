@@ -54,6 +54,19 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def apart(df: DataFrame, taken: tuple[str, ...], without: str | None = None) -> list[Column]:
+    """Columns of df, but one; a name that is taken is lengthened until neither the result nor df has it."""
+    used, out = [*taken, *df.columns], []
+    for c in df.columns:
+        if c == without:
+            continue
+        name = c
+        if c.lower() in {t.lower() for t in taken}:
+            used.append(name := free(c, used))
+        out.append(F.col(f"`{c}`").alias(name))
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,7 +7,8 @@ masks, so neither reads a text again.
 
 Null and empty texts have no words and fail `few_words`; a null doc_id stays as
 it is; repeated rows are judged each on its own; an empty table gives an empty
-ledger; other columns of the input are not touched.
+ledger. All other columns come along, whatever their names: one that is named
+like a measurement (MEASURED) or `fail_bits` has its name lengthened by `_`.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, text_of
+from .common import WS, apart, let, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -29,6 +30,7 @@ RULES = [
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
 ]
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Versions are never changed, only added.
 POLICIES = {
@@ -70,19 +72,20 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     t = text_of(text)
     words = F.filter(F.split(t, f"[{WS}]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     measured = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    doc = F.struct(*apart(docs, (*MEASURED, "fail_bits"), without=text), F.lit(0))
     out = docs.select(
-        *(c for c in docs.columns if c not in {text, "fail_bits", *names}),
-        measured.alias("__w"),
-        of_lines.alias("__l"),
+        doc.alias("doc"),
+        measured.alias("w"),
+        of_lines.alias("l"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    out = out.select("*", "__w.*", "__l.*").drop("__w", "__l")
+    out = out.select("doc", "w.*", "l.*", "word_chars", "n_symbols")
     bits = sum((F.when(F.expr(fails), F.lit(BITS[name])).otherwise(0) for name, fails in RULES), F.lit(0))
-    return out.withColumn("fail_bits", bits.cast("long"))
+    names = [f.name for f in out.schema["doc"].dataType.fields[:-1]]
+    return out.select(*(F.col("doc").getField(c).alias(c) for c in names), *MEASURED, bits.cast("long").alias("fail_bits"))
 
 
 def failed(policy: str) -> Column:
@@ -109,5 +112,5 @@ def ablation(led: DataFrame, policy: str = PRODUCTION) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = PRODUCTION, text: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, with their columns."""
-    kept = docs.withColumn("__doc", F.struct(*docs.columns)).select("__doc", F.col(text).alias("__t"))
-    return ledger(kept, "__t").where(~failed(policy)).select("__doc.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text).alias("text"))
+    return ledger(whole).where(~failed(policy)).select("doc.*")

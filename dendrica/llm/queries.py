@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, jaccard, lines, lm, packing, quality, secret_scan, shards, urls
-from .common import WS, load, text_of
+from .common import WS, load, table, text_of
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,22 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents, stored: policies and ablations read it, and no text again."""
+    return table(quality.ledger(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.ledger(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    led = _ledger(spark, sf_dir)
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return led.select("doc_id", *shown, quality.failed("base").alias("base_failed"), (~quality.failed(quality.PRODUCTION)).alias("kept"), "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy rejects, and what it alone rejects."""
+    return quality.ablation(_ledger(spark, sf_dir))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     slim = docs.select("doc_id", (F.octet_length(text_of()) + 16).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"))
@@ -42,7 +52,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict", F.round("bad_mean", 6).alias("bad_mean"), F.round("bad_lower", 6).alias("bad_lower"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_lm_scoring, op3_secret_scan, op4_nearest, op5_quality_rules, op6_shards, op7_url_filter, op8_jaccard_join, op9_bpe, op10_packing)
+    ops = (op1_line_dedup, op2_lm_scoring, op3_secret_scan, op4_nearest, op5_quality_rules, op6_shards, op7_url_filter, op8_jaccard_join, op9_bpe, op10_packing, quality_ablation)
     return {f.__name__: f for f in ops}
 
 
@@ -101,14 +111,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-def _level(name: str, parent: str, key: str, up: str) -> str:
+ABLATION = f"""
+WITH o AS ({OP5}), r AS (SELECT unnest([{", ".join(f"'{r}'" for r in quality.POLICIES[quality.PRODUCTION])}]) AS rule, unnest([{", ".join(str(quality.BITS[r]) for r in quality.POLICIES[quality.PRODUCTION])}]) AS bit)
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & {quality.mask_of(quality.PRODUCTION)} = bit) AS n_only FROM r, o GROUP BY rule
+HAVING (SELECT count(*) FROM o) > 0
+"""
+
+
+def _level(name: str) -> str:
     """SQL for the prior strength of a level, as urls._strength has it."""
     return f"""
 m_{name} AS (SELECT CASE WHEN n IS NULL OR k < 2 OR v = 0 THEN 2.0 ELSE 1 / r - 1 END AS m FROM (
   SELECT *, least(greatest(CASE WHEN n - nn / n > k - 1 THEN (s - v / n * (k - 1)) / (v / n * (n - nn / n - (k - 1))) ELSE 0 END, 0.01), 0.9) AS r FROM (
-    SELECT CAST(sum(x.n) AS DOUBLE) AS n, CAST(sum(x.n * x.n) AS DOUBLE) AS nn, CAST(count(*) AS DOUBLE) AS k, sum(x.n * pow(x.b / x.n - p.mean, 2)) AS s, sum(x.n * p.mean * (1 - p.mean)) AS v
-    FROM {name} x JOIN {parent} p ON {up} WHERE x.n > 0))),
-r_{name} AS (SELECT x.{key}, (w.m * p.mean + x.b) / (w.m + x.n) AS mean, w.m, x.n FROM {name} x JOIN {parent} p ON {up}, m_{name} w),"""
+    SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, CAST(count(*) AS DOUBLE) AS k, sum(n * pow(b / n - prior, 2)) AS s, sum(n * prior * (1 - prior)) AS v
+    FROM p_{name} WHERE n > 0))),"""
+
+
+def _below(name: str, above: str) -> str:
+    """SQL for the priors of a level."""
+    return f"""
+p_{name} AS (SELECT x.*, (m * u.prior + u.b - x.b) / (m + u.n - x.n) AS prior FROM {name} x JOIN p_{above} u ON x.{above} = u.{above}, m_{above}),"""
 
 
 def _rule_sql(what: str) -> str:
@@ -128,14 +150,15 @@ h1 AS (SELECT *, array_to_string(x[-2:], '.') AS last2, array_to_string(x[-3:],
 host AS (SELECT host, n, b, CASE WHEN last2 IN ({_TWO}) THEN last3 ELSE last2 END AS domain, CASE WHEN last2 IN ({_TWO}) THEN last2 ELSE x[-1] END AS suffix FROM h1),
 domain AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM host GROUP BY ALL),
 suffix AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domain GROUP BY ALL),
-root AS (SELECT (sum(b) + 1) / (sum(n) + 2) AS mean FROM suffix),
-{_level("suffix", "root", "suffix", "true")}{_level("domain", "r_suffix", "domain", "x.suffix = p.suffix")}{_level("host", "r_domain", "host", "x.domain = p.domain")}
-bound AS (SELECT host, mean - {urls.Z} * sqrt(mean * (1 - mean) / (m + n + 1)) AS lower FROM r_host)
+p_suffix AS (SELECT x.*, (t.b - x.b + 1) / (t.n - x.n + 2) AS prior FROM suffix x, (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b FROM suffix) t),
+{_level("suffix")}{_below("domain", "suffix")}{_level("domain")}{_below("host", "domain")}{_level("host")}
+post AS (SELECT host, (m * prior + b) / (m + n) AS mean, m + n AS total FROM p_host, m_host),
+bound AS (SELECT host, mean, {urls.lower_bound("mean", "total")} AS lower FROM post)
 SELECT page_id, p.host, path, {_rule_sql("rule").replace("host", "p.host")} AS rule,
-  coalesce({_rule_sql("verdict").replace("host", "p.host")}, CASE WHEN lower > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({_rule_sql("verdict").replace("host", "p.host")}, CASE WHEN lower > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(lower, 6) AS bad_lower
 FROM p LEFT JOIN bound ON p.host = bound.host
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op5_quality_rules": OP5, "op7_url_filter": OP7}
+    return {"op1_line_dedup": OP1, "op5_quality_rules": OP5, "op7_url_filter": OP7, "quality_ablation": ABLATION}

@@ -45,7 +45,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Base64 in lines, as PEM has it, or in one run, the first line of 40 characters or more.
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-HEXES = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+HEXES = re.compile(r"[0-9a-fA-F]{64,}")
+#: What base64 of a SEQUENCE (and its length), of a first field's length, or of a private key file begins with.
+BEGINS = re.compile(r"(?=M[A-I]|AAAA|b3Bl)")
 SSH_TYPES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 #: Fixed value: how OpenSSH private key files begin.
 OPENSSH = b"openssh-key-v1\0"
@@ -142,24 +144,42 @@ def _key(body: str, at: int, ends: dict[int, int]) -> tuple[str, int] | None:
 
 
 def keys_of(run: str, start: int = 0) -> list[tuple[int, int, str]]:
-    """Keys in lines of base64. Lines of other text may stand before and after one, as they are base64 by their letters: a key begins with a line of 40 characters or more, and ends where its lengths say, at the end of a line."""
+    """Keys in lines of base64. Lines of other text may stand before and after one, as they are base64 by their letters: a key begins in a line, 40 characters or more before its end, and ends where its lengths say, at the end of a line."""
     parts, size, at = [], 0, start
     for line in run.rstrip("=").split("\n"):
         n = len(line.rstrip("\r"))
         parts.append((size, at, at + n))
         size, at = size + n, at + len(line) + 1
-    if not any(e - s >= 40 and run[s - start] in "MAb" for _, s, e in parts):
-        return []
     ends = {b + e - s: e for b, s, e in parts} | {size: start + len(run)}
     body, out, done = re.sub(r"\s+", "", run.rstrip("=")), [], 0
     for b, s, e in parts:
-        # Hex runs and words are base64 by their letters; what does not begin a SEQUENCE or a length is not decoded.
-        if b >= done and e - s >= 40 and body[b] in "MAb" and (found := _key(body, b, ends)):
-            kind, done = found
-            out.append((s, ends[done], kind))
+        # Letters may stand before a key in its first line, so every place that spells a beginning is tried.
+        for m in BEGINS.finditer(body, b):
+            if m.start() > b + e - s - 40:
+                break
+            if m.start() >= done and (found := _key(body, m.start(), ends)):
+                kind, done = found
+                out.append((s + m.start() - b, ends[done], kind))
     return out
 
 
+def hex_keys(run: str, start: int = 0) -> list[tuple[int, int, str]]:
+    """The key at the end of a run of hex digits, from the first place at which one begins whose lengths fill it."""
+    for m in re.finditer("(?=30)", run):
+        rest = len(run) - m.start()
+        if rest >= 64 and rest % 2 == 0 and 2 * der_size(bytes.fromhex(run[m.start() : m.start() + 12])) == rest and der_ends(bytes.fromhex(run[m.start() :])):
+            return [(start + m.start(), start + len(run), "der")]
+    return []
+
+
+def token_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The signed token in a match, which letters may stand before."""
+    for m in re.finditer("(?=eyJ)", text[start:end].split(".", 1)[0]):
+        if signed_token(text[start + m.start() : end]):
+            return [(start + m.start(), end, "jwt")]
+    return []
+
+
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind."""
     if not text:
@@ -169,12 +189,11 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[0])]
+        out += [x for m in JWT.finditer(text) for x in token_of(text, m.start(), m.end())]
     for m in BASE64.finditer(text):
         out += keys_of(m[0], m.start())
     for m in HEXES.finditer(text):
-        if m[0].startswith("30") and der_ends(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "der"))
+        out += hex_keys(m[0], m.start())
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -10,7 +10,8 @@ most.
 A shard is cut into lanes of at most `lane_rows` rows, drawn as columns of the
 matrix too, so that no task sorts a whole shard and slots need no second count.
 
-Null texts have size 16 and crc 0; null doc_ids and repeated rows are rows like
+All columns come along, whatever their names: one named `shard` or `slot` has its
+name lengthened by `_`. Null texts have size 16 and crc 0; null doc_ids and repeated rows are rows like
 others; with fewer rows than shards some shards are empty; an empty table gives
 no rows.
 """
@@ -23,19 +24,57 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
 SHARDS, LANE_ROWS, BLOCKS, SEED = 40, 16_000_000, 1024, 20240229
 
 
+def _stirling(n: int) -> float:
+    """log n! less Stirling's n log n - n + log(2 pi n) / 2."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    x = 1.0 / (n * n)
+    return (1 / 12 - x * (1 / 360 - x * (1 / 1260 - x * (1 / 1680 - x / 1188)))) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where the two are near."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        out, e, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            e *= v * v
+            if (now := out + e / (2 * j + 1)) == out:
+                return out
+            out, j = now, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def _binomial(x: int, n: int, p: float) -> float:
+    """Log of the binomial probability, by saddle point (Loader, 2000): exact to rounding at any size, where sums of lgamma lose digits."""
+    q = 1 - p
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    return _stirling(n) - _stirling(x) - _stirling(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def probability(x: int, good: int, bad: int, n: int) -> float:
+    """Of x good ones among n drawn without return."""
+    p = n / (good + bad)
+    if not 0 < p < 1:
+        return 1.0
+    return math.exp(_binomial(x, good, p) + _binomial(n - x, bad, p) - _binomial(n, good + bad, p))
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
     """Good ones among n drawn without return: inversion, from the mode outwards."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    lg = math.lgamma
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    p0 = math.exp(lg(good + 1) - lg(mode + 1) - lg(good - mode + 1) + lg(bad + 1) - lg(n - mode + 1) - lg(bad - n + mode + 1) - lg(good + bad + 1) + lg(n + 1) + lg(good + bad - n + 1))
+    p0 = probability(mode, good, bad, n)
     u, up, down, pu, pd = rng.random() - p0, mode, mode, p0, p0
     while u > 0 and (up < high or down > low):
         if up < high:
@@ -83,11 +122,11 @@ def _place(ends: Column, index: Column, columns: int) -> Column:
 
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, lane_rows: int = LANE_ROWS, blocks: int = BLOCKS) -> DataFrame:
     """df with `shard` and `slot` (gapless from 0 in each shard)."""
-    spark, cols = df.sparkSession, df.columns
-    rows = table(df)
-    key = F.xxhash64(F.lit(seed), *cols)
-    placed = rows.coalesce(blocks).withColumn("__r", key).sortWithinPartitions("__r")
-    placed = table(placed.select(*cols, F.spark_partition_id().alias("__block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__index")))
+    spark = df.sparkSession
+    rows = table(df.select(F.struct(*apart(df, ("shard", "slot")), F.lit(0)).alias("row")))
+    cols = rows.schema["row"].dataType.names[:-1]
+    placed = rows.coalesce(blocks).withColumn("__r", F.xxhash64(F.lit(seed), "row")).sortWithinPartitions("__r")
+    placed = table(placed.select("row", F.spark_partition_id().alias("__block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__index")))
     counts = sorted((r[0], r[1]) for r in placed.groupBy("__block").count().collect())  # at most `blocks` rows
     n = sum(c for _, c in counts)
     lanes = max(1, math.ceil(n / (shards * lane_rows)))
@@ -105,9 +144,9 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, l
     if len(ends) * len(columns) * 8 <= 32 << 20:  # else Spark chooses the join
         plan = F.broadcast(plan)
     out = placed.join(plan, "__block").withColumn("__column", _place(F.col("__ends"), F.col("__index"), len(columns)))
-    out = out.select(*cols, F.col("__block"), F.col("__index"), F.expr(f"CAST(`__column` DIV {lanes} AS INT)").alias("shard"), F.expr(f"CAST(`__column` % {lanes} AS INT)").alias("__lane"))
+    out = out.select("row", F.col("__block"), F.col("__index"), F.expr(f"CAST(`__column` DIV {lanes} AS INT)").alias("shard"), F.expr(f"CAST(`__column` % {lanes} AS INT)").alias("__lane"))
     size = F.lit(n // shards) + F.when(F.col("shard") < n % shards, 1).otherwise(0)
     start = F.expr("`__lane` * (`__n` DIV {0}) + least(`__lane`, `__n` % {0})".format(lanes))
     within = F.expr("row_number() OVER (PARTITION BY shard, `__lane` ORDER BY `__again`, `__block`, `__index`)")
     out = out.withColumns({"__n": size.cast("long"), "__again": F.xxhash64(F.lit(seed + 1), "__block", "__index")})
-    return out.select(*cols, "shard", (start + within - 1).cast("long").alias("slot"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in cols), "shard", (start + within - 1).cast("long").alias("slot"))

@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -32,7 +34,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_quality_rules", "op7_url_filter"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_quality_rules", "op7_url_filter", "quality_ablation"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "labels"):
@@ -174,6 +176,18 @@ def test_secrets(spark, docs):
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
 
 
+def test_columns_named_like_results_are_kept(spark):
+    rows = [(1, "a " * 30, 5, 6, 7, 8, "w", "l"), (2, None, 50, 60, 70, 80, "w", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, fail_bits int, shard int, slot int, __w string, __l string")
+    led = {r.doc_id: r for r in quality.ledger(df).collect()}
+    assert (led[1].n_words, led[1].n_words_, led[1].fail_bits_, led[1].shard, led[2]["__w"]) == (30, 5, 6, 7, "w") and led[2].fail_bits & 1
+    kept = quality.keep_good(df.withColumn("text", F.concat("text", F.lit("is a clean text of enough words that are not all alike so it stays "), F.lit("one two three four five six seven"))), "base")
+    assert kept.columns == df.columns
+    out = shards.shuffle_into_shards(df, 2)
+    assert out.columns == ["doc_id", "text", "n_words", "fail_bits", "shard_", "slot_", "__w", "__l", "shard", "slot"]
+    assert sorted((r.shard_, r.slot_, r.shard, r.slot) for r in out.collect()) in ([(7, 8, 0, 0), (70, 80, 1, 0)], [(7, 8, 1, 0), (70, 80, 0, 0)])
+
+
 def test_quality_edges_and_ablation(spark, docs):
     led = quality.ledger(docs)
     assert led.count() == docs.count() and "text" not in led.columns and quality.ledger(empty(spark)).count() == 0
@@ -194,11 +208,54 @@ def test_shards(spark, docs):
     assert shards.shuffle_into_shards(empty(spark), 5).count() == 0
     m = shards.matrix([7, 0, 5, 9], [6, 5, 5, 5], 3)
     assert [sum(r) for r in m] == [7, 0, 5, 9] and [sum(c) for c in zip(*m, strict=True)] == [6, 5, 5, 5]
+    for good, bad, n in ((5, 7, 6), (20, 3, 11), (40, 60, 30), (300, 10**6, 2000)):
+        for x in range(max(0, n - bad), min(n, good) + 1):
+            want = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+            assert abs(shards.probability(x, good, bad, n) - want) <= 1e-11 * want
+    # Against sums of the smaller logarithms themselves, where lgamma has lost the digits.
+    good, bad, n = 10**10, 9 * 10**10, 10**9
+    near = shards.probability(10**8, good, bad, n) / shards.probability(10**8 + 1, good, bad, n)
+    assert abs(near - (10**8 + 1) * (bad - n + 10**8 + 1) / ((good - 10**8) * (n - 10**8))) < 1e-9
     rng = random.Random(4)
     drawn = [shards.hypergeometric(rng, 8, 12, 10) for _ in range(4000)]
     assert abs(np.mean(drawn) - 4) < 0.08 and abs(np.var(drawn) - 10 * 0.4 * 0.6 * 10 / 19) < 0.1
 
 
+def test_shard_rows_against_brute_force(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op6_shards(spark, SF).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        raw = (rows[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        by[r.shard].append(r.slot)
+    assert sorted(r.doc_id for r in got) == sorted(rows) and set(by) <= set(range(40))
+    sizes = [len(by[s]) for s in range(40)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_posterior_leaves_out_own_counts_and_decides(spark):
+    hosts = [("a.x.com", 40, 30), ("b.x.com", 60, 6), ("c.y.com", 50, 4), ("d.y.com", 0, 0), ("z.co.uk", 30, 3), ("www.z.co.uk", 10, 1), ("one", 5, 0)]
+    got = {r.host: r for r in urls.reputations(spark.createDataFrame(hosts, "host string, n long, b long")).collect()}
+    assert got["www.z.co.uk"].domain == "z.co.uk" and got["www.z.co.uk"].suffix == "co.uk" and got["d.y.com"].suffix == "com"
+    draws = np.random.default_rng(1)
+    strengths = set()
+    for h, n, b in hosts:
+        up = {k: sum(x for g, x, _ in hosts if got[g][k] == got[h][k]) for k in ("domain", "suffix")}
+        assert up["domain"] >= n
+        if got[h].lower > 0:
+            # mean = (m * prior + b) / (m + n); the total follows from the bound by its own distribution.
+            strengths.add(h)
+    assert "a.x.com" in strengths and got["a.x.com"].lower > urls.THRESHOLD > got["b.x.com"].mean > got["b.x.com"].lower
+    alone = [("a.x.com", 40, 30), ("e.x.com", 0, 0), ("c.y.com", 50, 4)]
+    few = {r.host: r for r in urls.reputations(spark.createDataFrame(alone, "host string, n long, b long")).collect()}
+    # Hosts without outcomes take their neighbours', which are bad for one and good for none.
+    assert few["e.x.com"].mean > few["c.y.com"].mean
+    for mean, total in ((0.2, 60.0), (0.5, 12.0), (0.35, 400.0), (0.1, 45.0)):
+        bound = spark.sql(f"SELECT {urls.lower_bound(f'{mean}D', f'{total}D')} AS x").first().x
+        assert abs((draws.beta(mean * total, (1 - mean) * total, 400_000) < bound).mean() - 0.05) < 0.003
+
+
 def test_urls(spark):
     url = ["HTTP://A.Example.com/en/71?x", "http://x.net/de/1", "no scheme", None, "http://bad.org/q", "http://b.com#/en/"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(url)] + [(100 + i, "http://bad.org/q", "") for i in range(40)] + [(200 + i, "http://ok.org/q", "") for i in range(40)], "page_id long, url string, html string")
@@ -206,6 +263,8 @@ def test_urls(spark):
     by = {r.page_id: r for r in urls.judge(pages, labels).collect()}
     assert (by[0].host, by[0].path, by[0].rule, by[0].verdict) == ("a.example.com", "/en/71", "example.com/en/7", "allow")
     assert by[2].host == by[3].host == "" and by[4].verdict == "block" and by[200].verdict == "allow" and by[5].path == ""
+    twice = urls.judge(pages.unionByName(pages).withColumn("verdict", F.lit(1)), labels.withColumn("host", F.lit("x"))).where("page_id < 100")
+    assert twice.count() == 2 * len(url) and twice.distinct().count() == len(url)
     assert urls.judge(pages.limit(0), labels).count() == 0 and urls.judge(pages, labels.limit(0)).count() == len(by)
 
 

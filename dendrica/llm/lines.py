@@ -44,6 +44,8 @@ EDITS, LEAST = 1, 32
 BLANK = " \t\n\x0b\x0c\r"
 #: Entries of a list that are still joined pair by pair.
 LIST = 48
+#: Least hashes of a shingle set that stand for it before it is fetched.
+SKETCH = 32
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -59,9 +61,9 @@ def allowed(length: Column, edits: int, least: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / max(least, 1)).cast("int"))
 
 
-def segment_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """Structs (key, own, nth) of a line: its own segments as index keys, and keys that only probe; at the places that a match can have."""
-    out = []
+def segment_keys(line: Column, length: Column, edits: int, least: int) -> tuple[list[Column], list[bool], list[int]]:
+    """Keys of a line, which of them index it by its own segments, and the segment of each; the others only probe, at the places that a match can have. Null where none can."""
+    keys, own, nth = [], [], []
     for e in range(1, edits + 1):  # of lines to which e edits are allowed
         for delta in range(e + 1):
             of = length - delta
@@ -71,9 +73,10 @@ def segment_keys(line: Column, length: Column, edits: int, least: int) -> Column
                 low, high = max(-i, delta - (e - i)), min(i, delta + (e - i))
                 for shift in range(low, high + 1):
                     inside = fits & (at + shift >= 1) & (at + shift + size - 1 <= length)
-                    key = F.xxhash64(of, F.lit(i), line.substr(at + shift, size))
-                    out.append(F.when(inside, F.struct(key.alias("key"), F.lit(delta == shift == 0).alias("own"), F.lit(i).alias("nth"))))
-    return F.array_compact(F.array(*out))
+                    keys.append(F.when(inside, F.xxhash64(of, F.lit(i), line.substr(at + shift, size))))
+                    own.append(delta == shift == 0)
+                    nth.append(i)
+    return keys, own, nth
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -191,7 +194,7 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
 def _keyed(docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
     """__k, __d, no, h, len, keys of all lines, written out."""
     length = F.length("v")
-    keys = F.when(length >= least, segment_keys(F.col("v"), length, edits, least))
+    keys = F.when(length >= least, F.array(*segment_keys(F.col("v"), length, edits, least)[0]))
     return table(_lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys")))
 
 
@@ -201,7 +204,9 @@ def _order() -> Column:
 
 def _repeated(lines: DataFrame, docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
     firsts = table(lines.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
-    entries = lines.where("size(keys) > 0").select("h", "len", F.explode("keys").alias("x")).select("h", "len", "x.*")
+    _, own, nth = segment_keys(F.lit(""), F.lit(0), edits, least)
+    entries = lines.where("keys IS NOT NULL").select("h", "len", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
+    entries = entries.select("h", "len", "key", F.get(F.array(*map(F.lit, own)), F.col("at")).alias("own"), F.get(F.array(*map(F.lit, nth)), F.col("at")).alias("nth"))
     # A key of a line may be an index key, and one that probes.
     entries = entries.groupBy("key", "h", "len").agg(F.max("own").alias("own"), F.min("nth").alias("nth"))
     lists = table(_sized(table(entries)))
@@ -241,17 +246,24 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def near_copies(lines: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """__k of documents that are near copies of one that stands before them and has a line of theirs first: shingle sets of `percent` hundredths of Jaccard similarity or more."""
+    """__k of documents that are near copies of one that stands before them and has a line of theirs first: shingle sets of `percent` hundredths of Jaccard similarity or more.
+
+    Pairs are held against each other's sizes and least SKETCH hashes first, of
+    which alike sets share all but a few (fewer than a third of what is expected
+    with a chance below 1e-12), so that whole sets travel only where they may be alike.
+    """
     firsts = lines.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", F.col("first.k").alias("a"))
     pairs = table(lines.select("h", F.col("__k").alias("b")).join(firsts, "h").where("a <> b").select("a", "b").distinct())
-    some = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
+    known = docs.where(F.col(text).isNotNull()).select(document(key, text).alias("k"), shingle_set(F.col(text), size).alias("s"))
     # Rows equal in id and text are one document.
-    texts = docs.select(document(key, text).alias("__k"), F.col(text).alias("t")).join(some, "__k", "left_semi").dropDuplicates(["__k"])
-    sets = table(texts.select("__k", shingle_set(F.col("t"), size).alias("s")).withColumn("n", F.size("s")))
-    of = lambda x, *cols: sets.select(F.col("__k").alias(x), *(F.col(c).alias(x + c) for c in cols))
-    # Sizes first: sets travel only where they may be alike.
-    fit = table(pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)").select("a", "b"))
-    met = fit.join(of("a", "n", "s"), "a").join(of("b", "n", "s"), "b").withColumn("both", F.size(F.array_intersect("as", "bs")))
+    known = table(known.select("k", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("s")).dropDuplicates(["k"]))
+    of = lambda df, x: df.select(*(F.col(c).alias(x if c == "k" else x + c) for c in df.columns))
+    fit = pairs.join(of(known, "a"), "a").where("an > 0").join(of(known, "b"), "b").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    fit = table(fit.where(f"size(array_intersect(as, bs)) >= least({SKETCH * percent // 400}, {percent} * an DIV 100)").select("a", "b"))
+    some = fit.select(F.col("a").alias("k")).unionByName(fit.select(F.col("b").alias("k"))).distinct()
+    sets = docs.select(document(key, text).alias("k"), F.col(text).alias("t")).join(some, "k", "left_semi").dropDuplicates(["k"])
+    sets = table(sets.select("k", shingle_set(F.col("t"), size).alias("s")).withColumn("n", F.size("s")))
+    met = fit.join(of(sets, "a"), "a").join(of(sets, "b"), "b").withColumn("both", F.size(F.array_intersect("as", "bs")))
     return met.where(f"100 * both >= {percent} * (an + bn - both)").select(F.col("b").alias("__k")).distinct()
 
 

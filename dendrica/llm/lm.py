@@ -370,7 +370,7 @@ def _mean(sums: DataFrame, fan: int = 32) -> tuple[np.ndarray, np.ndarray] | Non
 
     parts = sums.agg(F.max("g")).first()[0]
     while parts is not None and parts >= fan:
-        sums, parts = sums.groupBy((F.col("g") / fan).cast("int").alias("g")).applyInArrow(added, sums.schema), parts // fan
+        sums, parts = sums.groupBy((F.col("g") / fan).cast("int").alias("part")).applyInArrow(added, sums.schema), parts // fan
     rows = sums.collect()  # `fan` rows at most
     if not rows:
         return None

@@ -158,3 +158,11 @@ def test_held_out_text_is_scored_better_than_by_counts(spark):
     ids, p = np.concatenate(kept), np.log10((counts + 0.5) / (counts + 0.5).sum())
     # Class bigrams by counts reach -2.486 an id, a former model of one window a text -2.446.
     assert held / len(ids) > -2.40 > p[ids].mean()
+
+
+def test_means_of_many_partitions(spark):
+    size = lm.flat(lm.fresh()).size
+    rows = [(g, np.full(size, (g + 1) << 32).tobytes(), np.full(size, 3 << 20).tobytes(), 1) for g in (0, 1, 5, 40, 69)]
+    w, seen = lm._mean(spark.createDataFrame(rows, "g int, w binary, seen binary, n bigint"), fan=3)
+    assert np.allclose(w, np.mean([1, 2, 6, 41, 70])) and np.allclose(seen, 3) and len(w) == size
+    assert lm._mean(spark.createDataFrame([], "g int, w binary, seen binary, n bigint")) is None

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import matrices
-from .operators import length, metrics, nodes, raster, shape, soma, tree
+from .operators import edit, length, metrics, nodes, raster, shape, soma, tree
 from .plans.forest import GOLD, PRED, forest
 from .sources import swc
 
 K = "neuron_id"
 LOW, HIGH = (10, 50, 20), (200, 400, 250)
 SHAPE = (300, 500, 600)
+CENTER = (100.0, 200.0, 150.0)
 
 
 def _round(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -78,6 +79,21 @@ _Q: dict[str, Callable[[DataFrame, Callable[[], DataFrame]], DataFrame]] = {
     "r4_sphere_cone_voxels_full": lambda n, p: raster.sphere_cone_voxels(n, SHAPE),
     "t24_somas": lambda n, p: soma.somas(n),
     "t25_refine_somas": lambda n, p: soma.refine_somas(n, 20.0),
+    "t2_preorder": lambda n, p: edit.preorder(n),
+    "t3_node_list": lambda n, p: edit.node_list(n),
+    "w8_nearest_nodes": lambda n, p: edit.nearest_nodes(n, p().where("id % 9 = 4").select(K, F.col("id").alias("point"), "x", "y", "z"), 3),
+    "j7_in_ball": lambda n, p: edit.in_ball(n, CENTER, 150.0),
+    "u5_shell": lambda n, p: edit.in_ball(n, CENTER, 150.0, 100.0),
+    "f12_without_isolated": lambda n, p: edit.without_isolated(n),
+    "f11_valid_edges": lambda n, p: edit.valid_edges(nodes.edges(n).select(K, F.col("id").alias("a"), F.col("parent").alias("b")), n.where("id % 4 <> 1")),
+    "t10_subtree_leaves": lambda n, p: edit.subtree_leaves(n, n.where("id % 10 = 3").select(K, "id")),
+    "t12_remove_subtrees": lambda n, p: edit.remove_subtrees(n, n.where("id % 10 = 3").select(K, "id")),
+    "t22_remove_trees": lambda n, p: edit.remove_trees(n, edit.tree_roots(n, 2)),
+    "t20_add_trees": lambda n, p: edit.add_nodes(n, n.withColumns({"id": F.col("id") + 100000, "parent": F.when(F.col("parent") == -1, F.lit(-1)).otherwise(F.col("parent") + 100000).cast("long")})),
+    "t26_graph_components": lambda n, p: edit.graph_components(nodes.edges(n).select(K, F.col("id").alias("a"), F.col("parent").alias("b")), n.select(K, "id")),
+    "a14_bounds": lambda n, p: edit.bounds(n),
+    "u6_unmatched": lambda n, p: edit.unmatched(n.select(K, "id"), p().select(K, "id"), K, "id"),
+    "k1_swc_text": lambda n, p: swc.text(n, 2, radius=0.5),
     "r8_adjacency": lambda n, p: raster.adjacency(raster.sphere_voxels(n, SHAPE, 2.0)),
 }
 
@@ -178,6 +194,34 @@ _SQL = {
 }
 
 
+_PATH = "o AS (SELECT neuron_id, id, [{s} * id] AS way FROM n WHERE parent = -1 UNION ALL SELECT n.neuron_id, n.id, list_append(o.way, {s} * n.id) FROM o JOIN n ON n.neuron_id = o.neuron_id AND n.parent = o.id) SELECT neuron_id, id, row_number() OVER (PARTITION BY neuron_id ORDER BY way) AS place FROM o"
+_FROM_CENTER = "sqrt(" + " + ".join(f"({c} - {v}) ** 2" for c, v in zip("xyz", CENTER, strict=True)) + ")"
+_BELOW = "b AS (SELECT neuron_id, id AS top, id FROM n WHERE id % 10 = 3 UNION ALL SELECT n.neuron_id, b.top, n.id FROM b JOIN n ON n.neuron_id = b.neuron_id AND n.parent = b.id)"
+_FOOT = "t AS (SELECT e.*, (({0} - x) * (px - x) + ({1} - y) * (py - y) + ({2} - z) * (pz - z)) / nullif((px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2, 0) AS u FROM e), f AS (SELECT *, x + u * (px - x) AS fx, y + u * (py - y) AS fy, z + u * (pz - z) AS fz, u >= 0 AND u <= 1 AS inside FROM t)".format(*CENTER)
+_END = lambda a: f"sqrt(({CENTER[0]} - {a}x) ** 2 + ({CENTER[1]} - {a}y) ** 2 + ({CENTER[2]} - {a}z) ** 2)"
+_SQL |= {
+    "t2_preorder": _PATH.format(s=1),
+    "t3_node_list": _PATH.format(s=-1),
+    "w8_nearest_nodes": "d AS (SELECT q.neuron_id, q.id AS point, n.id, sqrt((n.x - q.x) ** 2 + (n.y - q.y) ** 2 + (n.z - q.z) ** 2) AS dist, row_number() OVER (PARTITION BY q.neuron_id, q.id ORDER BY dist, n.id) AS rank FROM q JOIN n ON q.neuron_id = n.neuron_id WHERE q.id % 9 = 4) SELECT neuron_id, point, id, CAST(rank AS INT) AS rank, round(dist, 4) AS dist FROM d WHERE rank <= 3",
+    "j7_in_ball": f"SELECT {_ALL} FROM n WHERE {_FROM_CENTER} <= 150",
+    "u5_shell": f"SELECT {_ALL} FROM n WHERE {_FROM_CENTER} <= 150 AND {_FROM_CENTER} > 100",
+    "f12_without_isolated": f"{_KIDS} SELECT {_ALL} FROM n WHERE parent <> -1 OR (neuron_id, id) IN (SELECT (neuron_id, id) FROM kids)",
+    "f11_valid_edges": "SELECT neuron_id, id AS a, parent AS b FROM n WHERE parent <> -1 AND id % 4 <> 1 AND parent % 4 <> 1",
+    "t10_subtree_leaves": f"{_BELOW}, {_KIDS} SELECT b.neuron_id, top, b.id FROM b JOIN n ON b.neuron_id = n.neuron_id AND b.id = n.id WHERE n.parent <> -1 AND (b.neuron_id, b.id) NOT IN (SELECT (neuron_id, id) FROM kids)",
+    "t12_remove_subtrees": f"{_BELOW} SELECT {_ALL} FROM n WHERE (neuron_id, id) NOT IN (SELECT (neuron_id, id) FROM b)",
+    "t22_remove_trees": f"{_R} SELECT n.neuron_id, n.id, n.type, round(n.x, 4) AS x, round(n.y, 4) AS y, round(n.z, 4) AS z, n.radius, n.parent FROM n JOIN r ON n.neuron_id = r.neuron_id AND n.id = r.id WHERE r.root_id % 2 = 1",
+    "t20_add_trees": f"SELECT {_ALL} FROM n UNION ALL SELECT neuron_id, id + 100000, type, round(x, 4), round(y, 4), round(z, 4), radius, CASE WHEN parent = -1 THEN -1 ELSE parent + 100000 END FROM n",
+    "t26_graph_components": f"{_R} SELECT neuron_id, id, min(id) OVER (PARTITION BY neuron_id, root_id) AS component FROM r",
+    "a14_bounds": "SELECT neuron_id, " + ", ".join(f"round({f}({c} {s} radius), 4) AS {f}_{c}" for f, s in (("min", "-"), ("max", "+")) for c in "xyz") + " FROM n GROUP BY neuron_id",
+    "u6_unmatched": "SELECT neuron_id, id FROM n WHERE (neuron_id, id) NOT IN (SELECT (neuron_id, id) FROM q)",
+    "k1_swc_text": f"h AS (SELECT DISTINCT neuron_id FROM n) SELECT neuron_id, CAST(1 AS BIGINT) AS ord, '{swc.HEADER[0]}' AS line FROM h UNION ALL SELECT neuron_id, 2, '{swc.HEADER[1]}' FROM h UNION ALL SELECT neuron_id, row_number() OVER (PARTITION BY neuron_id ORDER BY id) + 2, {_LINE.replace('radius', '0.5')} FROM n",
+    "g7_segment_distance": f"{_E}, {_FOOT} SELECT neuron_id, id, round(CASE WHEN inside THEN {_END('f')} ELSE least({_END('')}, {_END('p')}) END, 4) AS d FROM f",
+    "g9_turn_angles": f"{_E}, w AS (SELECT e.neuron_id, e.id, c.id AS child, (e.x - e.px) * (c.x - e.x) + (e.y - e.py) * (c.y - e.y) + (e.z - e.pz) * (c.z - e.z) AS dot, e.length * c.length AS size FROM e JOIN e c ON e.neuron_id = c.neuron_id AND e.id = c.parent) SELECT neuron_id, id, child, round(degrees(acos(greatest(-1, least(1, dot / size)))), 4) AS angle FROM w",
+    "r1_line_voxels": f"{_E}, s AS (SELECT e.*, CAST(floor(length) AS INT) + 1 AS m FROM e), v AS (SELECT s.*, k.g AS k FROM s, LATERAL (SELECT unnest(range(s.m + 1)) AS g) k), w AS (SELECT DISTINCT neuron_id, "
+    + ", ".join(f"CAST(round_even({c} + (p{c} - {c}) * (k / m), 0) AS INT) AS {c}" for c in "zyx")
+    + f" FROM v) SELECT * FROM w WHERE z >= 0 AND z < {SHAPE[0]} AND y >= 0 AND y < {SHAPE[1]} AND x >= 0 AND x < {SHAPE[2]}",
+}
+_SQL["m4_ssd"] = _SQL["m4_ssd"].replace("coalesce(avg(d) FILTER (side = 'gold' AND d > 2), 0)", "CASE WHEN count(d) > 0 THEN coalesce(avg(d) FILTER (side = 'gold' AND d > 2), 0) END").replace("coalesce(avg(d) FILTER (side = 'pred' AND d > 2), 0)", "CASE WHEN count(d) > 0 THEN coalesce(avg(d) FILTER (side = 'pred' AND d > 2), 0) END").replace("avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END)", "CASE WHEN count(d) > 0 THEN avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END) END")
 _SQL["p14_transform"] = _SQL["p3_rotate_z"]
 
 

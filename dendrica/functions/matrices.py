@@ -251,7 +251,7 @@ def orthogonalization_matrix(lengths, angles) -> np.ndarray:
     return _fixed(np.linalg.cholesky(gram[::-1, ::-1])[::-1, ::-1].T)
 
 
-def affine_matrix_from_points(v0, v1, shear: bool = True, scale: bool = True, usesvd: bool = True) -> np.ndarray:
+def affine_matrix_from_points(v0, v1, shear: bool = True, scale: bool = True) -> np.ndarray:
     """Transform of points v0 (a column each) to v1: affine (least squares in both), or rigid, with one scale on demand."""
     a, b = np.asarray(v0, float), np.asarray(v1, float)
     n, ca, cb = len(a), a.mean(1), b.mean(1)
@@ -271,8 +271,8 @@ def affine_matrix_from_points(v0, v1, shear: bool = True, scale: bool = True, us
     return m
 
 
-def superimposition_matrix(v0, v1, scale: bool = False, usesvd: bool = True) -> np.ndarray:
-    return affine_matrix_from_points(np.asarray(v0, float)[:3], np.asarray(v1, float)[:3], False, scale, usesvd)
+def superimposition_matrix(v0, v1, scale: bool = False) -> np.ndarray:
+    return affine_matrix_from_points(np.asarray(v0, float)[:3], np.asarray(v1, float)[:3], False, scale)
 
 
 def quaternion_about_axis(angle: float, axis) -> np.ndarray:
@@ -287,7 +287,7 @@ def quaternion_matrix(quaternion) -> np.ndarray:
     return _fixed((w * w - v @ v) * np.eye(3) + 2 * np.outer(v, v) + 2 * w * _cross(v))
 
 
-def quaternion_from_matrix(matrix, isprecise: bool = False) -> np.ndarray:
+def quaternion_from_matrix(matrix) -> np.ndarray:
     """With w of 0 or more; the eigenvector that fits best, also where the matrix is not quite a rotation."""
     r = np.asarray(matrix, float)[:3, :3]
     twist = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])

@@ -153,4 +153,4 @@ def length(gold: DataFrame, pred: DataFrame, radius: float = 2.0, ratio: float =
         return pa.table({K: pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([v], pa.float64()) for k, v in out.items()})
 
     cols = (K, "id", "parent", *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    return gold.select(*cols).groupBy(K).cogroup(pred.select(*cols).groupBy(K)).applyInArrow(run, f"{K} bigint, recall double, precision double, f1 double, TP double, FP double, FN double")
+    return gold.select(*cols).toDF(K, "id", "parent", *"xyz").groupBy(K).cogroup(pred.select(*cols).toDF(K, "id", "parent", *"xyz").groupBy(K)).applyInArrow(run, f"{K} bigint, recall double, precision double, f1 double, TP double, FP double, FN double")

@@ -62,6 +62,11 @@ def _xyz(t: pa.Table) -> np.ndarray:
     return np.stack([t.column(c).to_numpy().astype(float) for c in "xyz"], 1) if t.num_rows else np.zeros((0, 3))
 
 
+def _own(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that both sides may come of one."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def distances(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """neuron_id, side (gold, pred), id, d: each node's distance to the nearest of the other forest; null if that is empty."""
 
@@ -73,7 +78,7 @@ def distances(gold: DataFrame, pred: DataFrame) -> DataFrame:
         return pa.table({K: pa.array([key[0].as_py()] * len(d), pa.int64()), "side": pa.array(side, pa.string()), "id": pa.array(ids, pa.int64()), "d": pa.array(np.where(np.isinf(d), np.nan, d), from_pandas=True, type=pa.float64())})
 
     cols = (K, "id", "x", "y", "z")
-    return gold.select(*cols).groupBy(K).cogroup(pred.select(*cols).groupBy(K)).applyInArrow(run, f"{K} bigint, side string, id bigint, d double")
+    return _own(gold.select(*cols)).groupBy(K).cogroup(_own(pred.select(*cols)).groupBy(K)).applyInArrow(run, f"{K} bigint, side string, id bigint, d double")
 
 
 def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
@@ -81,12 +86,13 @@ def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
 
 
 def ssd(gold: DataFrame, pred: DataFrame, min_distance: float = 2.0, resampled: bool = True) -> DataFrame:
-    """Mean distances each way, and means of those beyond min_distance (0 if none), of forests resampled at that step."""
+    """Mean distances each way, and means of those beyond min_distance (0 if none), of forests resampled at that step; null where a side is empty."""
     every = min_distance if resampled else None
     d = distances(_resampled(gold, every), _resampled(pred, every))
-    far = lambda w: F.coalesce(F.avg(F.when((F.col("side") == w) & (F.col("d") > min_distance), F.col("d"))), F.lit(0.0))
+    both = lambda x: F.when(F.count("d") > 0, x)
+    far = lambda w: both(F.coalesce(F.avg(F.when((F.col("side") == w) & (F.col("d") > min_distance), F.col("d"))), F.lit(0.0)))
     mean = lambda w: F.avg(F.when(F.col("side") == w, F.col("d")))
-    out = d.groupBy(K).agg(mean("gold").alias("sd_gt2pred"), mean("pred").alias("sd_pred2gt"), far("gold").alias("ssd_gt2pred"), far("pred").alias("ssd_pred2gt"), F.avg(F.when(F.col("d") > min_distance, 1.0).otherwise(0.0)).alias("ssd_percent"))
+    out = d.groupBy(K).agg(mean("gold").alias("sd_gt2pred"), mean("pred").alias("sd_pred2gt"), far("gold").alias("ssd_gt2pred"), far("pred").alias("ssd_pred2gt"), both(F.avg(F.when(F.col("d") > min_distance, 1.0).otherwise(0.0))).alias("ssd_percent"))
     return out.withColumns({"sd": (F.col("sd_gt2pred") + F.col("sd_pred2gt")) / 2, "ssd": (F.col("ssd_gt2pred") + F.col("ssd_pred2gt")) / 2})
 
 
@@ -119,7 +125,7 @@ def keypoint(gold: DataFrame, pred: DataFrame, threshold: float = 5.0) -> DataFr
         tp = int((cost[r, c] < threshold).sum())
         return pa.table({K: pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([v], pa.int64()) for k, v in (("num_gt", len(g)), ("num_pred", len(p)), ("TP", tp), ("FP", len(p) - tp), ("FN", len(g) - tp))})
 
-    out = keys(gold).groupBy(K).cogroup(keys(pred).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint")
+    out = _own(keys(gold)).groupBy(K).cogroup(_own(keys(pred)).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint")
     return scored(out, "TP", "FP", "FN")
 
 
@@ -180,8 +186,8 @@ def fiber_iou(a: np.ndarray, b: np.ndarray, every: float, threshold: float, leas
     return both / (la + lb - both + 1e-7)
 
 
-def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float = 5.0, every: float = 1.0, skip_center: float = 100.0, min_length: float = 5.0, resample_step: float | None = 2.0) -> DataFrame:
-    """Root-to-leaf fibers, resampled from key node to key node, assigned one to one by greatest total IoU; hits reach `iou`. Pairs that cannot are settled by gates."""
+def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float = 5.0, every: float = 1.0, skip_center: float = 100.0, min_length: float = 5.0, resample_step: float | None = 2.0, with_direction: bool = False) -> DataFrame:
+    """Root-to-leaf fibers, resampled from key node to key node, assigned one to one by greatest total IoU; hits reach `iou`. Pairs that cannot are settled by gates; with_direction: also those whose first or last points lie apart."""
 
     def polylines(t: pa.Table) -> list[np.ndarray]:
         rows = t.sort_by([("leaf_id", "ascending"), ("pos", "ascending")])
@@ -201,7 +207,7 @@ def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float =
                 ends = np.linalg.norm(a[0] - b[0]), np.linalg.norm(a[-1] - b[-1])
                 if ratio < min(0.5, iou):
                     value[i, j] = ratio
-                elif max(ends) > max(la, lb) / 2 or np.linalg.norm(ca - b.mean(0)) > skip_center:
+                elif with_direction and max(ends) > max(la, lb) / 2 or np.linalg.norm(ca - b.mean(0)) > skip_center:
                     value[i, j] = 0.01
                 else:
                     value[i, j] = fiber_iou(a, b, every, threshold)
@@ -216,7 +222,7 @@ def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float =
         kids = child_counts(n).withColumn("key", F.col("n_children") != 1).select(K, "id", "key")
         return fiber_nodes(n).join(kids, [K, "id"], "left").withColumn("key", F.coalesce("key", F.lit(True)) | (F.col("pos") == 0))
 
-    out = paths(gold).groupBy(K).cogroup(paths(pred).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
+    out = _own(paths(gold)).groupBy(K).cogroup(_own(paths(pred)).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
     return scored(out, "TP", "FP", "FN")
 
 

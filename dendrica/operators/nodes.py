@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -97,8 +97,10 @@ def reindex(nodes: DataFrame) -> DataFrame:
 
 
 def merge(forests: list[DataFrame]) -> DataFrame:
-    """Union of forests of the same neurons; with two or more, ids are dealt anew by forest, then id."""
+    """Union of forests of the same neurons; with two or more, ids are dealt anew by forest, then id, and an absent parent is an error. Of none, an empty forest."""
     forests = [f for f in forests if f is not None]
+    if not forests:
+        return SparkSession.active().createDataFrame([], f"{K} bigint, id bigint, type int, x double, y double, z double, radius double, parent bigint")
     if len(forests) == 1:
         return forests[0]
     cols = [K, "id", "type", "x", "y", "z", "radius", "parent"]
@@ -108,7 +110,9 @@ def merge(forests: list[DataFrame]) -> DataFrame:
         both = part if both is None else both.unionByName(part)
     numbered = both.withColumn("new_id", F.expr(f"row_number() OVER (PARTITION BY {K} ORDER BY src, id)").cast("long"))
     up = numbered.select(K, "src", F.col("id").alias("parent"), F.col("new_id").alias("new_parent"))
-    return numbered.join(up, [K, "src", "parent"], "left").select(K, F.col("new_id").alias("id"), "type", "x", "y", "z", "radius", F.coalesce("new_parent", F.lit(-1)).cast("long").alias("parent"))
+    absent = F.raise_error(F.concat(F.lit("absent parent: "), F.col("parent").cast("string"))).cast("bigint")
+    parent = F.when(F.col("parent") == -1, F.lit(-1)).when(F.col("new_parent").isNotNull(), F.col("new_parent")).otherwise(absent)
+    return numbered.join(up, [K, "src", "parent"], "left").select(K, F.col("new_id").alias("id"), "type", "x", "y", "z", "radius", parent.cast("long").alias("parent"))
 
 
 def remove_duplicates(nodes: DataFrame, digits: int = 0, use_radius: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBERS = ["id", "type", "x", "y", "z", "radius", "parent"]
@@ -61,3 +61,32 @@ def lines(nodes: DataFrame, digits: int = 6) -> DataFrame:
 def write(nodes: DataFrame, path: str, digits: int = 6) -> None:
     """A folder for each neuron, its lines in order of id."""
     lines(nodes, digits).repartition("neuron_id").sortWithinPartitions("neuron_id", "id").select("neuron_id", F.col("line").alias("value")).write.partitionBy("neuron_id").text(path)
+
+
+HEADER = ("# SWC", "# id type x y z radius parent")
+
+
+def text(nodes: DataFrame, digits: int = 6, radius: float | None = None, header: tuple[str, ...] = HEADER, places: DataFrame | None = None) -> DataFrame:
+    """neuron_id, ord, line of each neuron's file: header, then nodes by id, or by places(neuron_id, id, place), as which they are then numbered.
+
+    radius: one for all nodes. A parent that is not among the nodes is an error.
+    """
+    n = nodes if radius is None else nodes.withColumn("radius", F.lit(float(radius)))
+    if places is not None:
+        up = places.select("neuron_id", F.col("id").alias("parent"), F.col("place").alias("up"))
+        n = n.join(places, ["neuron_id", "id"]).join(up, ["neuron_id", "parent"], "left").withColumn("id", F.col("place"))
+    else:
+        up = nodes.select("neuron_id", F.col("id").alias("parent"), F.col("id").alias("up"))
+        n = n.join(up, ["neuron_id", "parent"], "left")
+    absent = F.raise_error(F.concat(F.lit("absent parent: "), F.col("parent").cast("string"))).cast("bigint")
+    n = n.withColumn("parent", F.when(F.col("parent") == -1, F.lit(-1).cast("long")).when(F.col("up").isNotNull(), F.col("up")).otherwise(absent))
+    body = lines(n, digits).select("neuron_id", (F.row_number().over(Window.partitionBy("neuron_id").orderBy("id")) + len(header)).cast("long").alias("ord"), "line")
+    if not header:
+        return body
+    head = nodes.select("neuron_id").distinct().select("neuron_id", F.posexplode(F.array(*map(F.lit, header))).alias("ord", "line"))
+    return head.select("neuron_id", (F.col("ord") + 1).cast("long").alias("ord"), "line").unionByName(body)
+
+
+def write_text(rows: DataFrame, path: str) -> None:
+    """A folder for each neuron, with its lines in order."""
+    rows.repartition("neuron_id").sortWithinPartitions("neuron_id", "ord").select("neuron_id", F.col("line").alias("value")).write.partitionBy("neuron_id").text(path)

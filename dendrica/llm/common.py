@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,39 @@ def scratch(spark: SparkSession) -> str:
     return named
 
 
+#: Scratch tables by owner; None owns none.
+_OWNED: dict[str, list[str]] = {}
+_OWNER: list[str] = []
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables written inside belong to owner."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def release(owner: str, docs: DataFrame) -> None:
+    """Delete owner's tables that docs does not read, and let go of shuffles that nothing refers to."""
+    spark, held = docs.sparkSession, _OWNED.get(owner, [])
+    read = docs.inputFiles() if held else []
+    for path in [p for p in held if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        held.remove(path)
+    spark._jvm.System.gc()
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """path, deleted when the JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -33,10 +68,10 @@ def table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    if _OWNER:
+        _OWNED.setdefault(_OWNER[-1], []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(passing(spark, path))
 
 
 def lean(df: DataFrame, records: int = 2000) -> DataFrame:

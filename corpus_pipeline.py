@@ -7,12 +7,13 @@ take effect: what it rejects is gone for the next.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrica.llm import jaccard, lines, packing, quality, secret_scan
-from dendrica.llm.common import load, scratch
+from dendrica.llm.common import load, owned, passing, release, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packed", packed)]
+def _stage(function):
+    """The stage, which first deletes what the stages before it left in the shared folder: docs is what the last of them wrote."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(__name__, docs)
+        with owned(__name__):
+            return function(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _stage(f)) for f in (quality_rules, line_dedup, near_duplicates, secrets, packed)]
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -60,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = load(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        passing(spark, folder)
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 

@@ -128,8 +128,8 @@ def document(key: str, text: str) -> Column:
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """__k, __d, no, v, h: lines with a word, trimmed; __k stands for the document, h for the line."""
-    each = F.posexplode(F.split(F.col(text), "\n")).alias("no", "v")
-    x = docs.select(document(key, text).alias("__k"), F.col(key).alias("__d"), each)
+    # Below the explode, or the whole text would be hashed for each of its lines.
+    x = docs.select(document(key, text).alias("__k"), F.col(key).alias("__d"), F.split(F.col(text), "\n").alias("x")).select("__k", "__d", F.posexplode("x").alias("no", "v"))
     return x.withColumn("v", F.trim(F.col("v"), F.lit(BLANK))).where("v <> ''").withColumn("h", F.unhex(F.md5("v")))
 
 

@@ -126,11 +126,20 @@ def document(key: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(said, F.lit("\0"), F.col(text))))
 
 
+def _trimmed(line: str) -> Column:
+    """The line without white space at its ends, which is looked for only where an end has some."""
+    v = F.col(line)
+    ends = reduce(Column.__or__, [end for b in BLANK for end in (v.startswith(b), v.endswith(b))])
+    return F.when(ends, F.trim(v, F.lit(BLANK))).otherwise(v)
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """__k, __d, no, v, h: lines with a word, trimmed; __k stands for the document, h for the line."""
-    # Below the explode, or the whole text would be hashed for each of its lines.
-    x = docs.select(document(key, text).alias("__k"), F.col(key).alias("__d"), F.split(F.col(text), "\n").alias("x")).select("__k", "__d", F.posexplode("x").alias("no", "v"))
-    return x.withColumn("v", F.trim(F.col("v"), F.lit(BLANK))).where("v <> ''").withColumn("h", F.unhex(F.md5("v")))
+    # Below the explode, or the whole text would be hashed for each of its lines; outer, or it would be split again to filter out null ones.
+    x = docs.select(document(key, text).alias("__k"), F.col(key).alias("__d"), F.split(F.col(text), "\n").alias("x")).select("__k", "__d", F.posexplode_outer("x").alias("no", "v"))
+    # Never null, or joins would hash each line once more to see that it is not.
+    h = F.coalesce(F.unhex(F.md5("v")), F.lit(bytearray()))
+    return x.withColumn("v", _trimmed("v")).where("v <> ''").withColumn("h", h)
 
 
 def _sized(entries: DataFrame) -> DataFrame:
@@ -155,7 +164,8 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
     """h of lines of which another one, within `edits` edits, stands first. found: key, h, len, own, nth (segment), n (entries of the list)."""
     some = table(found.select("h").distinct())
     # The texts of only those lines that share a segment with another.
-    texts = _lines(docs, key, text).join(some, "h", "left_semi").groupBy("h").agg(F.first("v").alias("v"))
+    # Nothing bounds their number, so they are not broadcast at any size.
+    texts = _lines(docs, key, text).select("h", "v").join(some.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("v").alias("v"))
     texts = table(texts.join(firsts.select("h", "first"), "h"))
     short = found.where(F.col("n") <= LIST) if edits == 1 else found
     pairs, settled = [_pairs(short)], []
@@ -192,10 +202,11 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
 
 
 def _keyed(docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
-    """__k, __d, no, h, len, keys of all lines, written out."""
-    length = F.length("v")
-    keys = F.when(length >= least, F.array(*segment_keys(F.col("v"), length, edits, least)[0]))
-    return table(_lines(docs, key, text).select("__k", "__d", "no", "h", length.cast("int").alias("len"), keys.alias("keys")))
+    """__k, __d, no, h, len, keys of all lines, written out; keys of lines too short for an edit are null."""
+    # Length is a column of its own, and keys stand under no condition, or what they share would be computed for each.
+    lines = _lines(docs, key, text).withColumn("len", F.length("v").cast("int"))
+    keys = F.array(*segment_keys(F.col("v"), F.col("len"), edits, least)[0])
+    return table(lines.select("__k", "__d", "no", "h", "len", keys.alias("keys")))
 
 
 def _order() -> Column:
@@ -205,7 +216,7 @@ def _order() -> Column:
 def _repeated(lines: DataFrame, docs: DataFrame, edits: int, least: int, key: str, text: str) -> DataFrame:
     firsts = table(lines.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
     _, own, nth = segment_keys(F.lit(""), F.lit(0), edits, least)
-    entries = lines.where("keys IS NOT NULL").select("h", "len", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
+    entries = lines.where(F.col("len") >= least).select("h", "len", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
     entries = entries.select("h", "len", "key", F.get(F.array(*map(F.lit, own)), F.col("at")).alias("own"), F.get(F.array(*map(F.lit, nth)), F.col("at")).alias("nth"))
     # A key of a line may be an index key, and one that probes.
     entries = entries.groupBy("key", "h", "len").agg(F.max("own").alias("own"), F.min("nth").alias("nth"))

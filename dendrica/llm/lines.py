@@ -164,8 +164,8 @@ def _near(found: DataFrame, docs: DataFrame, key: str, text: str, firsts: DataFr
     """h of lines of which another one, within `edits` edits, stands first. found: key, h, len, own, nth (segment), n (entries of the list)."""
     some = table(found.select("h").distinct())
     # The texts of only those lines that share a segment with another.
-    # Nothing bounds their number, so they are not broadcast at any size.
-    texts = _lines(docs, key, text).select("h", "v").join(some.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("v").alias("v"))
+    # One text for each line before they are joined, so that a common one does not meet in one task (a semi join would be pushed below that); nothing bounds the number of `some`, so they are not broadcast at any size.
+    texts = _lines(docs, key, text).groupBy("h").agg(F.first("v").alias("v")).join(some.hint("merge"), "h")
     texts = table(texts.join(firsts.select("h", "first"), "h"))
     short = found.where(F.col("n") <= LIST) if edits == 1 else found
     pairs, settled = [_pairs(short)], []

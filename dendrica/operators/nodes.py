@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.matrices import applied
+from . import arrays as A
 
 K = "neuron_id"
 
@@ -142,11 +144,11 @@ def father_path(nodes: DataFrame, step: int = 5) -> DataFrame:
 
 
 def close_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one neuron nearer than threshold: cells of that width, each met with the half of its neighbours."""
-    cell = [F.floor(F.col(c) / threshold) for c in "xyz"]
-    p = nodes.select(K, "id", "x", "y", "z", *(c.alias(f"c{n}") for n, c in zip("xyz", cell, strict=True)))
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    q = p.select(K, F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"), "cx", "cy", "cz", F.explode(near).alias("o"))
-    q = q.select(K, "b", "bx", "by", "bz", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
-    met = p.join(q, [K, "cx", "cy", "cz"]).where("id < b").withColumn("dist", G.distance(G.point(), G.point("b")))
-    return met.where(F.col("dist") < threshold).select(K, F.col("id").alias("a"), "b", "dist")
+    """Pairs a < b of one neuron nearer than threshold: of each neuron, points of neighbouring cells of that width meet."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ids = A.whole(t, "id")
+        i, j, d = A.pairs_within(ids, A.real(t, *"xyz"), threshold)
+        return A.table(key, {"a": ids[i], "b": ids[j], "dist": d})
+
+    return A.each(nodes.where(f"{K} IS NOT NULL AND id IS NOT NULL").select(K, "id", "x", "y", "z"), run, f"{K} bigint, a bigint, b bigint, dist double")

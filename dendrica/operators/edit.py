@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.forest import written
-from .nodes import K, child_counts, edges, roots
-from .tree import closure, rooted
+from . import arrays as A
+from .nodes import K, edges, roots
+from .tree import rooted
 
 NODE = [K, "id", "type", "x", "y", "z", "radius", "parent"]
+from .nodes import K, child_counts, edges, roots
+from .tree import closure, rooted
 
 
 def _ordered(nodes: DataFrame, sign: int) -> DataFrame:
@@ -32,27 +39,36 @@ def node_list(nodes: DataFrame) -> DataFrame:
 def nearest_nodes(nodes: DataFrame, points: DataFrame, k: int = 1, start: float = 16.0) -> DataFrame:
     """neuron_id, point, id, rank, dist: the k nearest nodes of its neuron (all, if fewer) of each of points(neuron_id, point, x, y, z), ties to the least id.
 
-    Points meet nodes of neighbouring cells only; those that find too few within
-    a cell's width go on with cells twice as wide. Points of absent neurons have no rows.
+    In each neuron, points meet nodes of neighbouring cells only; those that find too few
+    within a cell's width go on with cells twice as wide. Points of absent neurons have no rows.
     """
-    if k <= 0:
-        return points.select(K, "point", F.lit(0).cast("long").alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
-    sizes = nodes.groupBy(K).agg(F.least(F.count("*"), F.lit(k)).alias("want"))
-    todo = written(points.select(K, "point", *(F.col(c).cast("double").alias(f"p{c}") for c in "xyz")).join(sizes, K))
-    near = F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(l).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)))
-    out, width = None, start
-    while not todo.isEmpty():
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        around = todo.select("*", F.explode(near).alias("o")).select("*", *((cell(f"p{c}") + F.col(f"o.{c}")).alias(f"c{c}") for c in "xyz"))
-        met = around.join(nodes.select(K, "id", "x", "y", "z", *(cell(c).alias(f"c{c}") for c in "xyz")), [K, "cx", "cy", "cz"])
-        met = met.withColumn("dist", G.distance(G.point(), G.point("p"))).where(F.col("dist") <= width)
-        met = met.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY {K}, point ORDER BY dist, id)")).where(F.col("rank") <= k)
-        found = written(met.select(K, "point", "want", "id", "rank", "dist"))
-        done = found.where("rank = want").select(K, "point").distinct()
-        part = found.drop("want").join(done, [K, "point"], "left_semi")
-        out = part if out is None else out.unionByName(part)
-        todo, width = written(todo.join(done, [K, "point"], "left_anti")), width * 2
-    return points.select(K, "point").limit(0).selectExpr(K, "point", "0L AS id", "0 AS rank", "0D AS dist") if out is None else out
+    kind = points.schema["point"].dataType.simpleString()
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, p, q = A.whole(left, "id"), A.real(left, *"xyz"), A.real(right, *"xyz")
+        ok = np.flatnonzero(np.isfinite(p).all(1))
+        todo, width, rows = np.flatnonzero(np.isfinite(q).all(1)), start, [(ok[:0], ok[:0], ok[:0], np.zeros(0))]
+        want = min(k, len(ok)) if key[0].is_valid else 0
+        while len(todo) and want:
+            found, whole = np.zeros(len(todo), bool), len(todo) * len(ok) <= 1 << 14
+            for i, j in A.neighbours(q[todo], p[ok], width):
+                j = ok[j]
+                d = A.distance(p[j], q[todo[i]])
+                near = np.flatnonzero((d <= width) | whole)
+                near = near[np.lexsort((ids[j[near]], d[near], i[near]))]
+                i, j, d = i[near], j[near], d[near]
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                n = np.diff(first, append=len(i))
+                rank = np.arange(len(i)) - np.repeat(first, n)
+                found[i[first[n >= want]]] = True
+                some = found[i] & (rank < want)
+                rows.append((todo[i[some]], j[some], rank[some], d[some]))
+            todo, width = todo[~found], width * 2
+        point, at, rank, d = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return A.table(key, {"point": right.column("point").take(pa.array(point)), "id": ids[at], "rank": (rank + 1).astype(np.int32), "dist": d})
+
+    cols = (F.col(c).cast("double").alias(c) for c in "xyz")
+    return A.both(nodes.select(K, "id", *(F.col(c).cast("double").alias(c) for c in "xyz")), points.select(K, "point", *cols), run, f"{K} bigint, point {kind}, id bigint, rank int, dist double")
 
 
 def in_ball(nodes: DataFrame, center: tuple[float, float, float], radius: float, inner: float | None = None) -> DataFrame:

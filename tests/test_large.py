@@ -1,5 +1,7 @@
 """What larger tables need: no nodes to the driver, no rows that grow faster than the input, kernels equal to brute force."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -13,9 +15,11 @@ def _plan(spark, query):
     return catalog.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", ["j8_close_pairs"])
-def test_nothing_goes_to_the_driver(spark, query):
-    assert "Broadcast" not in _plan(spark, query)
+@pytest.mark.parametrize("query", ["j8_close_pairs", "w8_nearest_nodes"])
+def test_nothing_goes_to_the_driver_or_to_scratch(spark, query):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert "Broadcast" not in _plan(spark, query) and set(os.listdir(folder)) == before
 
 
 def test_neighbours_hold_all_pairs_within_reach():

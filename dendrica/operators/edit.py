@@ -90,21 +90,33 @@ def valid_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(ids.withColumnRenamed("id", "a"), [K, "a"], "left_semi").join(ids.withColumnRenamed("id", "b"), [K, "b"], "left_semi")
 
 
+def _below(nodes: DataFrame, tops: DataFrame, keep: Callable[[A.Forest], np.ndarray] | None = None) -> DataFrame:
+    """subtree, of the nodes that keep has. A top's own subtree only is walked."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        f = A.Forest(key, left)
+        below, kept, rows = f.below(), None if keep is None else keep(f).tolist(), []
+        for top in f.find(A.whole(right, "id")).tolist() if key[0].is_valid else ():
+            todo = [(top, 0)] if top >= 0 else []
+            for i, d in todo:
+                todo += [(c, d + 1) for c in below[i]]
+                if len(todo) > f.n:
+                    raise ValueError("cycle of parents")
+            rows += [(top, i, d) for i, d in todo if kept is None or kept[i]]
+        top, at, d = np.array(rows, np.int64).reshape(-1, 3).T
+        return A.table(key, {"top": f.ids[top], "id": f.ids[at], "dist": d})
+
+    return A.both(nodes.select(K, "id", "parent"), tops.select(K, "id"), run, f"{K} bigint, top bigint, id bigint, dist bigint")
+
+
 def subtree(nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """neuron_id, top, id, dist: nodes at or below tops(neuron_id, id), level by level; a top's own subtree only is walked."""
-    down = nodes.where("parent <> -1").select(K, F.col("parent").alias("at"), F.col("id").alias("next"))
-    level, out, dist = written(tops.select(K, F.col("id").alias("top"), F.col("id")).join(nodes.select(K, "id"), [K, "id"], "left_semi").select(K, "top", "id")), None, 0
-    while not level.isEmpty():
-        rows = level.withColumn("dist", F.lit(dist).cast("long"))
-        out, dist = rows if out is None else out.unionByName(rows), dist + 1
-        level = written(level.withColumnRenamed("id", "at").join(down, [K, "at"]).select(K, "top", F.col("next").alias("id")))
-    return level.withColumn("dist", F.lit(0).cast("long")) if out is None else out
+    """neuron_id, top, id, dist: nodes at or below tops(neuron_id, id)."""
+    return _below(nodes, tops)
 
 
 def subtree_leaves(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """neuron_id, top, id: childless nodes, roots apart, at or below each top."""
-    childless = nodes.where("parent <> -1").join(child_counts(nodes), [K, "id"], "left_anti")
-    return subtree(nodes, tops).join(childless.select(K, "id"), [K, "id"], "left_semi").select(K, "top", "id")
+    return _below(nodes, tops, lambda f: f.childless() & ~f.root & (f.parent != A.NONE)).select(K, "top", "id")
 
 
 def remove_subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:

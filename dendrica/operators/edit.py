@@ -121,7 +121,18 @@ def subtree_leaves(nodes: DataFrame, tops: DataFrame) -> DataFrame:
 
 def remove_subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """Without the nodes at or below tops(neuron_id, id)."""
-    return nodes.join(subtree(nodes, tops), [K, "id"], "left_anti")
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        f = A.Forest(key, left)
+        below, gone = f.below(), np.zeros(f.n, bool)
+        todo = [i for i in set(f.find(A.whole(right, "id")).tolist()) if i >= 0 and key[0].is_valid]
+        while todo:
+            if not gone[i := todo.pop()]:
+                gone[i] = True
+                todo += below[i]
+        return f.table.filter(pa.array(~gone))
+
+    return A.both(nodes, tops.select(K, "id"), run, nodes.schema)
 
 
 def remove_trees(nodes: DataFrame, tops: DataFrame) -> DataFrame:

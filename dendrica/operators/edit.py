@@ -16,14 +16,20 @@ from .nodes import K, edges, roots
 from .tree import rooted
 
 NODE = [K, "id", "type", "x", "y", "z", "radius", "parent"]
-from .nodes import K, child_counts, edges, roots
-from .tree import closure, rooted
 
 
 def _ordered(nodes: DataFrame, sign: int) -> DataFrame:
-    """neuron_id, id, place from 1: each node before its subtree, siblings and roots by sign * id. A key is as long as its node is deep."""
-    way = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), (sign * F.col("anc")).alias("a")))), lambda p: p["a"])
-    return closure(nodes).groupBy(K, "id").agg(way.alias("way")).select(K, "id", F.expr(f"row_number() OVER (PARTITION BY {K} ORDER BY way)").cast("long").alias("place"))
+    """neuron_id, id, place from 1: each node before its subtree, siblings and roots by sign * id."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        below, out, todo = f.below(), [], np.flatnonzero(f.up < 0).tolist()[::-sign]
+        while todo:
+            out.append(i := todo.pop())
+            todo += below[i][::-sign]
+        return A.table(key, {"id": f.ids[out], "place": np.arange(1, len(out) + 1)})
+
+    return A.each(nodes.select(K, "id", "parent"), run, f"{K} bigint, id bigint, place bigint")
 
 
 def preorder(nodes: DataFrame) -> DataFrame:

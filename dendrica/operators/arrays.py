@@ -16,8 +16,9 @@ NONE = -(1 << 63)
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df by neuron, in as many partitions as shuffles have: small tables may need much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), K)
+    """df by neuron, in one partition more than shuffles have: small tables may need much work, and the planner drops
+    a repartition equal to an exchange below it, whose small partitions it then merges."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, K)
 
 
 def each(df: DataFrame, run: Callable, schema: str) -> DataFrame:

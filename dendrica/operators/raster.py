@@ -1,10 +1,16 @@
-"""Forests as sparse voxels (z, y, x): only those set are rows."""
+"""Forests as sparse voxels (z, y, x): only those set are rows. Nodes are dealt by neuron; a neuron's voxels are made and told apart in its task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
+from .nodes import K
 from .nodes import K, edges
 
 
@@ -12,6 +18,38 @@ def _inside(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return df.where(" AND ".join(f"{c} >= 0 AND {c} < {n}" for c, n in zip("zyx", shape, strict=True)))
 
 
+def _voxels(nodes: DataFrame, shape: tuple[int, int, int], marks: Callable[[A.Forest], Marks]) -> DataFrame:
+    """The voxels that marks gives of each neuron, once each."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        for code in marks(A.Forest(key, t)):
+            found = _union(found, code)
+        z, rest = np.divmod(found, shape[1] * shape[2])
+        y, x = np.divmod(rest, shape[2])
+        return A.table(key, {"z": z.astype(np.int32), "y": y.astype(np.int32), "x": x.astype(np.int32)})
+
+    return A.each(nodes.select(K, "id", "parent", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "radius"))), run, f"{K} bigint, z int, y int, x int")
+
+
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = np.sort(np.concatenate([a, b]))
+    return both[np.diff(both, prepend=-1) != 0]
+
+
+def _code(shape: tuple[int, int, int], z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (z.astype(np.int64) * shape[1] + y.astype(np.int64)) * shape[2] + x.astype(np.int64)
+
+
+def _blocks(work: np.ndarray) -> Iterable[slice]:
+    """Stretches of about CHUNK of work, of one item at least."""
+    total, start = np.cumsum(work), 0
+    while start < len(work):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + A.CHUNK, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def line_voxels(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Voxels on edges, sampled at int(length) + 2 points rounded half to even."""
     e = edges(nodes).withColumn("n", F.floor("length").cast("int") + 1)
@@ -28,16 +66,33 @@ def dilate(voxels: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataF
     return _inside(moved, shape).distinct()
 
 
+def _range(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the whole numbers from low to high, inside 0 .. size - 1."""
+    a, b = np.maximum(np.ceil(low), 0), np.minimum(np.floor(high), size - 1)
+    n = np.maximum(b - a + 1, 0).astype(np.int64)
+    return np.where(n > 0, a, 0).astype(np.int64), n
+
+
+def _spheres(f: A.Forest, shape: tuple[int, int, int], scale: float) -> Marks:
+    p, r = f.xyz()[:, ::-1], A.real(f.table, "radius")[:, 0] * scale
+    ok = np.isfinite(p).all(1) & np.isfinite(r) & (r >= 0)
+    p, r = p[ok], r[ok]
+    first, n = zip(*(_range(p[:, c] - r, p[:, c] + r, shape[c]) for c in range(3)), strict=True)
+    work = n[0] * n[1] * n[2]
+    for s in _blocks(work):
+        e, k = A.spread(work[s])
+        k, i = np.divmod(k, n[2][s][e])
+        k, j = np.divmod(k, n[1][s][e])
+        z, y, x = k + first[0][s][e], j + first[1][s][e], i + first[2][s][e]
+        q, m = p[s][e], r[s][e]
+        dz, dy, dx = z - q[:, 0], y - q[:, 1], x - q[:, 2]
+        hit = dz * dz + dy * dy + dx * dx <= m * m
+        yield _code(shape, z[hit], y[hit], x[hit])
+
+
 def sphere_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: float = 1.0) -> DataFrame:
     """Voxels within each node's radius."""
-    n = nodes.withColumn("r", F.col("radius") * scale)
-    for c in "zyx":
-        n = n.withColumn(f"a{c}", F.ceil(F.col(c) - F.col("r")).cast("int")).withColumn(f"b{c}", F.floor(F.col(c) + F.col("r")).cast("int"))
-    n = n.where("az <= bz AND ay <= by AND ax <= bx")
-    for c in "zyx":
-        n = n.withColumn(f"v{c}", F.explode(F.sequence(F.col(f"a{c}"), F.col(f"b{c}"))))
-    hit = n.where("(vz - z) * (vz - z) + (vy - y) * (vy - y) + (vx - x) * (vx - x) <= r * r")
-    return _inside(hit.select(K, *(F.col(f"v{c}").alias(c) for c in "zyx")), shape).distinct()
+    return _voxels(nodes, shape, lambda f: _spheres(f, shape, scale))
 
 
 def cone_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: float = 1.0) -> DataFrame:
@@ -67,8 +122,30 @@ def sphere_cone_voxels(nodes: DataFrame, shape: tuple[int, int, int], scale: flo
 
 
 def adjacency(voxels: DataFrame, connectivity: int = 26) -> DataFrame:
-    """Neighbouring pairs of voxels, each once: an equi-join on half of the offsets."""
+    """Neighbouring pairs of voxels, each once: half of the offsets looked up among a neuron's voxels, in its task."""
     half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0) and (connectivity == 26 or abs(i) + abs(j) + abs(k) == 1)]
-    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("zyx", o, strict=True))) for o in half)))
-    moved = voxels.withColumn("o", near).select(K, *(F.col(c).alias(f"a{c}") for c in "zyx"), *((F.col(c) + F.col(f"o.{c}")).alias(c) for c in "zyx"))
-    return moved.join(voxels, [K, "z", "y", "x"])
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        v = np.stack([A.whole(t, c) for c in "zyx"])
+        # Ranks with one gap where cells are missing, so that codes of any voxels fit.
+        rank, size = np.empty_like(v), []
+        for c in range(3):
+            value, at = np.unique(v[c], return_inverse=True)
+            step = 1 + np.concatenate([[0], np.cumsum(np.where(np.diff(value) == 1, 1, 2))])
+            rank[c] = step[at]
+            size.append(int(step[-1]) + 2)
+        code = (rank[0] * size[1] + rank[1]) * size[2] + rank[2]
+        order = np.argsort(code, kind="stable")
+        code, v = code[order], v[:, order].astype(np.int32)
+        a, b = [], []
+        for i, j, k in half:
+            want = code + (i * size[1] + j) * size[2] + k
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            some = np.flatnonzero(code[at] == want)
+            a.append(some)
+            b.append(at[some])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return A.table(key, {c: v[i][b] for i, c in enumerate("zyx")} | {f"a{c}": v[i][a] for i, c in enumerate("zyx")})
+
+    known = voxels.where(" AND ".join(f"{c} IS NOT NULL" for c in (K, *"zyx"))).select(K, "z", "y", "x")
+    return known.groupBy(K).applyInArrow(run, f"{K} bigint, z int, y int, x int, az int, ay int, ax int")

@@ -32,3 +32,9 @@ def test_neighbours_hold_all_pairs_within_reach():
         assert len(got) == len(set(got)) and set(zip(*np.nonzero(d <= reach), strict=True)) <= set(got)
         nearest = A.nearest_distance(p, q)
         assert np.allclose(nearest, d.min(1), rtol=1e-12)
+
+
+@pytest.mark.parametrize("query", ["r3_cone_voxels_full"])
+def test_voxels_are_made_and_told_apart_behind_the_last_exchange(spark, query):
+    plan = _plan(spark, query)
+    assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan.split("Exchange")[0]

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .nodes import K
-from .nodes import K, edges
 
 
 def _inside(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return df.where(" AND ".join(f"{c} >= 0 AND {c} < {n}" for c, n in zip("zyx", shape, strict=True)))
 
 
+#: Codes of voxels in `shape`, ascending and once each.
+Marks = Iterable[np.ndarray]
+
+
 def _voxels(nodes: DataFrame, shape: tuple[int, int, int], marks: Callable[[A.Forest], Marks]) -> DataFrame:
     """The voxels that marks gives of each neuron, once each."""
 
@@ -59,10 +62,18 @@ def _edges(f: A.Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def line_voxels(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Voxels on edges, sampled at int(length) + 2 points rounded half to even."""
-    e = edges(nodes).withColumn("n", F.floor("length").cast("int") + 1)
-    p = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    at = lambda c: F.rint(F.col(c) + (F.col(f"p{c}") - F.col(c)) * (F.col("k") / F.col("n"))).cast("int")
-    return _inside(p.select(K, *(at(c).alias(c) for c in "zyx")), shape).distinct()
+
+    def marks(f: A.Forest) -> Marks:
+        p, (low, high, size) = f.xyz()[:, ::-1], _edges(f)
+        n = np.floor(size).astype(np.int64) + 1
+        for s in _blocks(n + 1):
+            e, k = A.spread(n[s] + 1)
+            a, b, share = p[low[s]][e], p[high[s]][e], k / n[s][e]
+            v = [np.rint(a[:, c] + (b[:, c] - a[:, c]) * share) for c in range(3)]
+            ok = np.logical_and.reduce([(c >= 0) & (c < m) for c, m in zip(v, shape, strict=True)])
+            yield _code(shape, *(c[ok] for c in v))
+
+    return _voxels(nodes, shape, marks)
 
 
 def dilate(voxels: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:

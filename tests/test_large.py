@@ -34,7 +34,7 @@ def test_neighbours_hold_all_pairs_within_reach():
         assert np.allclose(nearest, d.min(1), rtol=1e-12)
 
 
-@pytest.mark.parametrize("query", ["r3_cone_voxels_full", "r4_sphere_cone_voxels_full", "r3_cone_voxels", "r1_line_voxels", "r4_sphere_cone_voxels"])
+@pytest.mark.parametrize("query", ["r3_cone_voxels_full", "r4_sphere_cone_voxels_full", "r3_cone_voxels", "r1_line_voxels", "r4_sphere_cone_voxels", "r2_sphere_voxels"])
 def test_voxels_are_made_and_told_apart_behind_the_last_exchange(spark, query):
     plan = _plan(spark, query)
     assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan.split("Exchange")[0]

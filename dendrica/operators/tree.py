@@ -1,12 +1,17 @@
-"""Tree operators by pointer doubling: a forest of depth d takes about log2(d) joins."""
+"""Tree operators: depths by pointer doubling (a forest of depth d takes about log2(d) joins), what needs whole paths or chains a neuron a task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geometry as G
 from ..plans.forest import written
+from . import arrays as A
+from .nodes import K, edges, leaves
 from .nodes import K, child_counts, edges, leaves
 
 
@@ -65,12 +70,27 @@ def subtrees(nodes: DataFrame) -> DataFrame:
 
 
 def lca(nodes: DataFrame, pairs: DataFrame, ids_from: int = 1) -> DataFrame:
-    """lca of pairs(neuron_id, u, v): -1 in different trees, or where the answer's id is below ids_from."""
-    up = closure(nodes)
-    a = up.select(K, F.col("id").alias("u"), "anc", F.col("dist").alias("du"))
-    b = up.select(K, F.col("id").alias("v"), "anc")
-    met = pairs.join(a, [K, "u"]).join(b, [K, "v", "anc"]).groupBy(K, "u", "v").agg(F.min_by("anc", "du").alias("lca"))
-    return pairs.join(met, [K, "u", "v"], "left").withColumn("lca", F.when(F.col("lca") >= ids_from, F.col("lca")).otherwise(-1).cast("long"))
+    """lca of pairs(neuron_id, u, v): -1 in different trees, or where the answer's id is below ids_from. The deeper end of a pair climbs."""
+    pairs = pairs.select(K, "u", "v", *(c for c in pairs.columns if c not in (K, "u", "v")))
+    schema = StructType([*pairs.schema.fields, StructField("lca", LongType())])
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        f = A.Forest(key, left)
+        depth, up = np.zeros(f.n + 1, np.int64), np.append(f.up, -1)
+        for i in f.order():
+            depth[i] = depth[up[i]] + 1
+        a, b = (f.find(A.whole(right, c)) if key[0].is_valid else np.full(right.num_rows, -1) for c in "uv")
+        some = np.flatnonzero((a != b) & (a >= 0) & (b >= 0))
+        while len(some):
+            da, db = depth[a[some]], depth[b[some]]
+            a[some], b[some] = np.where(da >= db, up[a[some]], a[some]), np.where(db >= da, up[b[some]], b[some])
+            some = some[(a[some] != b[some]) & (a[some] >= 0) & (b[some] >= 0)]
+        found = np.full(len(a), -1)
+        met = (a == b) & (a >= 0)
+        found[met] = f.ids[a[met]]
+        return right.append_column("lca", pa.array(np.where(found >= ids_from, found, -1).astype(np.int64)))
+
+    return A.both(nodes.select(K, "id", "parent"), pairs, run, schema)
 
 
 def resample(nodes: DataFrame, step: float = 2.0) -> DataFrame:

@@ -65,8 +65,17 @@ def fiber_nodes(nodes: DataFrame) -> DataFrame:
 
 def subtrees(nodes: DataFrame) -> DataFrame:
     """Size and length of the subtree below each node; the node's own edge counts."""
-    own = edges(nodes).select(K, "id", "length")
-    return closure(nodes).join(own, [K, "id"], "left").groupBy(K, F.col("anc").alias("id")).agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"))
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        n, size, up, order = [1] * f.n, np.nan_to_num(f.sizes(f.xyz()), posinf=np.inf).tolist(), f.up.tolist(), f.order()
+        for i in reversed(order):
+            if (u := up[i]) >= 0:
+                n[u] += n[i]
+                size[u] += size[i]
+        return A.table(key, {"id": f.ids[order], "n_nodes": np.array(n, np.int64)[order], "length": np.array(size, float)[order]})
+
+    return A.each(nodes.select(K, "id", "parent", "x", "y", "z"), run, f"{K} bigint, id bigint, n_nodes bigint, length double")
 
 
 def lca(nodes: DataFrame, pairs: DataFrame, ids_from: int = 1) -> DataFrame:

@@ -63,6 +63,11 @@ def fiber_nodes(nodes: DataFrame) -> DataFrame:
     return paths.select(K, F.col("id").alias("leaf_id"), "pos", F.col("anc").alias("id")).join(nodes.select(K, "id", "x", "y", "z"), [K, "id"])
 
 
+def fiber_ends(f: A.Forest) -> list[int]:
+    """Places of childless nodes that are not roots."""
+    return np.flatnonzero(f.childless() & ~f.root & (f.parent != A.NONE)).tolist()
+
+
 def subtrees(nodes: DataFrame) -> DataFrame:
     """Size and length of the subtree below each node; the node's own edge counts."""
 
@@ -108,38 +113,18 @@ def resample(nodes: DataFrame, step: float = 2.0) -> DataFrame:
     Key nodes keep ids and types; nodes between them are gone. New ones are numbered
     past the neuron's largest id by chain (its end's id) and position, with the type
     of the next old node down. A chain's end always stays; a step that would fall
-    within 1e-6 of it is left out. Chains are independent, so none waits for another.
+    within 1e-6 of it is left out.
     """
-    counts = child_counts(nodes)
-    n = nodes.join(counts, [K, "id"], "left").withColumn("key", (F.col("parent") == -1) | (F.coalesce("n_children", F.lit(0)) != 1))
-    # Each node belongs to the chain of the key node at or below it: the chain's end.
-    state = written(n.select(K, "id", "parent", "key"))
-    down = state.where("NOT key").select(K, "id").join(nodes.select(K, F.col("parent").alias("id"), F.col("id").alias("next")), [K, "id"])
-    hop = written(state.where("key").select(K, "id", F.col("id").alias("end")).unionByName(down.select(K, "id", F.col("next").alias("end"))))
-    before = None
-    while (now := hop.agg(F.sum(F.xxhash64(K, "id", "end").cast("decimal(20,0)"))).first()[0]) != before:
-        before = now
-        hop = written(hop.join(hop.select(K, F.col("id").alias("end"), F.col("end").alias("end2")), [K, "end"]).select(K, "id", F.col("end2").alias("end")))
-    r = rooted(nodes).select(K, "id", "root_length")
-    placed = written(nodes.join(r, [K, "id"]))
-    p = placed.select(K, F.col("id").alias("parent"), *(F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "radius", "root_length")))
-    seg = placed.join(hop, [K, "id"]).join(p, [K, "parent"])
-    seg = seg.withColumns({"base": F.expr(f"min(proot_length) OVER (PARTITION BY {K}, end)"), "start": F.expr(f"min_by(parent, (proot_length, root_length)) OVER (PARTITION BY {K}, end)")})
-    s0, s1, ends = F.col("proot_length") - F.col("base"), F.col("root_length") - F.col("base"), F.col("id") == F.col("end")
-    first, last = F.greatest(F.ceil(s0 / step), F.lit(1)), F.ceil((s1 - F.when(ends, 1e-6).otherwise(0.0)) / step) - 1
-    inner = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    own = F.when(ends, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    at = seg.select(K, "end", "start", "type", F.explode(F.concat(inner, own)).alias("k"), s0.alias("s0"), s1.alias("s1"), "x", "y", "z", "radius", "px", "py", "pz", "pradius")
-    t = F.when(F.col("k").isNull(), 1.0).otherwise((F.col("k") * step - F.col("s0")) / F.nullif(F.col("s1") - F.col("s0"), F.lit(0.0)))
-    at = at.select(K, "end", "start", "type", "k", *((F.col(f"p{c}") + (F.col(c) - F.col(f"p{c}")) * t).alias(c) for c in ("x", "y", "z", "radius")))
-    # Chains count their new nodes; a neuron adds up counts of chains, not nodes.
-    chains = at.groupBy(K, "end").agg(F.count("k").alias("n")).join(nodes.groupBy(K).agg(F.max("id").alias("top")), K)
-    chains = chains.select(K, "end", (F.col("top") + F.expr(f"sum(n) OVER (PARTITION BY {K} ORDER BY end)") - F.col("n")).alias("above"))
-    along = f"OVER (PARTITION BY {K}, end ORDER BY k ASC NULLS LAST)"
-    at = at.join(chains, [K, "end"]).withColumn("id", F.when(F.col("k").isNull(), F.col("end")).otherwise(F.col("above") + F.expr(f"row_number() {along}")))
-    at = at.withColumn("parent", F.expr(f"coalesce(lag(id) {along}, start)"))
-    cols = [K, "id", "type", "x", "y", "z", "radius", "parent"]
-    return at.select(*cols).unionByName(nodes.where("parent = -1").select(*cols))
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        out = A.resampled(f, step)
+        kind = f.table.column("type").take(pa.array(out.pop("kind")))
+        return A.table(key, {"id": out.pop("id"), "type": kind} | {c: pa.array(v, from_pandas=True) for c, v in out.items()})
+
+    real = (F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "radius"))
+    kind = nodes.schema["type"].dataType.simpleString()
+    return A.each(nodes.select(K, "id", "type", *real, "parent"), run, f"{K} bigint, id bigint, type {kind}, x double, y double, z double, radius double, parent bigint")
 
 
 def turn_angles(nodes: DataFrame) -> DataFrame:

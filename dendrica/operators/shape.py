@@ -7,14 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
+from .arrays import CHUNK
+from .nodes import K
+from .tree import closure, fiber_ends
+
+NODE = [K, "id", "type", "x", "y", "z", "radius", "parent"]
 from ..functions import geometry as G
 from ..plans.forest import written
 from .metrics import CHUNK
 from .nodes import K, close_pairs, father_path
 from .tree import closure, fiber_nodes, resample, rooted
 
-NODE = [K, "id", "type", "x", "y", "z", "radius", "parent"]
-
 
 def roi_fibers(nodes: DataFrame, low, high) -> DataFrame:
     """Runs of each fiber inside a closed box: leaf_id, pos of the first node, n_nodes, first_id, last_id.
@@ -30,11 +34,23 @@ def roi_fibers(nodes: DataFrame, low, high) -> DataFrame:
 
 def non_adjacent_pairs(nodes: DataFrame, threshold: float = 5.0, steps: int = 10) -> DataFrame:
     """a < b, dist of nodes nearer than threshold that share none of their first `steps` ids upwards; neurons of three nodes or more."""
-    large = nodes.groupBy(K).count().where("count > 2").select(K)
-    path = written(father_path(nodes, steps))
-    pairs = close_pairs(nodes.join(large, K, "left_semi"), threshold)
-    pairs = pairs.join(path.select(K, F.col("id").alias("a"), F.col("path").alias("pa")), [K, "a"]).join(path.select(K, F.col("id").alias("b"), F.col("path").alias("pb")), [K, "b"])
-    return pairs.where(~F.arrays_overlap("pa", "pb")).select(K, "a", "b", "dist")
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        i, j, d = A.pairs_within(f.ids, f.xyz(), threshold if f.n > 2 else 0.0)
+        # Paths of a and b end in different places beyond their roots.
+        pa_, pb = (np.empty((f.n, steps), np.int64) for _ in range(2))
+        at = np.arange(f.n)
+        for k in range(steps):
+            pa_[:, k], pb[:, k] = at, np.where(at < 0, -2, at)
+            at = np.where(at < 0, -1, f.up[at]) if f.n else at
+        met = np.zeros(len(i), bool)
+        for k in range(steps):
+            met |= np.logical_or.reduce([pa_[i, m] == pb[j, k] for m in range(steps)])
+        i, j, d = i[~met], j[~met], d[~met]
+        return A.table(key, {"a": f.ids[i], "b": f.ids[j], "dist": d})
+
+    return A.each(nodes.where(f"{K} IS NOT NULL AND id IS NOT NULL").select(K, "id", "parent", "x", "y", "z"), run, f"{K} bigint, a bigint, b bigint, dist double")
 
 
 def _turned(nodes: DataFrame, at: DataFrame) -> DataFrame:

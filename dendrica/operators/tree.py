@@ -12,7 +12,6 @@ from ..functions import geometry as G
 from ..plans.forest import written
 from . import arrays as A
 from .nodes import K, edges, leaves
-from .nodes import K, child_counts, edges, leaves
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -29,14 +28,22 @@ def rooted(nodes: DataFrame) -> DataFrame:
 
 def closure(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """neuron_id, id, anc, dist: every node, or those of(neuron_id, id), with itself and each ancestor."""
-    start = nodes if of is None else nodes.join(of, [K, "id"], "left_semi")
-    jump = written(edges(nodes).select(K, "id", F.col("parent").alias("anc")))
-    pairs, step = written(start.select(K, "id", F.col("id").alias("anc"), F.lit(0).cast("long").alias("dist"))), 1
-    while not jump.isEmpty():
-        far = jump.select(K, F.col("id").alias("anc"), F.col("anc").alias("anc2"))
-        pairs = written(pairs.unionByName(pairs.join(far, [K, "anc"]).select(K, "id", F.col("anc2").alias("anc"), (F.col("dist") + step).alias("dist"))))
-        jump, step = written(jump.join(far, [K, "anc"]).select(K, "id", F.col("anc2").alias("anc"))), step * 2
-    return pairs
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table, some: pa.Table | None = None) -> pa.Table:
+        f = A.Forest(key, t)
+        own = np.arange(f.n) if some is None else np.unique(f.find(A.whole(some, "id")))
+        own = own[own >= 0] if key[0].is_valid or some is None else own[:0]
+        at, dist, out = own, 0, [np.zeros((3, 0), np.int64)]
+        while len(at):
+            if dist > f.n:
+                raise ValueError("cycle of parents")
+            out.append(np.stack([f.ids[own], f.ids[at], np.full(len(at), dist)]))
+            up = f.up[at]
+            own, at, dist = own[up >= 0], up[up >= 0], dist + 1
+        return A.table(key, dict(zip(("id", "anc", "dist"), np.concatenate(out, 1), strict=True)))
+
+    schema, nodes = f"{K} bigint, id bigint, anc bigint, dist bigint", nodes.select(K, "id", "parent")
+    return A.each(nodes, run, schema) if of is None else A.both(nodes, of.select(K, "id"), run, schema)
 
 
 def components(nodes: DataFrame) -> DataFrame:
@@ -58,9 +65,17 @@ def fibers(nodes: DataFrame, min_length: float = 0.0, only_from_soma: bool = Fal
 
 def fiber_nodes(nodes: DataFrame) -> DataFrame:
     """neuron_id, leaf_id, pos (0 at the root), id and coordinates of the nodes of each fiber."""
-    ends = leaves(nodes).where("parent <> -1").select(K, "id")
-    paths = closure(nodes).join(ends, [K, "id"], "left_semi").withColumn("pos", F.expr(f"max(dist) OVER (PARTITION BY {K}, id) - dist"))
-    return paths.select(K, F.col("id").alias("leaf_id"), "pos", F.col("anc").alias("id")).join(nodes.select(K, "id", "x", "y", "z"), [K, "id"])
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        ways = [f.path(i)[::-1] for i in fiber_ends(f)]
+        at, (leaf, pos) = np.concatenate([np.zeros(0, np.int64), *ways]).astype(np.int64), A.spread(np.array([len(w) for w in ways], np.int64))
+        ends = np.array([w[-1] for w in ways], np.int64)
+        some = f.table.take(pa.array(at))
+        return A.table(key, {"leaf_id": f.ids[ends[leaf]], "pos": pos, "id": f.ids[at]} | {c: some.column(c) for c in "xyz"})
+
+    cols = (F.col(c).cast("double").alias(c) for c in "xyz")
+    return A.each(nodes.select(K, "id", "parent", *cols), run, f"{K} bigint, leaf_id bigint, pos bigint, id bigint, x double, y double, z double")
 
 
 def fiber_ends(f: A.Forest) -> list[int]:

@@ -73,22 +73,43 @@ def align_roots(nodes: DataFrame, points: DataFrame, threshold: float = 20.0) ->
     id. Ids are dealt anew: trees by distance, those no point reaches last, and
     breadth first within a tree. Only points and nodes of neighbouring cells meet.
     """
-    cell = lambda: [F.floor(F.col(c) / threshold) for c in "xyz"]
-    near = F.explode(F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    marks = written(points.select(K, "x", "y", "z").distinct().withColumn("mark", F.struct("x", "y", "z")).withColumns(dict(zip(("cx", "cy", "cz"), cell(), strict=True))))
-    around = marks.withColumn("o", near).select(K, "mark", *((F.col(f"c{c}") + F.col(f"o.{c}")).alias(f"c{c}") for c in "xyz"))
-    placed = nodes.select(K, "id", "x", "y", "z", *(c.alias(f"c{n}") for n, c in zip("xyz", cell(), strict=True)))
-    met = around.join(placed, [K, "cx", "cy", "cz"]).withColumn("d", G.distance(G.point(), G.point("mark."))).where(F.col("d") <= threshold)
-    best = met.groupBy(K, "mark").agg(F.min(F.struct("d", "id")).alias("m")).groupBy(K, F.col("m.id").alias("id")).agg(F.min("m.d").alias("d"))
-    tree = best.join(rooted(nodes).select(K, "id", "root_id"), [K, "id"])
-    heads = written(tree.groupBy(K, "root_id").agg(F.min(F.struct("d", "id")).alias("m")).select(K, F.col("m.id").alias("id"), F.col("m.d").alias("d")))
-    out = written(_turned(nodes, heads.select(K, "id")))
-    way = closure(out).join(out.select(K, F.col("id").alias("anc"), "place"), [K, "anc"]).groupBy(K, "id").agg(F.max("dist").alias("depth"), F.max_by("anc", "dist").alias("root"), F.transform(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), "place"))), lambda p: p["place"]).alias("way"))
-    # The way starts at the root, whose own place says nothing.
-    way = way.join(heads.select(K, F.col("id").alias("root"), "d"), [K, "root"], "left").select(K, "id", "depth", "root", F.slice("way", 2, 1 << 30).alias("way"), F.coalesce("d", F.lit(float("inf"))).alias("d"))
-    numbered = written(out.join(way, [K, "id"]).withColumn("new", F.expr(f"row_number() OVER (PARTITION BY {K} ORDER BY d, root, depth, way)").cast("long")).select(*NODE, "new"))
-    up = numbered.select(K, F.col("id").alias("parent"), F.col("new").alias("to"))
-    return numbered.join(up, [K, "parent"], "left").select(K, F.col("new").alias("id"), "type", "x", "y", "z", "radius", F.coalesce("to", F.lit(-1)).cast("long").alias("parent"))
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        f = A.Forest(key, left)
+        p, q = f.xyz(), A.real(right, *"xyz") if key[0].is_valid else np.zeros((0, 3))
+        some, q, ids, order = np.flatnonzero(np.isfinite(p).all(1)), q[np.isfinite(q).all(1)], f.ids.tolist(), f.order()
+        root = list(range(f.n))
+        for i in order:
+            root[i] = root[f.up[i]] if f.up[i] >= 0 else i
+        heads: dict[int, tuple[float, int]] = {}
+        for i, j in A.neighbours(q, p[some], threshold):
+            j = some[j]
+            d = A.distance(p[j], q[i])
+            near = np.flatnonzero(d <= threshold)
+            near = near[np.lexsort((j[near], d[near], i[near]))]
+            near = near[np.diff(i[near], prepend=-1) != 0]
+            for at, x in zip(j[near].tolist(), d[near].tolist(), strict=True):
+                heads[root[at]] = min(heads.get(root[at], (np.inf, at)), (x, at))
+        up, place = f.up.copy(), np.array(ids, np.int64)
+        for _, head in heads.values():
+            way = f.path(head)
+            up[way[1:]], up[head], place[way[1:]] = way[:-1], -1, 0
+        below: list[list[int]] = [[] for _ in ids]
+        for i in np.argsort(place, kind="stable").tolist():
+            if up[i] >= 0:
+                below[up[i]].append(i)
+        out: list[int] = []
+        for _, _, top in sorted((*heads.get(root[i], (np.inf, 0))[:1], ids[i], i) for i in order if up[i] < 0):
+            tree = [top]
+            for i in tree:
+                tree += below[i]
+            out += tree
+        new = np.full(f.n + 1, -1)
+        new[out] = np.arange(1, len(out) + 1)
+        t = f.table.take(pa.array(out, pa.int64()))
+        return pa.table({c: pa.array(new[out]) if c == "id" else pa.array(new[up[out]]) if c == "parent" else t.column(c) for c in NODE})
+
+    return A.both(nodes.select(*NODE), points.select(K, *(F.col(c).cast("double").alias(c) for c in "xyz")), run, nodes.select(*NODE).schema)
 
 
 def nearest_unrelated(p: np.ndarray, parent: np.ndarray, hops: int) -> np.ndarray:

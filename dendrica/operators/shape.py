@@ -25,11 +25,23 @@ def roi_fibers(nodes: DataFrame, low, high) -> DataFrame:
 
     A run that ends at the leaf has two nodes at least; others may have one.
     """
-    f = fiber_nodes(nodes).withColumn("last", F.expr(f"max(pos) OVER (PARTITION BY {K}, leaf_id)"))
-    inside = f.where(" AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip("xyz", low, high, strict=True)))
-    runs = inside.withColumn("run", F.expr(f"pos - row_number() OVER (PARTITION BY {K}, leaf_id ORDER BY pos)"))
-    out = runs.groupBy(K, "leaf_id", "run").agg(F.min("pos").alias("pos"), F.count("*").alias("n_nodes"), F.min_by("id", "pos").alias("first_id"), F.max_by("id", "pos").alias("last_id"), F.max("pos").alias("stop"), F.max("last").alias("last"))
-    return out.where("n_nodes > 1 OR stop < last").drop("run", "stop", "last")
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        f = A.Forest(key, t)
+        p, ids, rows = f.xyz(), f.ids.tolist(), []
+        inside = ((p >= np.array(low)) & (p <= np.array(high))).all(1).tolist()
+        for leaf in fiber_ends(f):
+            way, first = f.path(leaf)[::-1], None
+            for pos, i in enumerate([*way, -1]):
+                if i >= 0 and inside[i]:
+                    first = pos if first is None else first
+                elif first is not None:
+                    if pos - first > 1 or i >= 0:
+                        rows.append((ids[leaf], first, pos - first, ids[way[first]], ids[way[pos - 1]]))
+                    first = None
+        return A.table(key, dict(zip(("leaf_id", "pos", "n_nodes", "first_id", "last_id"), np.array(rows, np.int64).reshape(-1, 5).T, strict=True)))
+
+    return A.each(nodes.select(K, "id", "parent", "x", "y", "z"), run, f"{K} bigint, leaf_id bigint, pos bigint, n_nodes bigint, first_id bigint, last_id bigint")
 
 
 def non_adjacent_pairs(nodes: DataFrame, threshold: float = 5.0, steps: int = 10) -> DataFrame:

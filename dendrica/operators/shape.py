@@ -13,11 +13,6 @@ from .nodes import K
 from .tree import closure, fiber_ends
 
 NODE = [K, "id", "type", "x", "y", "z", "radius", "parent"]
-from ..functions import geometry as G
-from ..plans.forest import written
-from .metrics import CHUNK
-from .nodes import K, close_pairs, father_path
-from .tree import closure, fiber_nodes, resample, rooted
 
 
 def roi_fibers(nodes: DataFrame, low, high) -> DataFrame:
@@ -149,21 +144,21 @@ def density(nodes: DataFrame, step: float = 10.0, drop: float = 0.3, hops: int =
     The farthest share `drop` of nodes is left out, and trees of up to 2 + hops
     nodes; 0 where no tree is larger; NaN where there are too few nodes to leave any out.
     """
-    tree = written(resample(nodes, step))
-    r = written(rooted(tree).select(K, "id", "root_id"))
-    large = r.groupBy(K, "root_id").count().where(F.col("count") > 2 + hops)
-    kept = tree.join(r.join(large, [K, "root_id"], "left_semi").select(K, "id"), [K, "id"], "left_semi").select(K, "id", "parent", "x", "y", "z")
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids, up = t.column("id").to_numpy(), t.column("parent").to_numpy()
-        at = np.minimum(np.searchsorted(ids, up), len(ids) - 1)
-        p = np.stack([t.column(c).to_numpy().astype(float) for c in "xyz"], 1)
-        d = nearest_unrelated(p, np.where(ids[at] == up, at, -1), hops)
+        new = A.resampled(A.Forest(key, t), step)
+        f = A.Forest(key, pa.table({c: new[c] for c in ("id", "parent", *"xyz")}))
+        root = np.arange(f.n)
+        for i in f.order():
+            root[i] = root[f.up[i]] if f.up[i] >= 0 else i
+        kept = np.bincount(root, minlength=f.n)[root] > 2 + hops
+        if not kept.any():
+            return A.table(key, {"density": np.zeros(1)})
+        at = np.where(kept, np.cumsum(kept) - 1, -1)
+        up = np.where(f.up >= 0, at[f.up], -1)[kept]
+        d = nearest_unrelated(f.xyz()[kept], up, hops)
         d = np.sort(d[np.isfinite(d)])
         n = int(len(d) * drop)
-        score = float(np.clip(1 - d[: len(d) - n].mean() / (step * hops * 2), 0.0, 1.0)) if n else float("nan")
-        return pa.table({K: pa.array([key[0].as_py()], pa.int64()), "density": pa.array([score], pa.float64())})
+        return A.table(key, {"density": np.array([float(np.clip(1 - d[: len(d) - n].mean() / (step * hops * 2), 0.0, 1.0)) if n else float("nan")])})
 
-    found = kept.groupBy(K).applyInArrow(run, f"{K} bigint, density double")
-    return nodes.select(K).distinct().join(found, K, "left").select(K, F.coalesce("density", F.lit(0.0)).alias("density"))
+    return A.each(nodes.select(K, "id", "parent", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "radius"))), run, f"{K} bigint, density double")

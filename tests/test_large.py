@@ -15,7 +15,7 @@ def _plan(spark, query):
     return catalog.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", ["j8_close_pairs", "w8_nearest_nodes", "t10_subtree_leaves", "t12_remove_subtrees", "t2_preorder", "t3_node_list", "r8_adjacency", "t16_lca", "t9_subtrees", "t18_resample", "t19_non_adjacent", "t15_align_roots", "t5_roi_fibers"])
+@pytest.mark.parametrize("query", ["j8_close_pairs", "w8_nearest_nodes", "t10_subtree_leaves", "t12_remove_subtrees", "t2_preorder", "t3_node_list", "r8_adjacency", "t16_lca", "t9_subtrees", "t18_resample", "t19_non_adjacent", "t15_align_roots", "t5_roi_fibers", "a8_density"])
 def test_nothing_goes_to_the_driver_or_to_scratch(spark, query):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(os.listdir(folder))

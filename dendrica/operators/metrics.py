@@ -7,21 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .nodes import K, branches, child_counts, leaves
-from .tree import fiber_nodes, fibers, resample
-
-#: Distances computed at once.
-CHUNK = 1 << 21
-
-
-def nearest_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each point of a to its nearest of b (inf if b is empty), a block of rows at a time."""
-    out = np.full(len(a), np.inf)
-    step = max(1, CHUNK // max(1, len(b)))
-    for i in range(0, len(a) if len(b) else 0, step):
-        out[i : i + step] = np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(-1).min(1))
-    return out
-
+from . import arrays as A
+from .arrays import CHUNK, nearest_distance
+from .nodes import K, branches, leaves
+from .tree import fiber_ends, fibers, resample
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-cost assignment of min(n, m) pairs, by shortest augmenting paths."""
@@ -56,6 +45,8 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = match[1:][cols] - 1
     order = np.argsort(rows)
     return rows[order], cols[order]
+from .nodes import K, branches, child_counts, leaves
+from .tree import fiber_nodes, fibers, resample
 
 
 def _xyz(t: pa.Table) -> np.ndarray:
@@ -67,28 +58,29 @@ def _own(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def distances(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """neuron_id, side (gold, pred), id, d: each node's distance to the nearest of the other forest; null if that is empty."""
+def distances(gold: DataFrame, pred: DataFrame, every: float | None = None) -> DataFrame:
+    """neuron_id, side (gold, pred), id, d: each node's distance to the nearest of the other forest, both resampled at `every`, if given; null if that is empty."""
+
+    def points(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        if every is None:
+            return t.column("id").to_numpy(), _xyz(t)
+        out = A.resampled(A.Forest(key, t), every)
+        return out["id"], np.stack([out[c] for c in "xyz"], 1)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        g, p = _xyz(left), _xyz(right)
+        (ids, g), (more, p) = points(key, left), points(key, right)
         d = np.concatenate([nearest_distance(g, p), nearest_distance(p, g)])
-        ids = np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()]) if len(d) else np.zeros(0, np.int64)
-        side = ["gold"] * len(g) + ["pred"] * len(p)
-        return pa.table({K: pa.array([key[0].as_py()] * len(d), pa.int64()), "side": pa.array(side, pa.string()), "id": pa.array(ids, pa.int64()), "d": pa.array(np.where(np.isinf(d), np.nan, d), from_pandas=True, type=pa.float64())})
+        ids = np.concatenate([ids, more]) if len(d) else np.zeros(0, np.int64)
+        side = pa.array(["gold"] * len(g) + ["pred"] * len(p), pa.string())
+        return A.table(key, {"side": side, "id": ids, "d": pa.array(np.where(np.isinf(d), np.nan, d), from_pandas=True, type=pa.float64())})
 
-    cols = (K, "id", "x", "y", "z")
-    return _own(gold.select(*cols)).groupBy(K).cogroup(_own(pred.select(*cols)).groupBy(K)).applyInArrow(run, f"{K} bigint, side string, id bigint, d double")
-
-
-def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
-    return nodes if every is None else resample(nodes, every)
+    cols = (K, "id", "x", "y", "z") if every is None else (K, "id", "x", "y", "z", "radius", "parent")
+    return A.both(gold.select(*cols), pred.select(*cols), run, f"{K} bigint, side string, id bigint, d double")
 
 
 def ssd(gold: DataFrame, pred: DataFrame, min_distance: float = 2.0, resampled: bool = True) -> DataFrame:
     """Mean distances each way, and means of those beyond min_distance (0 if none), of forests resampled at that step; null where a side is empty."""
-    every = min_distance if resampled else None
-    d = distances(_resampled(gold, every), _resampled(pred, every))
+    d = distances(gold, pred, min_distance if resampled else None)
     both = lambda x: F.when(F.count("d") > 0, x)
     far = lambda w: both(F.coalesce(F.avg(F.when((F.col("side") == w) & (F.col("d") > min_distance), F.col("d"))), F.lit(0.0)))
     mean = lambda w: F.avg(F.when(F.col("side") == w, F.col("d")))
@@ -256,3 +248,51 @@ def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("ssd", "le
 
 
 __all__ = ["METRICS", "assign", "batch", "distances", "fiber", "fibers", "keypoint", "point", "resample", "ssd"]
+
+
+def nearest_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each point of a to its nearest of b (inf if b is empty), a block of rows at a time."""
+    out = np.full(len(a), np.inf)
+    step = max(1, CHUNK // max(1, len(b)))
+    for i in range(0, len(a) if len(b) else 0, step):
+        out[i : i + step] = np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(-1).min(1))
+    return out
+
+
+def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-cost assignment of min(n, m) pairs, by shortest augmenting paths."""
+    if cost.size == 0:
+        return np.zeros(0, int), np.zeros(0, int)
+    if cost.shape[0] > cost.shape[1]:
+        c, r = assign(cost.T)
+        order = np.argsort(r)
+        return r[order], c[order]
+    n, m = cost.shape
+    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        best, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while True:
+            used[j0] = True
+            free = np.flatnonzero(~used[1:]) + 1
+            reduced = cost[match[j0] - 1, free - 1] - u[match[j0]] - v[free]
+            better = reduced < best[free]
+            best[free[better]], way[free[better]] = reduced[better], j0
+            j1 = free[np.argmin(best[free])]
+            delta = best[j1]
+            u[match[used]] += delta
+            v[used] -= delta
+            best[~used] -= delta
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0], j0 = match[way[j0]], way[j0]
+    cols = np.flatnonzero(match[1:])
+    rows = match[1:][cols] - 1
+    order = np.argsort(rows)
+    return rows[order], cols[order]
+
+
+def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
+    return nodes if every is None else resample(nodes, every)

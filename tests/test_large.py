@@ -7,6 +7,7 @@ import pytest
 
 from dendrica import catalog
 from dendrica.operators import arrays as A
+from dendrica.operators import metrics
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,31 @@ def test_neighbours_hold_all_pairs_within_reach():
 def test_voxels_are_made_and_told_apart_behind_the_last_exchange(spark, query):
     plan = _plan(spark, query)
     assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan.split("Exchange")[0]
+
+
+def test_overlaps_of_fibers_that_share_steps_equal_those_of_each_pair():
+    rng = np.random.default_rng(6)
+    trunk = np.cumsum(rng.normal(size=(20, 3)) * 8, 0)
+    gold = [np.vstack([trunk[:k], trunk[k - 1] + np.cumsum(rng.normal(size=(6, 3)) * 8, 0)]) for k in (3, 9, 9, 15, 20)]
+    pred = [x + rng.normal(size=x.shape) * 2 for x in gold[:4]] + [gold[4], gold[0][:1]]
+    got = metrics.overlaps(gold, pred, 1.0, 5.0)
+    assert np.allclose(got, [[metrics.overlap(a, b, 1.0, 5.0) for b in pred] for a in gold], rtol=1e-12, atol=1e-9) and (got > 0).sum() > 5
+
+
+def test_shared_steps_are_compared_once(monkeypatch):
+    trunk = np.cumsum(np.full((200, 3), 5.0), 0)
+    lines = [np.vstack([trunk, trunk[-1] + [[k, 0, 0], [k, 9, 0]]]) for k in range(1, 21)]
+    tried, real = [], A.distance
+    monkeypatch.setattr(A, "distance", lambda p, q: (tried.append(len(p)), real(p, q))[1])
+    assert np.allclose(np.diag(metrics.overlaps(lines, lines, 1.0, 5.0)), [metrics.polyline_length(x) for x in lines])
+    # A tenth of what the 400 pairs would try one by one.
+    assert sum(tried) < 400 * 2 * 1800 * 26 / 10
+
+
+@pytest.mark.parametrize("moved", [0.0, 1.5, 300.0])
+def test_nearest_distances_of_long_lines_try_few_pairs(monkeypatch, moved):
+    line = np.cumsum(np.full((6000, 3), 1.0), 0)
+    tried, real = [], A.distance
+    monkeypatch.setattr(A, "distance", lambda p, q: (tried.append(len(p)), real(p, q))[1])
+    d = A.nearest_distance(line, line + (moved, 0, 0))
+    assert sum(tried) < len(line) ** 2 / 3 and np.allclose(d[::500], np.sqrt(((line[::500, None] - line - (moved, 0, 0)) ** 2).sum(-1).min(1)))

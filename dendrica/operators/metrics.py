@@ -45,8 +45,6 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = match[1:][cols] - 1
     order = np.argsort(rows)
     return rows[order], cols[order]
-from .nodes import K, branches, child_counts, leaves
-from .tree import fiber_nodes, fibers, resample
 
 
 def _xyz(t: pa.Table) -> np.ndarray:
@@ -178,31 +176,78 @@ def fiber_iou(a: np.ndarray, b: np.ndarray, every: float, threshold: float, leas
     return both / (la + lb - both + 1e-7)
 
 
+def _once(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points once each, and the place of each of p among them."""
+    order = np.lexsort(p.T)
+    q = p[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (q[1:] != q[:-1]).any(1)
+    at = np.empty(len(p), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return q[new], at
+
+
+class Laid:
+    """Polylines as points every so far, and the middles of their steps: each once, however many polylines share it."""
+
+    def __init__(self, lines: list[np.ndarray], every: float):
+        fine = [steps(x, every) if len(x) > 1 else x[:0] for x in lines]
+        split = lambda at, parts: np.split(at, np.cumsum([len(x) for x in parts])[:-1]) if parts else []
+        middles = [(x[1:] + x[:-1]) / 2 for x in fine]
+        self.sizes = [np.sqrt((np.diff(x, axis=0) ** 2).sum(1)) for x in fine]
+        self.points, at = _once(np.vstack([np.zeros((0, 3)), *fine]))
+        self.of_points = split(at, fine)
+        self.middles, at = _once(np.vstack([np.zeros((0, 3)), *middles]))
+        self.of_middles = split(at, middles)
+
+    def near(self, other: Laid, threshold: float) -> np.ndarray:
+        """Length of each polyline's steps whose middles lie within threshold of a point of each of the other's."""
+        n = len(other.of_points)
+        bits, hit = (np.zeros((m, -(-n // 8)), np.uint8) for m in (len(other.points), len(self.middles)))
+        for k, at in enumerate(other.of_points):
+            bits[at, k // 8] |= np.uint8(1 << k % 8)
+        for i, j in A.neighbours(self.middles, other.points, threshold):
+            ok = A.distance(self.middles[i], other.points[j]) <= threshold
+            i, j = i[ok], j[ok]
+            if len(i):
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                hit[i[first]] |= np.bitwise_or.reduceat(bits[j], first, axis=0)
+        hits = np.unpackbits(hit, axis=1, count=n, bitorder="little")
+        return np.array([size @ hits[at] for size, at in zip(self.sizes, self.of_middles, strict=True)], float).reshape(len(self.sizes), n)
+
+
+def overlaps(g: list[np.ndarray], p: list[np.ndarray], every: float, threshold: float) -> np.ndarray:
+    """overlap of each polyline of g with each of p. Fibers of a tree share most of their steps, which are compared once."""
+    if not g or not p:
+        return np.zeros((len(g), len(p)))
+    a, b = Laid(g, every), Laid(p, every)
+    return (a.near(b, threshold) + b.near(a, threshold).T) / 2
+
+
 def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float = 5.0, every: float = 1.0, skip_center: float = 100.0, min_length: float = 5.0, resample_step: float | None = 2.0, with_direction: bool = False) -> DataFrame:
     """Root-to-leaf fibers, resampled from key node to key node, assigned one to one by greatest total IoU; hits reach `iou`. Pairs that cannot are settled by gates; with_direction: also those whose first or last points lie apart."""
 
-    def polylines(t: pa.Table) -> list[np.ndarray]:
-        rows = t.sort_by([("leaf_id", "ascending"), ("pos", "ascending")])
-        leaf, p, keys = rows.column("leaf_id").to_numpy(), _xyz(rows), rows.column("key").to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(leaf)) + 1
-        lines = [x if resample_step is None else chained(x, k, resample_step) for x, k in zip(np.split(p, cuts), np.split(keys, cuts), strict=True)]
+    def polylines(key, t: pa.Table) -> list[np.ndarray]:
+        f = A.Forest(key, t)
+        p, kids = f.xyz(), np.bincount(f.up[f.up >= 0], minlength=f.n)
+        ways = [np.array(f.path(i)[::-1]) for i in fiber_ends(f)]
+        keys = [(kids[w] != 1) | (np.arange(len(w)) == 0) for w in ways]
+        lines = [p[w] if resample_step is None else chained(p[w], k, resample_step) for w, k in zip(ways, keys, strict=True)]
         return [x for x in lines if len(x) > 1 and polyline_length(x) >= min_length]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        g, p = polylines(left), polylines(right)
-        value = np.zeros((len(g), len(p)))
-        for i, a in enumerate(g):
-            la, ca = polyline_length(a), a.mean(0)
-            for j, b in enumerate(p):
-                lb = polyline_length(b)
-                ratio = min(la, lb) / max(la, lb)
-                ends = np.linalg.norm(a[0] - b[0]), np.linalg.norm(a[-1] - b[-1])
-                if ratio < min(0.5, iou):
-                    value[i, j] = ratio
-                elif with_direction and max(ends) > max(la, lb) / 2 or np.linalg.norm(ca - b.mean(0)) > skip_center:
-                    value[i, j] = 0.01
-                else:
-                    value[i, j] = fiber_iou(a, b, every, threshold)
+        g, p = polylines(key, left), polylines(key, right)
+        la, lb = (np.array([polyline_length(x) for x in lines]) for lines in (g, p))
+        spots = lambda lines, of: np.array([of(x) for x in lines]).reshape(-1, 1, 3)
+        apart = lambda of: np.linalg.norm(spots(g, of) - spots(p, of)[:, 0], axis=2)
+        longer = np.maximum(la[:, None], lb)
+        ratio = np.divide(np.minimum(la[:, None], lb), longer, out=np.zeros_like(longer), where=longer > 0)
+        far = apart(lambda x: x.mean(0)) > skip_center
+        if with_direction:
+            far |= np.maximum(apart(lambda x: x[0]), apart(lambda x: x[-1])) > longer / 2
+        common = overlaps(g, p, every, threshold)
+        value = np.where(ratio < 0.5, 0.0, common / (la[:, None] + lb - common + 1e-7))
+        value = np.where(ratio < min(0.5, iou), ratio, np.where(far, 0.01, value))
         r, c = assign(1 - value)
         got = value[r, c]
         tp = int((got >= iou).sum())
@@ -210,11 +255,8 @@ def fiber(gold: DataFrame, pred: DataFrame, iou: float = 0.8, threshold: float =
         real = {"iou_matched": float(got.mean()) if len(got) else 0.0, "iou_all": float(got.sum() / max(len(g), len(p), 1))}
         return pa.table({K: pa.array([key[0].as_py()], pa.int64())} | {k: pa.array([v], pa.int64()) for k, v in whole.items()} | {k: pa.array([v], pa.float64()) for k, v in real.items()})
 
-    def paths(n: DataFrame) -> DataFrame:
-        kids = child_counts(n).withColumn("key", F.col("n_children") != 1).select(K, "id", "key")
-        return fiber_nodes(n).join(kids, [K, "id"], "left").withColumn("key", F.coalesce("key", F.lit(True)) | (F.col("pos") == 0))
-
-    out = _own(paths(gold)).groupBy(K).cogroup(_own(paths(pred)).groupBy(K)).applyInArrow(run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
+    cols = (K, "id", "parent", "x", "y", "z")
+    out = A.both(gold.select(*cols), pred.select(*cols), run, f"{K} bigint, num_gt bigint, num_pred bigint, TP bigint, FP bigint, FN bigint, iou_matched double, iou_all double")
     return scored(out, "TP", "FP", "FN")
 
 
@@ -247,52 +289,4 @@ def batch(gold: DataFrame, pred: DataFrame, names: tuple[str, ...] = ("ssd", "le
     return total.withColumns({c: F.when(~none, F.col(c)) for c in ("precision", "recall", "f1_score")})
 
 
-__all__ = ["METRICS", "assign", "batch", "distances", "fiber", "fibers", "keypoint", "point", "resample", "ssd"]
-
-
-def nearest_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each point of a to its nearest of b (inf if b is empty), a block of rows at a time."""
-    out = np.full(len(a), np.inf)
-    step = max(1, CHUNK // max(1, len(b)))
-    for i in range(0, len(a) if len(b) else 0, step):
-        out[i : i + step] = np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(-1).min(1))
-    return out
-
-
-def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-cost assignment of min(n, m) pairs, by shortest augmenting paths."""
-    if cost.size == 0:
-        return np.zeros(0, int), np.zeros(0, int)
-    if cost.shape[0] > cost.shape[1]:
-        c, r = assign(cost.T)
-        order = np.argsort(r)
-        return r[order], c[order]
-    n, m = cost.shape
-    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        best, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            free = np.flatnonzero(~used[1:]) + 1
-            reduced = cost[match[j0] - 1, free - 1] - u[match[j0]] - v[free]
-            better = reduced < best[free]
-            best[free[better]], way[free[better]] = reduced[better], j0
-            j1 = free[np.argmin(best[free])]
-            delta = best[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            best[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    cols = np.flatnonzero(match[1:])
-    rows = match[1:][cols] - 1
-    order = np.argsort(rows)
-    return rows[order], cols[order]
-
-
-def _resampled(nodes: DataFrame, every: float | None) -> DataFrame:
-    return nodes if every is None else resample(nodes, every)
+__all__ = ["METRICS", "assign", "batch", "distances", "fiber", "fibers", "keypoint", "nearest_distance", "point", "resample", "ssd"]

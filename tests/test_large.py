@@ -73,3 +73,49 @@ def test_batch_leaves_no_scratch(spark):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(os.listdir(folder))
     assert _plan(spark, "m13_batch") and set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("query", ["m4_ssd_resampled", "m5_point_resampled"])
+def test_points_of_resampled_forests_stay_in_the_task_of_their_pair(spark, query):
+    assert "Aggregate" not in _plan(spark, query).split("FlatMapCoGroups")[0]
+
+
+def test_steps_are_compared_by_runs(monkeypatch):
+    line = np.cumsum(np.full((400, 3), 5.0), 0)
+    tried, real = [], A.distance
+    monkeypatch.setattr(A, "distance", lambda p, q: (tried.append(len(p)), real(p, q))[1])
+    got = metrics.overlaps([line], [line + 1.0], 1.0, 5.0)
+    # 3456 steps each way, of which each has about ten points within reach.
+    assert abs(got[0, 0] - metrics.polyline_length(line)) < 10 and sum(tried) < 2 * 3456 * 10 / 2
+
+
+def test_overlaps_of_many_fibers_and_of_none_equal_those_of_each_pair():
+    rng = np.random.default_rng(7)
+    trunk = np.cumsum(rng.normal(size=(30, 3)) * 4, 0)
+    gold = [np.vstack([trunk[: k % 30], rng.normal(size=(3, 3)) * 20]) for k in range(70)] + [trunk[:1], trunk[:9], trunk[:9], trunk[:12]]
+    pred = [gold[k] + (k % 3) * 2 for k in range(0, 70, 9)] + [trunk, trunk[:0]]
+    for g, p in ((gold, pred), (pred, gold), (gold[70:71], pred)):
+        want = [[metrics.overlap(a, b, 1.0, 5.0) for b in p] for a in g]
+        assert np.allclose(metrics.overlaps(g, p, 1.0, 5.0), want, rtol=1e-12, atol=1e-9)
+
+
+def test_nearest_distances_of_points_without_near_ones_equal_brute_force():
+    rng = np.random.default_rng(8)
+    line = np.cumsum(rng.normal(size=(900, 3)), 0)
+    a = np.vstack([line[:300] + 0.1, line[300:] + (40, 0, 0), line[::-7] * (1, -1, 3), rng.normal(size=(50, 3)) * 1e3])
+    for p, q in ((a, line), (line, a), (a, line[:1])):
+        assert np.allclose(A.nearest_distance(p, q), np.sqrt(((p[:, None] - q) ** 2).sum(-1)).min(1), rtol=1e-12)
+
+
+def test_ssd_and_point_of_forests_without_a_side(spark):
+    nodes = "neuron_id long, id long, type int, x double, y double, z double, radius double, parent long"
+    some = spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 0.0, 1.0, -1), (1, 2, 2, 9.0, 0.0, 0.0, 1.0, 1)], nodes)
+    for resampled in (True, False):
+        (r,) = metrics.ssd(some, some.where("id > 9"), resampled=resampled).collect()
+        assert r.neuron_id == 1 and all(r[c] is None for c in metrics.DISTANCES)
+        (r,) = metrics.ssd(some, some.where("id = 1"), resampled=resampled).collect()
+        want = (sum(range(0, 9, 2)) + 9) / 6 if resampled else 4.5
+        far = (4 + 6 + 8 + 9) / 4 if resampled else 9.0
+        assert (r.sd_gt2pred, r.sd_pred2gt, r.ssd_gt2pred, r.ssd_pred2gt) == pytest.approx((want, 0, far, 0)) and r.ssd_percent == pytest.approx(4 / 7 if resampled else 1 / 3)
+    (r,) = metrics.point(some.where("id > 9"), some).collect()
+    assert (r.num_gt, r.num_pred, r.TP, r.FP, r.FN) == (0, 6, 0, 6, 0)

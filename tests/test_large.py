@@ -119,3 +119,21 @@ def test_ssd_and_point_of_forests_without_a_side(spark):
         assert (r.sd_gt2pred, r.sd_pred2gt, r.ssd_gt2pred, r.ssd_pred2gt) == pytest.approx((want, 0, far, 0)) and r.ssd_percent == pytest.approx(4 / 7 if resampled else 1 / 3)
     (r,) = metrics.point(some.where("id > 9"), some).collect()
     assert (r.num_gt, r.num_pred, r.TP, r.FP, r.FN) == (0, 6, 0, 6, 0)
+
+
+def test_batch_reads_each_forest_once_and_meets_all_metrics_in_one_task(spark):
+    plan = _plan(spark, "m13_batch")
+    assert plan.count("FileScan") == 2 and plan.count("FlatMapCoGroups") == 1 and "Broadcast" not in plan
+
+
+def test_batch_equals_its_metrics(spark):
+    nodes = catalog.forest(spark, SF), catalog.forest(spark, SF, catalog.PRED)
+    names = ("ssd", "point", "length", "keypoint", "fiber")
+    for collect in ("micro", "macro"):
+        rows = {r.metric: r for r in metrics.batch(*nodes, names=names, collect=collect).collect()}
+        for name in names:
+            one = metrics.METRICS[name](*nodes).toPandas()
+            assert rows[name].n_pairs == len(one)
+            for c in metrics.DISTANCES if name == "ssd" else ("TP", "FP", "FN") if collect == "micro" else ("precision", "recall", "f1"):
+                want = one[c].sum() if c in ("TP", "FP", "FN") else one[c].mean()
+                assert rows[name]["f1_score" if c == "f1" else c] == pytest.approx(want, rel=1e-12)
